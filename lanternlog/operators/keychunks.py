@@ -61,8 +61,8 @@ def key_profile(df: DataFrame, keys: list[str], order: str, ts: str, width: int
     """An order-dependent result per key: how its rows follow one another.
 
     n_rows, first_at, last_at (first and last row by `order`), max_step_us and
-    n_back: the largest step of `ts` (microseconds) between neighbours and the
-    number of neighbours whose `ts` steps back. Rows with a null `ts` count in
+    n_back: the largest step of `ts` (microseconds) between neighbours, 0 for
+    a key of one row, and the number of neighbours whose `ts` steps back. Rows with a null `ts` count in
     n_rows only.
     """
     rows = number_rows(df, keys, order, width, size)
@@ -83,7 +83,7 @@ def key_profile(df: DataFrame, keys: list[str], order: str, ts: str, width: int
     cond = F.lit(True)
     for i, key in enumerate(keys):
         cond = cond & counts[key].eqNullSafe(merged[f"_k{i}"])
-    return counts.join(merged, cond, "left").select(*keys, "n_rows", "first_at", "last_at", "max_step_us", F.coalesce("n_back", F.lit(0)).alias("n_back"))
+    return counts.join(merged, cond, "left").select(*keys, "n_rows", "first_at", "last_at", F.coalesce("max_step_us", F.lit(0)).alias("max_step_us"), F.coalesce("n_back", F.lit(0)).alias("n_back"))
 
 
 def heavy_keys(df: DataFrame, scope: str, fields: list[str], order: str, share: int = 20, width: int = WIDTH) -> DataFrame:

@@ -30,7 +30,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_event_id_profile(spark: SparkSession, d: str) -> DataFrame:
-    return keychunks.key_profile(table(spark, d, "sec_events"), ["EventID"], "_rid", "_ingested")
+    return keychunks.key_profile(table(spark, d, "sec_events").withColumn("EventID", F.col("EventID").cast("string")), ["EventID"], "_rid", "_ingested")
 
 
 def p2_computer_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -60,8 +60,8 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_instants, p2_found, p2_event_id_
 
 _PROFILE = """
 SELECT {key}, count(*) AS n_rows, min_by(ts, rid) AS first_at, max_by(ts, rid) AS last_at,
-       max(epoch_us(ts) - epoch_us(before)) AS max_step_us, CAST(count(*) FILTER (WHERE ts < before) AS BIGINT) AS n_back
-FROM (SELECT {key}, _rid AS rid, _ingested AS ts, lag(_ingested) OVER (PARTITION BY {key} ORDER BY _rid) AS before FROM sec_events)
+       coalesce(max(epoch_us(ts) - epoch_us(before)), 0) AS max_step_us, CAST(count(*) FILTER (WHERE ts < before) AS BIGINT) AS n_back
+FROM (SELECT CAST({key} AS VARCHAR) AS {key}, _rid AS rid, _ingested AS ts, lag(_ingested) OVER (PARTITION BY {key} ORDER BY _rid) AS before FROM sec_events)
 GROUP BY {key}"""
 
 SQL = {
