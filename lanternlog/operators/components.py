@@ -30,7 +30,7 @@ def label(tables: Tables, edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         links = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
         after = tables.put(large.join(least, "u").select(F.explode(links)).select("col.u", "col.v").where("u <> v").distinct())
-        seen = after.agg(F.count(F.lit(1)), F.sum("v"), F.sum("u"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        seen = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first()
         tables.drop(now)
         tables.drop(large)
         now = after

@@ -146,7 +146,7 @@ _RUN = "SELECT DISTINCT recording AS sample, lower(trim(rule_id)) AS rule_id FRO
 @query(f"""
 WITH b AS ({_RUN.format('<>')}), n AS ({_RUN.format('=')})
 SELECT 'regression' AS change, sample, rule_id FROM b WHERE sample IN (SELECT sample FROM n) AND (sample, rule_id) NOT IN (SELECT (sample, rule_id) FROM n)
-UNION ALL SELECT 'new', sample, rule_id FROM n WHERE sample IN (SELECT sample FROM b) AND (sample, rule_id) NOT IN (SELECT (sample, rule_id) FROM b)""")
+UNION ALL SELECT 'new', sample, rule_id FROM n WHERE (sample, rule_id) NOT IN (SELECT (sample, rule_id) FROM b)""")
 def run_diff(spark: SparkSession, d: str) -> DataFrame:
     """Two runs compared: every detection is in one of them."""
     rows = table(spark, d, "detections").select("det_id", F.col("recording").alias("sample"), F.lower(F.trim("rule_id")).alias("rule_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -47,6 +48,7 @@ class Tables:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lanternlog-{name}-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(self.drop_all)
 
     def put(self, df: DataFrame, *partition_by: str) -> DataFrame:
         path = f"{self.root}/{self.count}"
@@ -63,6 +65,16 @@ class Tables:
         """Remove a table that no plan still to run reads."""
         path = getattr(df, "_lanternlog_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def drop_all(self) -> None:
+        """Remove what is left when the driver ends, if its session still lives."""
+        try:
+            if self.spark.sparkContext._jsc is not None:
+                self._delete(self.root)
+        except Exception:  # noqa: BLE001 - the session is gone
+            pass
