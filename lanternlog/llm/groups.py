@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lanternlog.operators.components import both_ways, label
 from lanternlog.session import Tables
 
 STEPS, SLOW = 3, 50
@@ -36,19 +37,15 @@ def edges_of(pairs: DataFrame, a: str, b: str, ids: DataFrame | None = None, id_
     return edges
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
-
 def peel(tables: Tables, edges: DataFrame, steps: int = STEPS, slow: int = SLOW) -> tuple[DataFrame | None, int | None]:
     """(the vertices reached from the hub, their smallest id)."""
-    hub = _both(edges).groupBy("u").count().orderBy(F.desc("count"), "u").limit(1).collect()
+    hub = both_ways(edges).groupBy("u").count().orderBy(F.desc("count"), "u").limit(1).collect()
     if not hub:
         return None, None
     spark = edges.sparkSession
     reached = frontier = tables.put(spark.createDataFrame([(hub[0].u,)], "u long"))
     size, step = 1, 0
-    both = tables.put(_both(edges))
+    both = tables.put(both_ways(edges))
     while True:
         near = both.join(frontier, "u", "left_semi").select(F.col("v").alias("u")).distinct()
         fresh = tables.put(near.join(reached, "u", "left_anti"))
@@ -63,29 +60,6 @@ def peel(tables: Tables, edges: DataFrame, steps: int = STEPS, slow: int = SLOW)
     return reached, reached.agg(F.min("u")).first()[0]
 
 
-def label(tables: Tables, edges: DataFrame) -> DataFrame:
-    """u, label: the smallest id of the component of every vertex but the smallest itself."""
-    now = tables.put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    state = None
-    while True:
-        # every vertex links its larger neighbours to the smallest vertex it knows
-        both = _both(now)
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = tables.put(large)
-        # and its smaller neighbours, and itself, to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v"))))).select("col.u", "col.v").where("u <> v").distinct()
-        after = tables.put(small)
-        seen = after.agg(F.count(F.lit(1)), F.sum("v"), F.sum("u"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        tables.drop(now)
-        tables.drop(large)
-        now = after
-        if seen == state:
-            return now.select("u", F.col("v").alias("label"))
-        state = seen
-
-
 def components(edges: DataFrame, steps: int = STEPS, slow: int = SLOW) -> DataFrame:
     """id, group_id of every vertex of `edges` (u, v); group_id is the smallest id of the group.
 
@@ -98,7 +72,7 @@ def components(edges: DataFrame, steps: int = STEPS, slow: int = SLOW) -> DataFr
         return edges.select(F.col("u").alias("id"), F.col("v").alias("group_id")).limit(0)
     inside = reached.select(F.col("u").alias("k"))
     outside = edges.join(inside, edges["u"] == inside["k"], "left_anti").join(inside, edges["v"] == inside["k"], "left_anti")
-    crossing = _both(edges).join(inside, F.col("u") == F.col("k"), "left_semi").join(inside, F.col("v") == F.col("k"), "left_anti").select(F.lit(least).alias("u"), "v").distinct()
+    crossing = both_ways(edges).join(inside, F.col("u") == F.col("k"), "left_semi").join(inside, F.col("v") == F.col("k"), "left_anti").select(F.lit(least).alias("u"), "v").distinct()
     rest = label(tables, outside.unionAll(crossing))
     # a chain that leads out of the peeled part may hold a smaller id than it
     up = rest.where(F.col("u") == least).select("label").first()
