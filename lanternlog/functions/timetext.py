@@ -94,10 +94,17 @@ def wall_us(y: np.ndarray, m: np.ndarray, d: np.ndarray, seconds: np.ndarray, mi
 def instants(wall: np.ndarray, tz: str) -> tuple[np.ndarray, np.ndarray]:
     """(the earlier, the later instant) of wall-clock times in a zone; inside a gap both by the offset before it."""
     at = pd.DatetimeIndex(wall.astype("datetime64[us]"))
+
+    def utc(local: pd.DatetimeIndex, summer: bool) -> np.ndarray:
+        there = local.tz_localize(tz, ambiguous=np.full(len(local), summer), nonexistent="NaT")
+        return there.tz_convert("UTC").tz_localize(None).values.astype("datetime64[us]")
+
+    three_hours = pd.Timedelta("3h")
+    before = utc(at - three_hours, True) + np.timedelta64(3, "h")
     out = []
     for summer in (True, False):
-        there = at.tz_localize(tz, ambiguous=np.full(len(at), summer), nonexistent=pd.Timedelta("1h"))
-        out.append(there.tz_convert("UTC").tz_localize(None).values.astype("datetime64[us]").astype(np.int64))
+        got = utc(at, summer)
+        out.append(np.where(np.isnat(got), before, got).astype(np.int64))
     return np.minimum(*out), np.maximum(*out)
 
 
