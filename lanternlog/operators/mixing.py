@@ -19,7 +19,7 @@ import heapq
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lanternlog.functions.tokensize import NAME, VOCABULARIES, add_sizes
-from lanternlog.session import Tables
+from lanternlog.session import Tables, spread
 
 BUCKETS, BLOCKS, SHARDS = 4096, 1024, 8
 
@@ -39,7 +39,7 @@ def apportion(shares: dict[str, float], blocks: int) -> list[str]:
 def sizes(documents: DataFrame, targets: DataFrame, folder: str = VOCABULARIES, name: str = NAME) -> DataFrame:
     """doc_id, source, n_tokens of the documents whose source has a target."""
     wanted = F.broadcast(targets.select("source").where("source is not null").distinct())
-    return documents.select("doc_id", "source", "text").join(wanted, "source").mapInArrow(add_sizes("text", ["doc_id", "source"], folder, name), "doc_id long, source string, n_tokens long")
+    return spread(documents.select("doc_id", "source", "text")).join(wanted, "source").mapInArrow(add_sizes("text", ["doc_id", "source"], folder, name), "doc_id long, source string, n_tokens long")
 
 
 def mix(sized: DataFrame, targets: DataFrame, tokens: int | None = None, seed: int = 17, blocks: int = BLOCKS, shards: int = SHARDS, buckets: int = BUCKETS, most_sources: int = 10_000) -> tuple[DataFrame, DataFrame]:

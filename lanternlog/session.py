@@ -37,6 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._lanternlog_dir
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it comes from fewer files than there are cores, which one row group each would leave idle. More files stay as they are, unshuffled."""
+    context = df.sparkSession.sparkContext
+    files = context._jvm.java.lang.reflect.Array.getLength(df._jdf.inputFiles())
+    return df.repartition(context.defaultParallelism) if 0 < files < context.defaultParallelism else df
+
+
 class Tables:
     """Intermediate tables of one run, written once to the shared folder and read from there.
 
