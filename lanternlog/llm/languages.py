@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lanternlog.functions.words import LETTER, classes
+from lanternlog.session import spread
 
 LANGUAGES = ["de", "en", "es", "fr", "it", "nl", "pl", "pt", "ru", "zh"]
 SAMPLE, TOP, FAR = 300, 400, 400
@@ -212,9 +213,9 @@ def assign(documents: DataFrame, profiles: Profiles) -> DataFrame:
     text cell (confidence: how much nearer the best profile is than the next).
     lang is null for paragraphs without letters and documents of only such.
     Null, empty and cell-less documents give no row; equal doc_ids are
-    documents of their own. No shuffle.
+    documents of their own. No shuffle unless there are fewer files than cores.
     """
-    rows = documents.select("doc_id", label_language(F.col("lang")).alias("_label"), *COLUMNS)
+    rows = spread(documents.select("doc_id", label_language(F.col("lang")).alias("_label"), *COLUMNS))
     return rows.mapInArrow(_assign(profiles), "doc_id long, cell_no long, para_no long, lang string, confidence double, main_lang string, label_lang string")
 
 

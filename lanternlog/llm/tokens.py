@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 
 from lanternlog.functions.tokensize import NAME, VOCABULARIES, chunks
 from lanternlog.functions.words import pieces, split
+from lanternlog.session import spread
 
 #: Words, and tokens of words, that a worker keeps; beyond it starts anew.
 KEPT, KEPT_TOKENS = 400_000, 4_000_000
@@ -320,5 +321,5 @@ def _encode(folder: str, name: str):
 
 
 def encode_documents(documents: DataFrame, folder: str = VOCABULARIES, name: str = NAME) -> DataFrame:
-    """doc_id, ids of every row of documents (doc_id, text); no shuffle."""
-    return documents.select("doc_id", "text").mapInArrow(_encode(folder, name), "doc_id long, ids array<int>")
+    """doc_id, ids of every row of documents (doc_id, text); no shuffle unless there are fewer files than cores."""
+    return spread(documents.select("doc_id", "text")).mapInArrow(_encode(folder, name), "doc_id long, ids array<int>")
