@@ -43,6 +43,19 @@ def folded() -> np.ndarray:
     return out
 
 
+def slices(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
+    """Parts of a list of texts of about `most` characters, one text at least."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text) > most:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(n-gram keys, text of each) of all texts; a key holds up to three code points of 21 bits."""
     joined = "\x00".join(texts) + "\x00"
@@ -82,7 +95,11 @@ class Profiles:
         return cls(languages, keys, ranks)
 
     def classify(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the nearest language, confidence from 0 to 1); NONE and 0 for a text without letters."""
+        """(index of the nearest language, confidence from 0 to 1); NONE and 0 for a text without letters. Some million characters at a time, a text whole."""
+        found = [self._classify(part) for part in slices(texts)] or [(np.zeros(0, np.int64), np.zeros(0))]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _classify(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         n, k = len(texts), len(self.languages)
         if not n or not k:
             return np.full(n, NONE), np.zeros(n)
@@ -149,8 +166,8 @@ def _count(profiles: Profiles | None):
                     if profiles is not None and label in profiles.languages:
                         best, _ = profiles.classify(texts)
                         texts = [t for t, b in zip(texts, best.tolist()) if b == profiles.languages.index(label)]
-                    if texts:
-                        key, n = np.unique(grams(texts)[0], return_counts=True)
+                    for part in slices(texts):
+                        key, n = np.unique(grams(part)[0], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([label] * len(key)), pa.array(key), pa.array(n)], ["label", "key", "n"])
 
     return run
