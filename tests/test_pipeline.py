@@ -227,3 +227,11 @@ def test_benchmark(spark, tmp_path):
     lost, new = benchmark.compare(*runs)
     assert ("a.json", "ll-0003") in lost and new == [("a.json", "new")] and "new: a.json" in benchmark.trend_page(runs)
     assert PROMOTED
+
+
+def test_sql_functions(spark):
+    from lanternlog.functions.entities import register
+
+    register(spark)
+    row = spark.sql("select ll_fix_mojibake('RenÃ©') a, ll_norm_entity('CORP\\\\\\\\Ann@x', false) b, ll_norm_entity('H1.corp.local', true) c, ll_norm_entity('10.0.0.1', true) d, ll_canon_hex(' 0x000A ') e, length(ll_uuid5('x')) f").first()
+    assert tuple(row) == ("René", "ann", "h1", "10.0.0.1", "0xa", 36)
