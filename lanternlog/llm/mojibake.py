@@ -41,8 +41,8 @@ NAMES = [f"{w} read as {r}" for w, r in CHAINS] + [f"utf-8 read as {a}, twice" f
 CLEAN = -1
 #: Log-odds against a restored token that occurs nowhere, when its chain could make one of anything.
 UNSEEN = -15.0
-#: Log-probability of another case of a word that occurs clean.
-OTHER_CASE = -3.0
+#: Log-probability of another case of a word that occurs clean, so many times as often at least.
+OTHER_CASE, OFTENER = -3.0, 3
 ROUNDS = 4
 SPLIT = r"[\x00-@\[-`{-\x7f]+"
 
@@ -212,7 +212,7 @@ def _score(letters: Letters, priors: dict[tuple[str, int], float], rate: float):
             for name, token, n, chain, restored, w in zip(*(batch[c].to_pylist() for c in ("field", "token", "n", "chain", "restored", "w"))):
                 prior = math.log(priors.get((name, chain), 1e-6))
                 if chain == CLEAN:
-                    scores.append(prior + max(log(token), OTHER_CASE if w and w > 0.5 else -math.inf))
+                    scores.append(prior + max(log(token), OTHER_CASE if w and w > max(0.5, OFTENER * n) else -math.inf))
                 elif chain == LOST:
                     scores.append(prior - 2.0 * len(token))
                 else:

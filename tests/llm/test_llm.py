@@ -275,3 +275,11 @@ def test_labels():
 def test_no_labels(spark):
     df = spark.createDataFrame([(1, "some text", None, ["text"], [0], [9])], "doc_id long, text string, lang string, cell_kind array<string>, cell_start array<int>, cell_len array<int>")
     assert languages.found(languages.assign(df, languages.train(df))).count() == 0
+
+
+def test_frequent_damage_in_two_cases_is_no_word(spark):
+    """A damaged form that comes often, and in small letters too, stays damage; a known word in capitals stays a word."""
+    texts = ["größe"] * 1500 + ["über"] * 900 + ["grÃ¶ÃŸe"] * 60 + ["grã¶ãÿe"] * 2 + ["GRÖßE"] * 3 + ["ÜBER"] * 2 + ["копия"] * 700 + ["КОПИЯ"] * 2
+    values = spark.createDataFrame([(i, "f", f"a {t}.txt") for i, t in enumerate(texts)], "row_id long, field string, text string")
+    bad = {texts[r.rid] for r in mojibake.found(values, mojibake.fit(values)).collect()}
+    assert "grÃ¶ÃŸe" in bad and not bad & {"größe", "über", "GRÖßE", "ÜBER", "копия", "КОПИЯ"}
