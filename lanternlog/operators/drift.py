@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lanternlog.session import Tables
+
 TYPES = ["string", "number", "boolean", "array", "object"]
 BOM = "﻿"
 
@@ -98,7 +100,8 @@ def changes(schema: DataFrame) -> DataFrame:
     feed's first file has no changes. Rows with a null feed or file_no are
     left out.
     """
-    schema = schema.where(F.col("feed").isNotNull() & F.col("file_no").isNotNull())
+    # read from three sides below, so the lines are parsed once for a table of a row a file and field
+    schema = Tables(schema.sparkSession, "drift").put(schema.where(F.col("feed").isNotNull() & F.col("file_no").isNotNull()))
     files = schema.select("feed", "file_no").distinct()
     along = Window.partitionBy("feed").orderBy("file_no")
     files = files.withColumn("_before", F.lag("file_no").over(along)).withColumn("_after", F.lead("file_no").over(along))
