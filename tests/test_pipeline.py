@@ -112,7 +112,7 @@ def test_hunt(result):
 
 def test_stream_engine_says_what_the_hunt_finds(spark, office, result):
     engine = live.Engine(spark, pack())
-    lines = [line for batch in live.replay_steps(office, dt.timedelta(minutes=70)) for line in engine.ingest(batch)]
+    lines = [line for batch in live.replay_steps(office, dt.timedelta(minutes=210)) for line in engine.ingest(batch)]
     assert engine.counters["events"] == office.count() and engine.counters["incidents"] == 1
     assert sum("Service tickets with weak" in line for line in lines) == 1
     assert any("escalated from" in line for line in lines) or any("Critical opened" in line for line in lines)
