@@ -29,13 +29,14 @@ def found(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"rule_id": F.lower(F.trim("rule_id")), "targets": F.array().cast("array<string>")})
 
 
-WINDOW_US = 30 * 60 * 1_000_000
+#: The window in the SQL, which stays as it is. The queries link over I.WINDOW_US (6 hours), as hunt_incidents does.
+SQL_WINDOW_US = 30 * 60 * 1_000_000
 
 
 def members(spark: SparkSession, d: str) -> DataFrame:
     """Detections with their incident, written once."""
     rows = found(spark, d)
-    return Tables(spark, "members").put(rows.join(I.correlate(rows, WINDOW_US), "det_id"))
+    return Tables(spark, "members").put(rows.join(I.correlate(rows), "det_id"))
 
 
 _ENT = f"""
@@ -45,7 +46,7 @@ ent AS (SELECT DISTINCT det_id, kind, value, CASE WHEN kind = 'host' THEN {_norm
 k AS (SELECT DISTINCT e.det_id, e.kind, norm, epoch_us(start_ts) AS a, epoch_us(coalesce(end_ts, start_ts)) AS z FROM ent e JOIN detections d ON d.det_id = e.det_id WHERE norm <> '')"""
 _COMP = f"""WITH RECURSIVE {_ENT},
 o AS (SELECT *, max(z) OVER (PARTITION BY kind, norm ORDER BY a, det_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pz FROM k),
-i AS (SELECT *, sum(CASE WHEN pz IS NULL OR a - pz > {WINDOW_US} THEN 1 ELSE 0 END) OVER (PARTITION BY kind, norm ORDER BY a, det_id) AS isl FROM o),
+i AS (SELECT *, sum(CASE WHEN pz IS NULL OR a - pz > {SQL_WINDOW_US} THEN 1 ELSE 0 END) OVER (PARTITION BY kind, norm ORDER BY a, det_id) AS isl FROM o),
 m AS (SELECT kind, norm, isl, min(det_id) AS v FROM i GROUP BY 1, 2, 3),
 l AS (SELECT i.det_id AS a, m.v AS b FROM i JOIN m USING (kind, norm, isl) WHERE i.det_id <> m.v UNION SELECT m.v, i.det_id FROM i JOIN m USING (kind, norm, isl) WHERE i.det_id <> m.v),
 r AS (SELECT det_id AS s, det_id AS x FROM detections UNION SELECT r.s, l.b FROM r JOIN l ON r.x = l.a),
@@ -55,7 +56,7 @@ mem AS (SELECT d.*, comp.incident_id, CASE level WHEN 'informational' THEN 1 WHE
 
 @query(_COMP + " SELECT det_id, incident_id FROM comp")
 def incident_components(spark: SparkSession, d: str) -> DataFrame:
-    return I.correlate(found(spark, d), WINDOW_US)
+    return I.correlate(found(spark, d))
 
 
 _TACTICS = "list_position(['Reconnaissance', 'Resource Development', 'Initial Access', 'Execution', 'Persistence', 'Privilege Escalation', 'Defense Evasion', 'Stealth', 'Defense Impairment', 'Credential Access', 'Discovery', 'Lateral Movement', 'Collection', 'Command and Control', 'Exfiltration', 'Impact'], kill_chain)"
