@@ -157,8 +157,7 @@ def _norm(value: str, host: bool) -> str:
 
 @query(f"SELECT det_id, {_norm('actor', False)} AS actor, {_norm('host', True)} AS host, {_norm('source', False)} AS source FROM detections WHERE actor IS NOT NULL AND host IS NOT NULL AND source IS NOT NULL")
 def norm_entity(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "detections").where("actor is not null and host is not null and source is not null")
-    return rows.select("det_id", E.entity(F.col("actor")).alias("actor"), E.entity(F.col("host"), True).alias("host"), E.entity(F.col("source")).alias("source"))
+    return table(spark, d, "detections").select("det_id", E.entity(F.col("actor")).alias("actor"), E.entity(F.col("host"), True).alias("host"), E.entity(F.col("source")).alias("source"))
 
 
 @query("SELECT record_id, trim(regexp_replace(regexp_replace(ActivityDisplayName, '[\\x{2010}-\\x{2015}\\x{2212}]', '-', 'g'), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' ') AS name FROM cloud_records WHERE ActivityDisplayName IS NOT NULL")

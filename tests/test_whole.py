@@ -1,6 +1,6 @@
 """Queries do the whole job: nothing of their tables is left out."""
 
-from lanternlog.plans import incidents
+from lanternlog.plans import incidents, rules
 from tests.test_incidents import det, frame
 
 
@@ -15,3 +15,8 @@ def test_detections_within_six_hours_are_one_incident(spark, tmp_path):
     d = stored(frame(spark, [det(i, 60 * h, host=None) for i, h in hours.items()]), tmp_path)
     assert {r.det_id: r.incident_id for r in incidents.incident_components(spark, d).collect()} == {1: 1, 2: 1, 3: 3}
     assert {r.incident_id: r.n_detections for r in incidents.incident_summary(spark, d).collect()} == {1: 2, 3: 1}
+
+
+def test_entities_of_a_detection_with_a_null(spark, tmp_path):
+    d = stored(frame(spark, [det(1, actor="D\\A", host=None, source=None), det(2, actor=None, host="H.x", source="S")]), tmp_path)
+    assert {tuple(r) for r in rules.norm_entity(spark, d).collect()} == {(1, "a", None, None), (2, None, "h", "s")}
