@@ -137,7 +137,9 @@ _TRIM = "regexp_replace({0}, '^[ \\t\\n\\x0b\\f\\r]+|[ \\t\\n\\x0b\\f\\r]+$', ''
 
 @query(f"SELECT _rid, CASE WHEN regexp_full_match(s, '0x[0-9a-f]+', 'i') THEN '0x' || CASE WHEN ltrim(lower(s[3:]), '0') = '' THEN '0' ELSE ltrim(lower(s[3:]), '0') END ELSE s END AS hex FROM (SELECT _rid, {_TRIM.format('coalesce(GrantedAccess, TicketEncryptionType, Status)')} AS s FROM sec_events) WHERE s IS NOT NULL")
 def norm_hex(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "sec_events").select("_rid", E.canon_hex(F.coalesce("GrantedAccess", "TicketEncryptionType", "Status")).alias("hex")).where("hex is not null")
+    """A row a field: every value of the hex fields."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("GrantedAccess", "TicketEncryptionType", "Status")])
+    return table(spark, d, "sec_events").select("_rid", F.inline(fields)).where("value is not null").select("_rid", "field", E.canon_hex(F.col("value")).alias("hex"))
 
 
 @query("SELECT _rid, regexp_replace(IpAddress, '^::ffff:', '', 'i') AS ip FROM sec_events WHERE IpAddress IS NOT NULL")

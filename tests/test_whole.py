@@ -20,3 +20,10 @@ def test_detections_within_six_hours_are_one_incident(spark, tmp_path):
 def test_entities_of_a_detection_with_a_null(spark, tmp_path):
     d = stored(frame(spark, [det(1, actor="D\\A", host=None, source=None), det(2, actor=None, host="H.x", source="S")]), tmp_path)
     assert {tuple(r) for r in rules.norm_entity(spark, d).collect()} == {(1, "a", None, None), (2, None, "h", "s")}
+
+
+def test_every_hex_field_of_an_event(spark, tmp_path):
+    rows = [(1, "0x0010", "0x00012", "0x0"), (2, None, " 0X00AB ", "0x0C000006A"), (3, None, None, "ok"), (4, None, None, None)]
+    spark.createDataFrame(rows, "_rid long, GrantedAccess string, TicketEncryptionType string, Status string").write.parquet(f"{tmp_path}/sec_events.parquet")
+    access, ticket, status = "GrantedAccess", "TicketEncryptionType", "Status"
+    assert {tuple(r) for r in rules.norm_hex(spark, str(tmp_path)).collect()} == {(1, access, "0x10"), (1, ticket, "0x12"), (1, status, "0x0"), (2, ticket, "0xab"), (2, status, "0xc000006a"), (3, status, "ok")}
