@@ -122,7 +122,7 @@ p AS (SELECT incident_id, {_key('source')} AS s, {_key('actor')} AS a, {_key('ho
 x AS (SELECT incident_id, t, CASE WHEN a IS NOT NULL THEN s ELSE s END AS f, CASE WHEN a IS NOT NULL THEN a ELSE h END AS g FROM p UNION ALL SELECT incident_id, t, a, h FROM p WHERE a IS NOT NULL)
 SELECT incident_id, f AS from_key, g AS to_key, count(DISTINCT t) AS n_techniques FROM x WHERE f IS NOT NULL AND g IS NOT NULL AND (incident_id, f) IN (SELECT (incident_id, k) FROM keep) AND (incident_id, g) IN (SELECT (incident_id, k) FROM keep) GROUP BY 1, 2, 3""")
 def graph_edges_topk(spark: SparkSession, d: str) -> DataFrame:
-    return I.graph_edges(members(spark, d), 3)
+    return I.graph_edges(members(spark, d))
 
 
 @query("SELECT t AS technique, count(*) AS n FROM (SELECT unnest(techniques) AS t FROM detections) GROUP BY 1")

@@ -27,3 +27,8 @@ def test_every_hex_field_of_an_event(spark, tmp_path):
     spark.createDataFrame(rows, "_rid long, GrantedAccess string, TicketEncryptionType string, Status string").write.parquet(f"{tmp_path}/sec_events.parquet")
     access, ticket, status = "GrantedAccess", "TicketEncryptionType", "Status"
     assert {tuple(r) for r in rules.norm_hex(spark, str(tmp_path)).collect()} == {(1, access, "0x10"), (1, ticket, "0x12"), (1, status, "0x0"), (2, ticket, "0xab"), (2, status, "0xc000006a"), (3, status, "ok")}
+
+
+def test_edges_of_ten_entities_a_kind(spark, tmp_path):
+    d = stored(frame(spark, [det(i, actor=f"a{i}", host="h") for i in range(10, 22)]), tmp_path)
+    assert {r.from_key for r in incidents.graph_edges_topk(spark, d).collect()} == {f"actor:a{i}" for i in range(10, 20)}
