@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 def _top(spark: SparkSession, d: str, most: int = 10) -> list[dict]:
     rows = members(spark, d)
-    return pipeline.top_incidents(rows, I.summarize(rows), most)
+    return pipeline.top_incidents(rows, I.summarize(rows), most, with_detections=False)
 
 
 def _lines(spark: SparkSession, found: list[dict]) -> DataFrame:
@@ -39,8 +39,12 @@ def _lines(spark: SparkSession, found: list[dict]) -> DataFrame:
 
 @query()
 def incident_json(spark: SparkSession, d: str) -> DataFrame:
-    """The ten incidents of highest score; a report's limit."""
-    return _lines(spark, [documents.incident_json(x, i) for i, x in enumerate(_top(spark, d), 1)])
+    """The ten incidents of highest score, a report's limit; then all their detections, a row each with its det_id."""
+    rows = members(spark, d)
+    top = pipeline.top_incidents(rows, I.summarize(rows), 10, with_detections=False)
+    heads = _lines(spark, [documents.incident_json(x, i) for i, x in enumerate(top, 1)]).select("place", F.lit(None).cast("long").alias("det_id"), "body")
+    every = pipeline.detection_rows(rows, {x["incident_id"]: i for i, x in enumerate(top, 1)})
+    return heads.unionByName(every.select("place", "det_id", F.to_json("detection", {"ignoreNullFields": "false"}).alias("body")))
 
 
 @query()

@@ -1,6 +1,10 @@
 """Queries do the whole job: nothing of their tables is left out."""
 
-from lanternlog.plans import incidents, rules
+import json
+
+from pyspark.sql import functions as F
+
+from lanternlog.plans import exports, incidents, rules
 from tests.test_incidents import det, frame
 
 
@@ -32,3 +36,16 @@ def test_every_hex_field_of_an_event(spark, tmp_path):
 def test_edges_of_ten_entities_a_kind(spark, tmp_path):
     d = stored(frame(spark, [det(i, actor=f"a{i}", host="h") for i in range(10, 22)]), tmp_path)
     assert {r.from_key for r in incidents.graph_edges_topk(spark, d).collect()} == {f"actor:a{i}" for i in range(10, 20)}
+
+
+def test_all_detections_of_a_large_incident(spark, tmp_path):
+    rows = [det(i, i / 60, host=None, techniques=["T9"] if i > 2400 else ["T1"]) for i in range(1, 2501)]
+    d = stored(frame(spark, rows), tmp_path)
+    lines = exports.incident_json(spark, d).orderBy(F.col("det_id").asc_nulls_first()).collect()
+    head = json.loads(lines[0].body)
+    assert [r.det_id for r in lines] == [None, *range(1, 2501)] and {r.place for r in lines} == {1} and head["n_detections"] == 2500
+    last = json.loads(lines[-1].body)
+    assert last["start"] == "2025-01-01T00:41:40" and last["attack"] == ["T9"] and last["host"] is None and last["event_count"] == 1 and last["risk"] == 40
+    hive = json.loads(exports.thehive_alerts(spark, d).first().body)
+    assert {p["patternId"]: p["occurDate"] for p in hive["procedures"]} == {"T1": 1735689601000, "T9": 1735689600000 + 2401 * 1000}
+    assert "2500 detections" in [json.loads(r.body).get("description") for r in exports.stix_objects(spark, d).collect()]
