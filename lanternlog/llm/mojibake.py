@@ -10,7 +10,9 @@ A token is either clean, or a chain's damage of what the chain's inverse gives.
 The model of clean text has two parts, both learned from the tokens weighted
 with their probability to be clean: how often the restored token occurs clean
 anywhere (evidence pooled over all records and fields), and, for a token that
-occurs nowhere, a model of its characters. Chain priors are learned per field.
+occurs nowhere, a model of its characters. Chain priors and the rate of damage
+are learned per source and field and drawn to those of all sources, so a token
+may be clean in one source and damaged in another.
 E-step: posterior of every chain of every token; M-step: clean counts,
 character model, chain priors, rate of damage. Then each record is repaired by
 the posterior of its tokens.
@@ -44,6 +46,8 @@ UNSEEN = -15.0
 #: Log-probability of another case of a word that occurs clean, so many times as often at least.
 OTHER_CASE, OFTENER = -3.0, 3
 ROUNDS = 4
+#: Token occurrences that the priors of all sources count for in those of one source.
+SHRINK = 50.0
 SPLIT = r"[\x00-@\[-`{-\x7f]+"
 
 
@@ -203,14 +207,14 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["a", "b", "n"])
 
 
-def _score(letters: Letters, priors: dict[tuple[str, int], float], rate: float):
+def _score(letters: Letters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters.ready()
         log = functools.lru_cache(1 << 16)(letters.log)
         for batch in batches:
             scores = []
-            for name, token, n, chain, restored, w in zip(*(batch[c].to_pylist() for c in ("field", "token", "n", "chain", "restored", "w"))):
-                prior = math.log(priors.get((name, chain), 1e-6))
+            for token, n, chain, restored, w, prior, rate in zip(*(batch[c].to_pylist() for c in ("token", "everywhere", "chain", "restored", "w", "prior", "rate"))):
+                prior = math.log(prior)
                 if chain == CLEAN:
                     scores.append(prior + max(log(token), OTHER_CASE if w and w > max(0.5, OFTENER * n) else -math.inf))
                 elif chain == LOST:
@@ -220,27 +224,41 @@ def _score(letters: Letters, priors: dict[tuple[str, int], float], rate: float):
                     unseen = log(restored) + (0.0 if strict else UNSEEN)
                     seen = -n * max(0.0, math.log(n / (rate * w))) - 2.0 if w and w > 0.5 else -math.inf
                     scores.append(prior + max(unseen, seen))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("field", "token", "n", "chain", "restored")), pa.array(scores, pa.float64())], ["field", "token", "n", "chain", "restored", "score"])
+            kept = ["source", "field", "token", "n", "everywhere", "chain", "restored"]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(scores, pa.float64())], [*kept, "score"])
 
     return run
 
 
+def sourced(values: DataFrame) -> DataFrame:
+    """values with source; a null one, or none at all, is the source ""."""
+    source = F.coalesce(F.col("source"), F.lit("")) if "source" in values.columns else F.lit("")
+    return values.withColumn("source", source)
+
+
 def fit(values: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """field, token, n, clean, chain, restored: the posterior of every distinct token.
+    """source, field, token, n, everywhere, clean, chain, restored: the posterior of every distinct token of a source.
 
-    values: row_id, field, text. clean is the probability that the token is as
-    written; chain and restored are those of the likeliest damage (restored is
-    null where the original is lost). Null and ASCII texts have no tokens.
+    values: row_id, field, text and, where it is known, source. n counts the
+    token in its source, everywhere in the field. clean is the probability that
+    the token is as written; chain and restored are those of the likeliest
+    damage (restored is null where the original is lost). Null and ASCII texts
+    have no tokens.
     """
     spark = values.sparkSession
     tables = Tables(spark, "mojibake")
-    counts = values.where(F.col("text").rlike(r"[^\x00-\x7f]")).select("field", F.explode(tokens_of(F.col("text"))).alias("token")).groupBy("field", "token").agg(F.count(F.lit(1)).alias("n"))
-    state = tables.put(counts.withColumns({"clean": F.lit(1.0), "chain": F.lit(CLEAN), "restored": F.lit(None).cast("string")}))
+    key = ["source", "field", "token"]
+    counts = sourced(values).where(F.col("text").rlike(r"[^\x00-\x7f]")).select("source", "field", F.explode(tokens_of(F.col("text"))).alias("token")).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    counts = tables.put(counts)
+    everywhere = counts.groupBy("field", "token").agg(F.sum("n").alias("everywhere"))
+    state = tables.put(counts.join(everywhere, ["field", "token"]).select(*key, "n", "everywhere", F.lit(1.0).alias("clean"), F.lit(CLEAN).alias("chain"), F.lit(None).cast("string").alias("restored")))
+    tables.drop(counts)
     offers = tables.put(state.select("token").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_candidates, "token string, chain int, restored string"))
     fields = [r[0] for r in state.select("field").distinct().collect()]
     start = {f: {CLEAN: 0.9, **dict.fromkeys(range(LOST + 1), 0.1 / (LOST + 1))} for f in fields}
     priors = {(f, k): p for f, own in start.items() for k, p in own.items()}
     rate = 0.05
+    of_source = None  # source, field, whole, hurt, own_rate, mass by chain
     for _ in range(rounds):
         letters = Letters()
         for r in state.select("token", (F.col("n") * F.col("clean")).alias("weight")).mapInArrow(_stats, "a string, b string, n double").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
@@ -249,22 +267,33 @@ def fit(values: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             else:
                 letters.steps[r.a, r.b] = r.n
         weight = state.groupBy(F.col("token").alias("_r")).agg(F.sum(F.col("n") * F.col("clean")).alias("w"))
-        own = state.select("field", "token", "n")
-        damaged = own.join(offers, "token").join(weight, F.col("restored") == F.col("_r"), "left").select("field", "token", "n", "chain", "restored", "w")
+        own = state.select(*key, "n", "everywhere")
+        damaged = own.join(offers, "token").join(weight, F.col("restored") == F.col("_r"), "left").select(*key, "n", "everywhere", "chain", "restored", "w")
         # clean occurrences of the same word in another case
         cases = state.groupBy(F.lower("token").alias("_low")).agg(F.sum(F.col("n") * F.col("clean")).alias("_all"))
-        mine = state.select("field", "token", "n").join(weight, F.col("token") == F.col("_r")).join(cases, F.lower("token") == F.col("_low"))
-        mine = mine.select("field", "token", "n", F.lit(CLEAN).alias("chain"), F.lit(None).cast("string").alias("restored"), (F.col("_all") - F.col("w")).alias("w"))
+        mine = own.join(weight, F.col("token") == F.col("_r")).join(cases, F.lower("token") == F.col("_low"))
+        mine = mine.select(*key, "n", "everywhere", F.lit(CLEAN).alias("chain"), F.lit(None).cast("string").alias("restored"), (F.col("_all") - F.col("w")).alias("w"))
         every = damaged.unionByName(mine)
-        scored = every.mapInArrow(_score(letters, priors, rate), "field string, token string, n long, chain int, restored string, score double")
+        pooled = F.broadcast(spark.createDataFrame([(f, k, p, 1 - priors[f, CLEAN]) for (f, k), p in priors.items()], "field string, chain int, pooled double, any double"))
+        every = every.join(pooled, ["field", "chain"])
+        if of_source is None:
+            every = every.withColumns({"prior": F.col("pooled"), "rate": F.lit(rate)})
+        else:
+            # the share of damage in the source, and of the chain in its damage: many chains are too rare in a source for shares of all
+            hurt = (F.col("hurt") + SHRINK * F.col("any")) / (F.col("whole") + SHRINK)
+            of_hurt = (F.coalesce(F.col("mass")[F.col("chain")], F.lit(0.0)) + SHRINK * F.col("pooled") / F.col("any")) / (F.col("hurt") + SHRINK)
+            share = F.when(F.col("chain") == CLEAN, 1 - hurt).otherwise(hurt * of_hurt)
+            every = every.join(of_source, ["source", "field"]).withColumns({"prior": share, "rate": F.col("own_rate")})
+        every = every.select(*key, "n", "everywhere", "chain", "restored", "w", "prior", "rate")
+        scored = every.mapInArrow(_score(letters), "source string, field string, token string, n long, everywhere long, chain int, restored string, score double")
         # a token has at most one row a chain
-        grouped = scored.groupBy("field", "token", "n").agg(F.collect_list(F.struct("score", "chain", "restored")).alias("all"))
+        grouped = scored.groupBy(*key, "n", "everywhere").agg(F.collect_list(F.struct("score", "chain", "restored")).alias("all"))
         top = F.array_max(F.transform("all", lambda x: x["score"]))
         parts = F.transform("all", lambda x: F.struct(F.exp(x["score"] - F.col("top")).alias("p"), x["chain"].alias("chain"), x["restored"].alias("restored")))
         total = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["p"])
         clean = F.aggregate(F.filter("parts", lambda x: x["chain"] == CLEAN), F.lit(0.0), lambda s, x: s + x["p"])
         best = F.array_max(F.filter("parts", lambda x: x["chain"] != CLEAN))
-        after = grouped.withColumn("top", top).withColumn("parts", parts).select("field", "token", "n", (clean / total).alias("clean"), F.coalesce(best["chain"], F.lit(CLEAN)).alias("chain"), F.nullif(best["restored"], F.lit("")).alias("restored"))
+        after = grouped.withColumn("top", top).withColumn("parts", parts).select(*key, "n", "everywhere", (clean / total).alias("clean"), F.coalesce(best["chain"], F.lit(CLEAN)).alias("chain"), F.nullif(best["restored"], F.lit("")).alias("restored"))
         old, state = state, tables.put(after)
         tables.drop(old)
         mass: Counter = Counter()
@@ -277,14 +306,23 @@ def fit(values: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 priors[f, k] = (mass[f, k] + 0.02) / whole
         damage, intact = (sum(v for (_, k), v in mass.items() if (k == CLEAN) == c) for c in (False, True))
         rate = min(0.3, max(0.05, 2 * damage / max(intact, 1.0)))
+        # the same of each source, drawn to that of all; a row a source and field, which stays in a table
+        share = damage / max(damage + intact, 1.0)
+        by_chain = state.select("source", "field", F.inline(F.array(F.struct(F.lit(CLEAN).alias("k"), (F.col("n") * F.col("clean")).alias("m")), F.struct(F.col("chain").alias("k"), (F.col("n") * (1 - F.col("clean"))).alias("m")))))
+        by_chain = by_chain.groupBy("source", "field", "k").agg(F.sum("m").alias("m"))
+        bad, good = F.sum(F.when(F.col("k") != CLEAN, F.col("m")).otherwise(0.0)) + SHRINK * share, F.sum(F.when(F.col("k") == CLEAN, F.col("m")).otherwise(0.0)) + SHRINK * (1 - share)
+        own_rate = F.least(F.lit(0.3), F.greatest(F.lit(0.05), 2 * bad / F.greatest(good, F.lit(1.0))))
+        old = of_source
+        of_source = tables.put(by_chain.groupBy("source", "field").agg(F.sum("m").alias("whole"), F.sum(F.when(F.col("k") != CLEAN, F.col("m")).otherwise(0.0)).alias("hurt"), own_rate.alias("own_rate"), F.map_from_entries(F.collect_list(F.struct("k", "m"))).alias("mass")))
+        tables.drop(old)
     return state
 
 
 def damaged_tokens(values: DataFrame, state: DataFrame) -> DataFrame:
     """row_id, field, text, token, chain, restored: the damaged tokens of each value."""
-    bad = state.where("clean < 0.5").select(F.col("field").alias("_field"), F.col("token").alias("_token"), "chain", "restored")
-    rows = values.where(F.col("text").rlike(r"[^\x00-\x7f]")).select("row_id", "field", "text", F.explode(tokens_of(F.col("text"))).alias("token"))
-    return rows.join(bad, (F.col("field") == F.col("_field")) & (F.col("token") == F.col("_token"))).drop("_field", "_token")
+    bad = state.where("clean < 0.5").select(F.col("source").alias("_source"), F.col("field").alias("_field"), F.col("token").alias("_token"), "chain", "restored")
+    rows = sourced(values).where(F.col("text").rlike(r"[^\x00-\x7f]")).select("row_id", "source", "field", "text", F.explode(tokens_of(F.col("text"))).alias("token"))
+    return rows.join(bad, (F.col("source") == F.col("_source")) & (F.col("field") == F.col("_field")) & (F.col("token") == F.col("_token"))).drop("source", "_source", "_field", "_token")
 
 
 def found(values: DataFrame, state: DataFrame) -> DataFrame:

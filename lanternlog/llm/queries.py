@@ -10,7 +10,7 @@ from lanternlog.sources.tables import table
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("CommandLine", "Image")])
-    return table(spark, d, "sec_events").select(F.col("_rid").alias("row_id"), F.inline(fields)).where("text is not null")
+    return table(spark, d, "sec_events").select(F.col("_rid").alias("row_id"), F.col("collector").alias("source"), F.inline(fields)).where("text is not null")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from lanternlog.llm import mojibake
 from lanternlog.plans import exports, incidents, rules
 from tests.test_incidents import det, frame
 
@@ -49,3 +50,15 @@ def test_all_detections_of_a_large_incident(spark, tmp_path):
     hive = json.loads(exports.thehive_alerts(spark, d).first().body)
     assert {p["patternId"]: p["occurDate"] for p in hive["procedures"]} == {"T1": 1735689601000, "T9": 1735689600000 + 2401 * 1000}
     assert "2500 detections" in [json.loads(r.body).get("description") for r in exports.stix_objects(spark, d).collect()]
+
+
+def test_a_source_read_wrongly_as_a_rule(spark):
+    """The same token, clean in one source and damaged in another that reads everything else wrongly too."""
+    words = ["größe", "über", "straße", "mädchen", "schön", "königin", "fußball", "grün", "früh", "tür", "bär", "löwe", "käse", "müll", "öl", "übung", "jäger", "hügel", "kühl", "süß"]
+    wrong = lambda w: w.encode("cp1252").decode("cp1251")
+    both = wrong("für")
+    rows = [("hot", w) for w in words for _ in range(300)] + [("hot", "für")] * 300 + [("hot", both)] * 60
+    rows += [("small", wrong(w)) for w in words for _ in range(20)] + [("small", both)] * 20
+    values = spark.createDataFrame([(i, s, "f", f"a {t}.txt") for i, (s, t) in enumerate(rows)], "row_id long, source string, field string, text string")
+    bad = {rows[r.rid] for r in mojibake.found(values, mojibake.fit(values)).collect()}
+    assert ("small", both) in bad and ("hot", both) not in bad and not {t for s, t in bad if s == "hot"} & set(words)
