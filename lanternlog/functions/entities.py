@@ -43,7 +43,7 @@ def ip_version(column: Column) -> Column:
 def canon_hex(column: Column) -> Column:
     """0x numbers in small letters without padding; anything else as it is."""
     bare = strip(column)
-    return F.when(bare.rlike("(?i)^0x[0-9a-f]+$"), F.concat(F.lit("0x"), F.regexp_replace(F.lower(F.substring(bare, 3, 4000)), "^0+(?=.)", ""))).otherwise(bare)
+    return F.when(bare.rlike("(?i)^0x[0-9a-f]+$"), F.regexp_replace(F.lower(bare), "^0x0*(?=.)", "0x")).otherwise(bare)
 
 
 def unmapped_ip(column: Column) -> Column:

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from lanternlog.functions import entities
 from lanternlog.llm import mojibake
 from lanternlog.plans import exports, incidents, rules
 from tests.test_incidents import det, frame
@@ -62,3 +63,9 @@ def test_a_source_read_wrongly_as_a_rule(spark):
     values = spark.createDataFrame([(i, s, "f", f"a {t}.txt") for i, (s, t) in enumerate(rows)], "row_id long, source string, field string, text string")
     bad = {rows[r.rid] for r in mojibake.found(values, mojibake.fit(values)).collect()}
     assert ("small", both) in bad and ("hot", both) not in bad and not {t for s, t in bad if s == "hot"} & set(words)
+
+
+def test_a_long_hex_number(spark):
+    long = "0X00" + "A1" * 3000
+    got = [r[0] for r in spark.createDataFrame([(long,), ("0x000",), (" 0x0a ",)], "v string").select(entities.canon_hex(F.col("v"))).collect()]
+    assert got == ["0x" + "a1" * 3000, "0x0", "0xa"]
