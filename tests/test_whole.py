@@ -2,11 +2,15 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lanternlog.functions import entities
 from lanternlog.llm import mojibake
+from lanternlog.operators import coverage
 from lanternlog.plans import exports, incidents, rules
+from lanternlog.sources.tables import table
+from tests.conftest import DATA
 from tests.test_incidents import det, frame
 
 
@@ -69,3 +73,12 @@ def test_a_long_hex_number(spark):
     long = "0X00" + "A1" * 3000
     got = [r[0] for r in spark.createDataFrame([(long,), ("0x000",), (" 0x0a ",)], "v string").select(entities.canon_hex(F.col("v"))).collect()]
     assert got == ["0x" + "a1" * 3000, "0x0", "0xa"]
+
+
+def test_a_profile_with_too_many_channels_or_ids(spark):
+    events = table(spark, DATA, "sec_events")
+    few = events.where("EventID is not null").limit(1).withColumn("_i", F.explode(F.array(*map(F.lit, range(1000, 1200)))))
+    with pytest.raises(ValueError, match="channels"):
+        coverage.profile(few.withColumn("Channel", F.concat(F.lit("c"), "_i")).drop("_i"), 50)
+    with pytest.raises(ValueError, match="event ids"):
+        coverage.profile(few.withColumn("EventID", F.col("_i")).drop("_i"), 50)
