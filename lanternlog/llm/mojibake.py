@@ -45,7 +45,8 @@ CLEAN = -1
 UNSEEN = -15.0
 #: Log-probability of another case of a word that occurs clean, so many times as often at least.
 OTHER_CASE, OFTENER = -3.0, 3
-ROUNDS = 4
+#: Rounds end when the share of damaged occurrences changes by less than this part of it, at the latest after so many.
+SETTLED, ROUNDS = 0.002, 12
 #: Token occurrences that the priors of all sources count for in those of one source.
 SHRINK = 50.0
 SPLIT = r"[\x00-@\[-`{-\x7f]+"
@@ -259,6 +260,7 @@ def fit(values: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     priors = {(f, k): p for f, own in start.items() for k, p in own.items()}
     rate = 0.05
     of_source = None  # source, field, whole, hurt, own_rate, mass by chain
+    before = 0.0
     for _ in range(rounds):
         letters = Letters()
         for r in state.select("token", (F.col("n") * F.col("clean")).alias("weight")).mapInArrow(_stats, "a string, b string, n double").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
@@ -308,6 +310,9 @@ def fit(values: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         rate = min(0.3, max(0.05, 2 * damage / max(intact, 1.0)))
         # the same of each source, drawn to that of all; a row a source and field, which stays in a table
         share = damage / max(damage + intact, 1.0)
+        if abs(share - before) <= SETTLED * share:
+            break
+        before = share
         by_chain = state.select("source", "field", F.inline(F.array(F.struct(F.lit(CLEAN).alias("k"), (F.col("n") * F.col("clean")).alias("m")), F.struct(F.col("chain").alias("k"), (F.col("n") * (1 - F.col("clean"))).alias("m")))))
         by_chain = by_chain.groupBy("source", "field", "k").agg(F.sum("m").alias("m"))
         bad, good = F.sum(F.when(F.col("k") != CLEAN, F.col("m")).otherwise(0.0)) + SHRINK * share, F.sum(F.when(F.col("k") == CLEAN, F.col("m")).otherwise(0.0)) + SHRINK * (1 - share)
@@ -332,7 +337,10 @@ def found(values: DataFrame, state: DataFrame) -> DataFrame:
 def repair(values: DataFrame, state: DataFrame) -> DataFrame:
     """row_id, field, text, repaired, chains, whole of each damaged value; whole: nothing of it is lost."""
     per = damaged_tokens(values, state).groupBy("row_id", "field").agg(
-        F.first("text").alias("text"), F.sort_array(F.collect_list(F.struct(F.length("token").alias("size"), "token", "restored")), False).alias("all"),
+        F.first("text").alias("text"), F.map_from_entries(F.collect_set(F.when(F.col("restored").isNotNull(), F.struct("token", "restored")))).alias("by"),
         F.array_join(F.sort_array(F.collect_set(F.element_at(F.array(*map(F.lit, NAMES)), F.col("chain") + 1))), "; ").alias("chains"), F.count(F.when(F.col("restored").isNull(), 1)).alias("lost"))
-    text = F.aggregate(F.filter("all", lambda x: x["restored"].isNotNull()), F.col("text"), lambda s, x: F.replace(s, x["token"], x["restored"]))
+    # token by token: a damaged token may also be a part of another one
+    tokens = F.transform(F.split("text", SPLIT), lambda t: F.coalesce(F.col("by")[t], t))
+    between = F.array_append(F.regexp_extract_all("text", F.lit(f"({SPLIT})"), 1), F.lit(""))
+    text = F.array_join(F.zip_with(tokens, between, lambda t, b: F.concat(t, b)), "")
     return per.select("row_id", "field", "text", text.alias("repaired"), "chains", (F.col("lost") == 0).alias("whole"))

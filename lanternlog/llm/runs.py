@@ -4,7 +4,9 @@ Events are range-partitioned by (group, order), which a hot group cannot
 unbalance because the order is part of the range. Inside a partition each event
 is compared with its predecessor (lag), changes are flagged, and the running
 sum of the flags is the run. Only the first and last run of a partition can go
-on in a neighbour; these few rows are merged in a second, small pass.
+on in a neighbour; these few rows are merged in a second, small pass. The runs
+of the partitions are written once: read from two plans, they would rest on two
+range partitionings, whose sampled bounds need not agree.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lanternlog.session import Tables
+
 IPV4 = r"^\d{1,3}(\.\d{1,3}){3}$"
 
 
@@ -99,7 +103,7 @@ def collapse(df: DataFrame, group: list[Column], what: Column, start: str, end:
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = rows.repartitionByRange(parts, "_grp", "_start", "_id").sortWithinPartitions("_grp", "_start", "_id").withColumn("_part", F.spark_partition_id())
     schema = "_grp string, _what string, _part int, _run long, first_id long, last_id long, n long, start_us long, end_us long, _edge int"
-    states = laid.mapInArrow(_partial, schema)
+    states = Tables(spark, "runs").put(laid.mapInArrow(_partial, schema))
     # Edge runs of one group in neighbouring partitions are neighbours, as all rows between them would be edge
     # runs too. A group has at most two of them a partition, so this window grows with partitions, not rows.
     along = Window.partitionBy("_grp").orderBy("_part", "_run")
