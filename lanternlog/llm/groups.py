@@ -13,12 +13,16 @@
    larger neighbours, then to its smaller ones, which halves the paths in each
    round; a chain of n vertices takes some log n rounds instead of n.
 
-Each round is written to the shared folder, which cuts the lineage. Only
-counts come to the driver.
+Each step writes its frontier alone to the shared folder, which cuts the
+lineage; a vertex next to a frontier lies in it, in the one before it or is
+fresh, so a step never looks at all that was reached. Only counts come to the
+driver.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, functions as F
 
 from lanternlog.operators.components import both_ways, label
@@ -42,22 +46,22 @@ def peel(tables: Tables, edges: DataFrame, steps: int = STEPS, slow: int = SLOW)
     hub = both_ways(edges).groupBy("u").count().orderBy(F.desc("count"), "u").limit(1).collect()
     if not hub:
         return None, None
-    spark = edges.sparkSession
-    reached = frontier = tables.put(spark.createDataFrame([(hub[0].u,)], "u long"))
-    size, step = 1, 0
+    layers = [tables.put(edges.sparkSession.createDataFrame([(hub[0].u,)], "u long"))]
+    size, least = 1, hub[0].u
     both = tables.put(both_ways(edges))
     while True:
-        near = both.join(frontier, "u", "left_semi").select(F.col("v").alias("u")).distinct()
-        fresh = tables.put(near.join(reached, "u", "left_anti"))
-        more = fresh.count()
-        step += 1
-        if not more:
+        near = both.join(layers[-1], "u", "left_semi").select(F.col("v").alias("u")).distinct()
+        fresh = tables.put(functools.reduce(lambda left, layer: left.join(layer, "u", "left_anti"), layers[-2:], near))
+        more = fresh.agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("least")).first()
+        if not more.n:
+            tables.drop(fresh)
             break
-        reached = tables.put(reached.unionAll(fresh))
-        frontier, size = fresh, size + more
-        if step >= steps and more * slow < size:
+        layers.append(fresh)
+        size, least = size + more.n, min(least, more.least)
+        if len(layers) > steps and more.n * slow < size:
             break
-    return reached, reached.agg(F.min("u")).first()[0]
+    tables.drop(both)
+    return functools.reduce(DataFrame.unionAll, layers), least
 
 
 def components(edges: DataFrame, steps: int = STEPS, slow: int = SLOW) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lanternlog.functions.words import LETTER, classes
+from lanternlog.llm.words import LETTER, classes
 from lanternlog.session import spread
 
 LANGUAGES = ["de", "en", "es", "fr", "it", "nl", "pl", "pt", "ru", "zh"]

@@ -24,10 +24,15 @@ CYRILLIC = dict(zip("аеорсухіѕјһԁԛԝѵӏАВЕІЈКМНОРСТУ
 GREEK = dict(zip("αγινορυϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺ", "ayivopucjABEZHIKMNOPTYXCM"))
 ARMENIAN = dict(zip("օսհոզցՕՍՏԼ", "ouhnqgOUSL"))
 CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎥᎫᏦᏞᎷᏢᏚᎢᏙᏔᏃ", "ABCDEGHiJKLMPSTVWZ"))
-LATIN = dict(zip("ɑɡꓐꓳ", "agBO"))
+LATIN = dict(zip("ɑɡıȷᴄᴏꜱᴠᴡᴢ", "agijcosvwz"))
+CHEROKEE_SMALL = dict(zip("ꭵꮁꮃꮓꮩꮪꮯ", "irwzvsc"))
+COPTIC = dict(zip("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲥⲣ", "HIKMNOPCTYXocp"))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+DESERET = dict(zip("𐐄𐐕𐐛𐐠𐐬𐐽𐑈", "OCLSocs"))
+ROUND = dict.fromkeys("०੦૦௦౦೦൦๐໐၀סօ", "o")
 MARKS_OF_TEXT = dict(zip("‘’ʼʹ′ꞌ‛“”„‟″∶꞉ː∕⁄⧵∖․∙", "'''''''\"\"\"\"\"::://\\\\.·"))
 DASHES = "‐‑‒–—―−⁃－﹣˗"
-LOOKALIKES = {**CYRILLIC, **GREEK, **ARMENIAN, **CHEROKEE, **LATIN, **MARKS_OF_TEXT, **dict.fromkeys(DASHES, "-")}
+LOOKALIKES = {**CYRILLIC, **GREEK, **ARMENIAN, **CHEROKEE, **CHEROKEE_SMALL, **COPTIC, **LISU, **DESERET, **LATIN, **ROUND, **MARKS_OF_TEXT, **dict.fromkeys(DASHES, "-")}
 INVISIBLE = "᠎͏ᅟᅠ឴឵ㅤﾠ"
 LIMIT = 0x110000
 HANGUL = range(0xAC00, 0xD7A4)

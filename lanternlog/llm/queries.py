@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lanternlog.llm import groups, languages, lookalikes, mojibake, runs, tokens
+from lanternlog.llm import groups, languages, lookalikes, mixing, mojibake, runs, tokens
 from lanternlog.sources.tables import table
 
 
@@ -61,6 +61,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(table(spark, d, "documents"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "source_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
+
+
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     return languages.assign(documents, languages.train(documents))
@@ -75,7 +83,7 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d).select("doc_id", "cell_no", "para_no", "lang", "confidence")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_repaired, p4_found, p5_found, p5_names, p6_found, p6_runs, p8_ids, p10_found, p10_languages)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_repaired, p4_found, p5_found, p5_names, p6_found, p6_runs, p8_ids, p9_mix, p9_shares, p10_found, p10_languages)}
 
 _HOST = "CASE WHEN regexp_full_match(h, '\\d{1,3}(\\.\\d{1,3}){3}') OR contains(h, ':') THEN regexp_replace(h, '^::ffff:([0-9.]+)$', '\\1') ELSE split_part(h, '.', 1) END"
 _RUNS = f"""

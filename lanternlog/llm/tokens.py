@@ -1,6 +1,6 @@
 """Encoding a corpus with a public byte-level BPE vocabulary: speculate and verify.
 
-Texts are split into words by core's vectorised splitter. Of the words a worker
+Texts are split into words by the vectorised splitter of words.py. Of the words a worker
 hasn't met, greedy longest match proposes tokens, for all positions of all
 words at once. A proposal is the BPE encoding exactly if each of its tokens
 encodes to itself and every adjacent pair is compatible, that is if the two
@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lanternlog.functions.tokensize import NAME, VOCABULARIES, chunks
-from lanternlog.functions.words import pieces, split
+from lanternlog.llm.sizes import NAME, VOCABULARIES, chunks
+from lanternlog.llm.words import pieces, split
 from lanternlog.session import spread
 
 #: Words, and tokens of words, that a worker keeps; beyond it starts anew.
