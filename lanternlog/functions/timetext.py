@@ -116,8 +116,10 @@ def readings(text: pa.Array, tz: pa.Array, order: pa.Array) -> tuple[np.ndarray,
     """(offsets, us, form, cost): the readings of each text of a batch.
 
     tz, order: what each text's source declares, or null. Readings of a text
-    come cheapest first; readings of one instant are one. A text that names no
-    instant (null, empty, words, an impossible date or time) has none.
+    come cheapest first; readings of one instant are one, but for the two orders
+    of an equal day and month, which fit what is around them either way. A text
+    that names no instant (null, empty, words, an impossible date or time) has
+    none.
     """
     n = len(text)
     text = pc.utf8_trim(pc.fill_null(text.cast(pa.string()), ""), BLANKS)
@@ -190,10 +192,10 @@ def readings(text: pa.Array, tz: pa.Array, order: pa.Array) -> tuple[np.ndarray,
                 if kind == "naive":
                     add(rows[at], wall[at], form + 2, extra[at] + (AGAINST if local else 0))
     row, us, form, cost = (np.concatenate(x).astype(np.int64) for x in zip(*found))
-    by = np.lexsort((np.arange(len(row)), cost, us, row))
+    by = np.lexsort((np.arange(len(row)), cost, form // 4, us, row))
     row, us, form, cost, seq = row[by], us[by], form[by], cost[by], by
     first = np.ones(len(row), bool)
-    first[1:] = (row[1:] != row[:-1]) | (us[1:] != us[:-1])
+    first[1:] = (row[1:] != row[:-1]) | (us[1:] != us[:-1]) | (form[1:] // 4 != form[:-1] // 4)
     row, us, form, cost, seq = row[first], us[first], form[first], cost[first], seq[first]
     by = np.lexsort((seq, cost, row))
     return np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]), us[by], form[by], cost[by]

@@ -1,9 +1,10 @@
 """Schemas that drift between files: tagged-union inference over JSON lines.
 
-Each batch of lines is fused to the set of (file, path, type) it holds, so a
-shuffle carries a row a file, path and type and batch, never a row a record.
-A path keeps all types it is seen with (a tagged union); a conflict splits the
-field into typed branches beside one canonical text.
+Each batch of lines is fused to the set of (file, path, type) it holds, over
+all paths, so a shuffle carries a row a file, path and type and batch, never a
+row a record. A path keeps all types it is seen with (a tagged union); a
+catalog of spellings, joined afterwards, only renames paths; a conflict splits
+the field into typed branches beside one canonical text.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def _refuse(name: str) -> None:
     raise ValueError(name)  # NaN and Infinity are not JSON
 
 
-def leaves(obj: dict, wanted: frozenset[str] | None = None) -> Iterator[tuple[str, object]]:
+def leaves(obj: dict) -> Iterator[tuple[str, object]]:
     """(dotted path, value) of every value but null, objects before what they hold; a dotted name and nested objects give the same path."""
     todo = [("", obj)]
     while todo:
@@ -52,49 +53,48 @@ def leaves(obj: dict, wanted: frozenset[str] | None = None) -> Iterator[tuple[st
             if value is None:
                 continue
             path = prefix + name
-            if wanted is None or path in wanted:
-                yield path, value
+            yield path, value
             if isinstance(value, dict):
                 todo.append((path + ".", value))
 
 
-def _fuse(names: dict[str, str]):
-    wanted = frozenset(names)
-
-    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: set[tuple] = set()
-            for feed, file_no, payload in zip(*(batch[c].to_pylist() for c in ("feed", "file_no", "payload"))):
-                obj = parse_line(payload)
-                seen.add((feed, file_no, None, None, None))
-                for path, value in leaves(obj, wanted) if obj else ():
-                    seen.add((feed, file_no, names[path], path, json_type(value)))
-            rows = list(zip(*seen)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), *(pa.array(r, pa.string()) for r in rows[2:])], ["feed", "file_no", "field", "spelling", "json_type"])
-
-    return fuse
+def _fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen: set[tuple] = set()
+        for feed, file_no, payload in zip(*(batch[c].to_pylist() for c in ("feed", "file_no", "payload"))):
+            obj = parse_line(payload)
+            seen.add((feed, file_no, None, None))
+            if obj:
+                seen.update((feed, file_no, path, json_type(value)) for path, value in leaves(obj))
+        rows = list(zip(*seen)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), *(pa.array(r, pa.string()) for r in rows[2:])], ["feed", "file_no", "path", "json_type"])
 
 
-def alias_names(aliases: DataFrame, most: int = 10_000) -> dict[str, str]:
-    """spelling -> field, of a catalog of at most `most` rows."""
-    rows = aliases.select("spelling", "field").where("spelling is not null and field is not null").distinct().limit(most + 1).collect()
+def alias_names(aliases: DataFrame, most: int = 1_000_000) -> dict[str, str]:
+    """spelling -> field, of a catalog of at most `most` rows; of a spelling given to two fields the first by name counts."""
+    rows = aliases.where("spelling is not null and field is not null").groupBy("spelling").agg(F.min("field").alias("field")).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} spellings")
     return {r.spelling: r.field for r in rows}
 
 
-def schemas(raw: DataFrame, names: dict[str, str]) -> DataFrame:
-    """feed, file_no, field, spellings, types: a row a file and field; a row with a null field a file.
+def schemas(raw: DataFrame, aliases: DataFrame) -> DataFrame:
+    """feed, file_no, field, named, spellings, types: a row a file and field; a row with a null field a file.
 
-    spellings, types are sorted arrays. Lines delivered twice or late change
-    nothing; a file without any good line still is a file.
+    aliases: spelling, field, of any size. A path that is no spelling is a
+    field under its own name, with `named` false. spellings, types are sorted
+    arrays. Lines delivered twice or late change nothing; a file without any
+    good line still is a file.
     """
-    fused = raw.select("feed", F.col("file_no").cast("long").alias("file_no"), "payload").mapInArrow(_fuse(names), "feed string, file_no long, field string, spelling string, json_type string")
-    return fused.groupBy("feed", "file_no", "field").agg(F.sort_array(F.collect_set("spelling")).alias("spellings"), F.sort_array(F.collect_set("json_type")).alias("types"))
+    fused = raw.select("feed", F.col("file_no").cast("long").alias("file_no"), "payload").mapInArrow(_fuse, "feed string, file_no long, path string, json_type string")
+    fused = fused.groupBy("feed", "file_no", "path").agg(F.collect_set("json_type").alias("types"))
+    known = aliases.where("spelling is not null and field is not null").groupBy(F.col("spelling").alias("path")).agg(F.min("field").alias("_field"))
+    named = fused.join(known, "path", "left").select("feed", "file_no", F.coalesce("_field", "path").alias("field"), F.col("_field").isNotNull().alias("named"), "path", "types")
+    return named.groupBy("feed", "file_no", "field", "named").agg(F.sort_array(F.collect_set("path")).alias("spellings"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("types"))
 
 
 def changes(schema: DataFrame) -> DataFrame:
-    """feed, file_no, change_kind, field, was, now: each change from the file before.
+    """feed, file_no, change_kind, field, named, was, now: each change from the file before.
 
     The file before is the one with the next smaller file_no of the feed. A
     feed's first file has no changes. Rows with a null feed or file_no are
@@ -106,15 +106,15 @@ def changes(schema: DataFrame) -> DataFrame:
     along = Window.partitionBy("feed").orderBy("file_no")
     files = files.withColumn("_before", F.lag("file_no").over(along)).withColumn("_after", F.lead("file_no").over(along))
     has = schema.where(F.col("field").isNotNull()).join(files, ["feed", "file_no"])
-    own = has.select("feed", "file_no", "_before", "field", F.lit(1).alias("_side"), "spellings", "types")
+    own = has.select("feed", "file_no", "_before", "field", "named", F.lit(1).alias("_side"), "spellings", "types")
     # what a file leaves to the next, so that one aggregation meets both
-    left = has.where(F.col("_after").isNotNull()).select("feed", F.col("_after").alias("file_no"), F.col("file_no").alias("_before"), "field", F.lit(0).alias("_side"), "spellings", "types")
-    both = own.where(F.col("_before").isNotNull()).unionByName(left).groupBy("feed", "file_no", "field").agg(
+    left = has.where(F.col("_after").isNotNull()).select("feed", F.col("_after").alias("file_no"), F.col("file_no").alias("_before"), "field", "named", F.lit(0).alias("_side"), "spellings", "types")
+    both = own.where(F.col("_before").isNotNull()).unionByName(left).groupBy("feed", "file_no", "field", "named").agg(
         *[F.first(F.when(F.col("_side") == s, F.col(c)), True).alias(f"{n}_{c}") for s, n in ((0, "was"), (1, "now")) for c in ("spellings", "types")])
     kinds = F.when(F.col("was_spellings").isNull(), F.array(F.lit("added"))).when(F.col("now_spellings").isNull(), F.array(F.lit("removed"))).otherwise(
         F.array_compact(F.array(F.when(F.col("was_spellings") != F.col("now_spellings"), F.lit("renamed")), F.when(F.col("was_types") != F.col("now_types"), F.lit("retyped")))))
     show = lambda side: F.concat_ws(" as ", F.array_join(f"{side}_spellings", ", "), F.array_join(f"{side}_types", ", "))
-    return both.select("feed", "file_no", F.explode(kinds).alias("change_kind"), "field", show("was").alias("was"), show("now").alias("now"))
+    return both.select("feed", "file_no", F.explode(kinds).alias("change_kind"), "field", "named", show("was").alias("was"), show("now").alias("now"))
 
 
 def _canonical(value: object) -> str:

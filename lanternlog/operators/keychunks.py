@@ -3,8 +3,8 @@
 A few keys hold most rows, so a task per key leaves most of a cluster idle.
 Here a task never holds a key, only an equal-sized chunk of one:
 
-1. rows fall into input partitions of at most `width` values of an integer
-   order column that is unique, so a partition holds at most `width` rows;
+1. rows fall into input partitions, ranges of an integer order column that is
+   unique; quantiles give each about `width` rows, be the values dense or not;
 2. keys are counted per partition (with map-side combine);
 3. a prefix sum of those counts gives each (partition, key) its offset;
 4. offset + rank inside (partition, key) is the row's exact number in its key;
@@ -12,49 +12,73 @@ Here a task never holds a key, only an equal-sized chunk of one:
    boundary states (first and last row) are merged per key.
 
 Only step 3 and the merge look at one key at once, over a row a partition or
-a chunk, not a row a record.
+a chunk, not a row a record. Keys are compared by their text and whether they
+are null, so that equality joins serve null keys too.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lanternlog.operators.ranges import bounds, numbered
+
 WIDTH, SIZE = 1 << 16, 1 << 15
 
 
-def key_offsets(df: DataFrame, keys: list[str], order: str, width: int = WIDTH) -> DataFrame:
-    """keys, _part, _n, _before: the rows of a key in and before each input partition."""
-    counts = df.groupBy(*keys, F.floor(F.col(order) / width).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+def _codes(keys: list[str]) -> list[str]:
+    return [f"_{what}_{i}" for i in range(len(keys)) for what in ("null", "key")]
+
+
+def placed(df: DataFrame, keys: list[str], order: str, width: int = WIDTH) -> DataFrame:
+    """df with _part, the input partition, and the coded keys."""
+    cuts = bounds(df.select(order), order, width)
+    coded = {f"_null_{i}": F.col(k).isNull() for i, k in enumerate(keys)} | {f"_key_{i}": F.coalesce(F.col(k).cast("string"), F.lit("")) for i, k in enumerate(keys)}
+    return numbered(df, order, cuts).withColumns(coded)
+
+
+def key_offsets(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """coded keys, _part, _n, _before: the rows of a key in and before each input partition. rows: as of placed()."""
+    codes = _codes(keys)
+    counts = rows.groupBy(*codes, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*codes).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
 
 
+def _numbered_rows(rows: DataFrame, keys: list[str], order: str, size: int) -> DataFrame:
+    """Placed rows with _number and _chunk_of_key."""
+    codes = _codes(keys)
+    inside = Window.partitionBy(*codes, "_part").orderBy(order)
+    ranked = rows.withColumn("_rank", F.row_number().over(inside))
+    joined = ranked.join(key_offsets(rows, keys).drop("_n"), [*codes, "_part"]).withColumn("_number", F.col("_before") + F.col("_rank") - 1)
+    return joined.withColumn("_chunk_of_key", F.floor(F.col("_number") / size))
+
+
 def number_rows(df: DataFrame, keys: list[str], order: str, width: int = WIDTH, size: int = SIZE) -> DataFrame:
     """df with _number (from 0 in its key, by `order`) and _chunk_of_key.
 
     Null keys form a key of their own. `order` must be a unique integer and
-    not null; negative values are fine. An empty table gives an empty one.
+    not null; negative and sparse values are fine. An empty table gives an
+    empty one.
     """
-    offsets = key_offsets(df, keys, order, width).drop("_n")
-    inside = Window.partitionBy(*keys, "_part").orderBy(order)
-    rows = df.withColumn("_part", F.floor(F.col(order) / width)).withColumn("_rank", F.row_number().over(inside))
-    other = offsets.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], F.col("_part").alias("_part_of"), "_before")
-    cond = rows["_part"] == other["_part_of"]
-    for i, key in enumerate(keys):
-        cond = cond & rows[key].eqNullSafe(other[f"_key_{i}"])
-    joined = rows.join(other, cond).withColumn("_number", F.col("_before") + F.col("_rank") - 1)
-    return joined.select(*df.columns, "_number", F.floor(F.col("_number") / size).alias("_chunk_of_key"))
+    return _numbered_rows(placed(df, keys, order, width), keys, order, size).select(*df.columns, "_number", "_chunk_of_key")
 
 
 def key_counts(df: DataFrame, keys: list[str], order: str, width: int = WIDTH, size: int = SIZE) -> DataFrame:
-    """keys, n_rows, n_chunks: per-key totals merged from the counts of input partitions.
+    """keys, n_rows, n_chunks: rows are numbered, each chunk gives its first and last number, and a key's chunks are merged in order.
 
-    The state of a count is the count, so the boundary states to merge are
-    those of key_offsets: the key's last partition holds the total.
+    A chunk follows on the one before it exactly if it begins behind its last
+    number; a key whose chunks don't follow on one another would be no count
+    and raises an error.
     """
-    offsets = key_offsets(df, keys, order, width)
-    total = F.max(F.col("_before") + F.col("_n"))
-    return offsets.groupBy(*keys).agg(total.alias("n_rows"), F.ceil(total / size).alias("n_chunks"))
+    codes = _codes(keys)
+    rows = _numbered_rows(placed(df, keys, order, width), keys, order, size)
+    states = rows.groupBy(*codes, "_chunk_of_key").agg(F.min("_number").alias("_first"), F.max("_number").alias("_last"), F.count(F.lit(1)).alias("_n"), *[F.first(k).alias(k) for k in keys])
+    along = Window.partitionBy(*codes).orderBy("_chunk_of_key")
+    follows = F.col("_first") == F.coalesce(F.lag("_last").over(along), F.lit(-1)) + 1
+    whole = follows & (F.col("_n") == F.col("_last") - F.col("_first") + 1)
+    merged = states.withColumn("_whole", whole).groupBy(*codes).agg(*[F.first(k).alias(k) for k in keys], (F.max("_last") + 1).alias("n_rows"), F.count(F.lit(1)).alias("n_chunks"), F.min("_whole").alias("_whole"))
+    checked = F.when(F.col("_whole"), F.col("n_rows")).otherwise(F.raise_error(F.lit(f"`{order}` isn't unique")).cast("long"))
+    return merged.select(*keys, checked.alias("n_rows"), "n_chunks")
 
 
 def key_profile(df: DataFrame, keys: list[str], order: str, ts: str, width: int = WIDTH, size: int = SIZE) -> DataFrame:
@@ -62,41 +86,39 @@ def key_profile(df: DataFrame, keys: list[str], order: str, ts: str, width: int
 
     n_rows, first_at, last_at (first and last row by `order`), max_step_us and
     n_back: the largest step of `ts` (microseconds) between neighbours, 0 for
-    a key of one row, and the number of neighbours whose `ts` steps back. Rows with a null `ts` count in
-    n_rows only.
+    a key of one row, and the number of neighbours whose `ts` steps back. Rows
+    with a null `ts` count in n_rows only.
     """
-    rows = number_rows(df, keys, order, width, size)
-    one = Window.partitionBy(*keys, "_chunk_of_key").orderBy("_number")
-    timed = rows.where(F.col(ts).isNotNull()).withColumn("_us", F.unix_micros(ts))
-    step = timed.withColumn("_step", F.col("_us") - F.lag("_us").over(one))
-    states = step.groupBy(*keys, "_chunk_of_key").agg(
-        F.min_by("_us", "_number").alias("_first"), F.max_by("_us", "_number").alias("_last"),
-        F.max("_step").alias("_max"), F.sum(F.when(F.col("_step") < 0, 1).otherwise(0)).alias("_back"))
-    seam = F.col("_first") - F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk_of_key"))
-    merged = states.withColumn("_seam", seam).groupBy(*keys).agg(
-        F.timestamp_micros(F.min_by("_first", "_chunk_of_key")).alias("first_at"),
-        F.timestamp_micros(F.max_by("_last", "_chunk_of_key")).alias("last_at"),
-        F.greatest(F.max("_max"), F.max("_seam")).alias("max_step_us"),
-        (F.sum("_back") + F.sum(F.when(F.col("_seam") < 0, 1).otherwise(0))).alias("n_back"))
-    counts = key_counts(df, keys, order, width, size)
-    merged = merged.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "first_at", "last_at", "max_step_us", "n_back")
-    cond = F.lit(True)
-    for i, key in enumerate(keys):
-        cond = cond & counts[key].eqNullSafe(merged[f"_k{i}"])
-    return counts.join(merged, cond, "left").select(*keys, "n_rows", "first_at", "last_at", F.coalesce("max_step_us", F.lit(0)).alias("max_step_us"), F.coalesce("n_back", F.lit(0)).alias("n_back"))
-
-
-def heavy_keys(df: DataFrame, scope: str, fields: list[str], order: str, share: int = 20, width: int = WIDTH) -> DataFrame:
+    codes = _codes(keys)
+    rows = _numbered_rows(placed(df.select(*keys, order, ts), keys, order, width), keys, order, size).withColumn("_us", F.unix_micros(ts))
+    one = Window.partitionBy(*codes, "_chunk_of_key").orderBy("_number")
+    step = rows.withColumn("_step", F.col("_us") - F.last("_us", True).over(one.rowsBetween(Window.unboundedPreceding, -1)))
+    timed = F.when(F.col("_us").isNotNull(), F.col("_number"))
+    states = step.groupBy(*codes, "_chunk_of_key").agg(
+        F.min_by("_us", timed).alias("_first"), F.max_by("_us", timed).alias("_last"), F.max("_step").alias("_max"),
+        F.count_if(F.col("_step") < 0).alias("_back"), F.count(F.lit(1)).alias("_n"), *[F.first(k).alias(k) for k in keys])
+    seam = F.col("_first") - F.last("_last", True).over(Window.partitionBy(*codes).orderBy("_chunk_of_key").rowsBetween(Window.unboundedPreceding, -1))
+    merged = states.withColumn("_seam", seam).groupBy(*codes).agg(
+        *[F.first(k).alias(k) for k in keys], F.sum("_n").alias("n_rows"),
+        F.timestamp_micros(F.min_by("_first", F.when(F.col("_first").isNotNull(), F.col("_chunk_of_key")))).alias("first_at"),
+        F.timestamp_micros(F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col("_chunk_of_key")))).alias("last_at"),
+        F.coalesce(F.greatest(F.max("_max"), F.max("_seam")), F.lit(0)).alias("max_step_us"),
+        (F.sum("_back") + F.count_if(F.col("_seam") < 0)).alias("n_back"))
+    return merged.select(*keys, "n_rows", "first_at", "last_at", "max_step_us", "n_back")
+
+
+def heavy_keys(df: DataFrame, scope: str, fields: list[str], order: str, share: int = 20, width: int = WIDTH, size: int = SIZE) -> DataFrame:
     """scope, field, key_value, n_rows: values that hold at least 1/share of all rows of their scope.
 
     Null values are no keys but count as rows of the scope; a null scope is a
     scope of its own. Numbers come out as decimal text.
     """
     entries = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("key_value")) for f in fields])
+    # a row comes once a field, so `order` stays unique in a key
     long = df.select(F.col(scope).alias("_scope"), F.col(order).alias("_order"), F.inline(entries))
-    counts = key_counts(long, ["_scope", "field", "key_value"], "_order", width)
+    counts = key_counts(long, ["_scope", "field", "key_value"], "_order", width, size)
     # every row has one entry a field, null values included, so a field's counts add up to the scope's rows
-    total = counts.where(F.col("field") == fields[0]).groupBy("_scope").agg(F.sum("n_rows").alias("_rows"))
-    total = total.withColumnRenamed("_scope", "_in")
-    found = counts.join(total, counts["_scope"].eqNullSafe(total["_in"])).where(F.col("key_value").isNotNull() & (F.col("n_rows") * share >= F.col("_rows")))
-    return found.select(F.col("_scope").alias(scope), "field", "key_value", "n_rows")
+    rows = counts.withColumns({"_none": F.col("_scope").isNull(), "_in": F.coalesce(F.col("_scope").cast("string"), F.lit(""))})
+    total = rows.groupBy("_none", "_in", "field").agg(F.sum("n_rows").alias("_rows"))
+    enough = F.col("key_value").isNotNull() & (F.col("n_rows") * share >= F.col("_rows"))
+    return rows.join(total, ["_none", "_in", "field"]).where(enough).select(F.col("_scope").alias(scope), "field", "key_value", "n_rows")

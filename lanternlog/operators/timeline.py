@@ -6,14 +6,14 @@ and month, the earlier instant of a repeated wall-clock time) costs AGAINST;
 a source that declares nothing leaves its readings alike. Along the records of
 a source a switch of form costs SWITCH and a step back in time BACK.
 
-AGAINST is more than twice SWITCH + BACK. Replacing a contradicting reading by
-the declared one saves AGAINST and changes two transitions, each by SWITCH +
-BACK at most, so where a source declares its reading Viterbi always takes it,
-and a record with exactly one reading that isn't contradicted is an anchor:
-its state is known before the pass. Paths are decoupled at anchors, so the
-sequence is cut there into chunks that are solved apart, exactly, and no task
-holds a source. Only a source that declares nothing and writes nothing
-unambiguous for more than BLOCK records makes a longer chunk.
+The record order of a source is cut into blocks of equally many records. Each
+block gives the cheapest cost from every reading of its first record to every
+reading of its last (a min-plus matrix); a source's matrices, a row a block,
+are chained, which fixes the readings at the blocks' ends; then each block is
+solved between its ends. That is exact whatever the texts are, and no task
+holds a source. AGAINST is more than any two transitions cost, so where a
+source declares its reading that is what the path takes; where it declares
+nothing, the transitions decide.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from lanternlog.functions.timetext import AGAINST, CANONICAL, readings as text_readings
+from lanternlog.functions.timetext import CANONICAL, readings as text_readings
+from lanternlog.operators.ranges import bounds, numbered
+from lanternlog.session import Tables
 
 SWITCH, BACK, BLOCK = 3, 5, 1 << 16
 UNKNOWN = 1 << 40
@@ -111,52 +113,111 @@ def viterbi(us: np.ndarray, form: np.ndarray, cost: np.ndarray, count: np.ndarra
     return pick
 
 
-def _solve(table: pa.Table) -> pa.Table:
-    order = np.argsort(table["_order"].to_numpy(), kind="stable")
-    table = table.take(pa.array(order))
+def _matrices(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(the records of a block in order, instants, forms, costs, readings of each)."""
+    table = table.take(pa.array(np.argsort(table["row_id"].to_numpy(), kind="stable")))
     lists = table["cand_us"].combine_chunks()
     starts = lists.offsets.to_numpy()
     count = np.diff(starts)
     k = int(count.max(initial=1))
     at = np.minimum(starts[:-1, None] + np.arange(k)[None, :], max(starts[-1] - 1, 0))
+    us, form, cost = (table[name].combine_chunks().values.to_numpy(zero_copy_only=False)[at].astype(np.int64) for name in ("cand_us", "cand_form", "cand_cost"))
+    return table, us, form, cost, count
 
-    def matrix(name: str) -> np.ndarray:
-        flat = table[name].combine_chunks().values.to_numpy(zero_copy_only=False)
-        return flat[at].astype(np.int64)
 
-    us = matrix("cand_us")
-    pick = viterbi(us, matrix("cand_form"), matrix("cand_cost"), count)
-    table = table.append_column("utc_us", pa.array(us[np.arange(len(us)), pick])).filter(table["_emit"])
-    return table.select(["src", "row_id", "field", "text", "utc_us"])
+def _move(us: np.ndarray, form: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Costs of the transitions between the readings of two records."""
+    return SWITCH * (form[a][:, None] != form[b][None, :]) + BACK * (us[a][:, None] > us[b][None, :])
+
+
+def ends(us: np.ndarray, form: np.ndarray, cost: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The cheapest cost from each reading of the first record to each of the last, up to one constant.
+
+    Between two records with one reading all paths cost the same, so only the
+    stretches before the first and behind the last of them are walked.
+    """
+    n, k = us.shape
+    cost = np.where(np.arange(k)[None, :] >= count[:, None], UNKNOWN, cost)
+
+    def walk(a: int, b: int) -> np.ndarray:
+        total = np.full((k, k), UNKNOWN)
+        np.fill_diagonal(total, cost[a])
+        for i in range(a + 1, b + 1):
+            total = np.minimum((total[:, :, None] + _move(us, form, i - 1, i)[None]).min(1) + cost[i][None, :], UNKNOWN)
+        return total
+
+    single = np.flatnonzero(count == 1)
+    if not len(single):
+        return walk(0, n - 1)
+    head, tail = walk(0, single[0])[:, :1], walk(single[-1], n - 1)[:1]
+    return np.minimum(head + tail, UNKNOWN)
+
+
+_KEYS = ["src", "field", "source"]
+_STATE = "src string, field string, source string, _block long, first_us array<bigint>, first_form array<bigint>, last_us array<bigint>, last_form array<bigint>, move array<bigint>"
+_PICKS = "src string, field string, source string, _block long, first_pick int, last_pick int"
+
+
+def _states(table: pa.Table) -> pa.Table:
+    table, us, form, cost, count = _matrices(table)
+    values = [[x.tolist()] for x in (us[0], form[0], us[-1], form[-1], ends(us, form, cost, count).ravel())]
+    keys = [table[c].slice(0, 1) for c in (*_KEYS, "_block")]
+    return pa.Table.from_arrays([*keys, *(pa.array(v, pa.list_(pa.int64())) for v in values)], [*_KEYS, "_block", "first_us", "first_form", "last_us", "last_form", "move"])
+
+
+def _chain(table: pa.Table) -> pa.Table:
+    """The readings at the ends of each block of a source on its cheapest path; a row a block."""
+    table = table.sort_by("_block")
+    rows = table.select(["first_us", "first_form", "last_us", "last_form", "move"]).to_pylist()
+    best, trace = None, []
+    for i, row in enumerate(rows):
+        us, form = np.array(row["first_us"]), np.array(row["first_form"])
+        move = np.array(row["move"]).reshape(len(us), -1)
+        if best is None:
+            enter, came = np.zeros(len(us), np.int64), np.full(len(us), -1)
+        else:
+            last_us, last_form = np.array(rows[i - 1]["last_us"]), np.array(rows[i - 1]["last_form"])
+            cross = best[:, None] + SWITCH * (last_form[:, None] != form[None, :]) + BACK * (last_us[:, None] > us[None, :])
+            enter, came = cross.min(0), cross.argmin(0)
+        total = np.minimum(enter[:, None] + move, UNKNOWN)
+        trace.append((total.argmin(0), came))
+        best = total.min(0)
+        best = best - best.min()
+    at, picks = int(best.argmin()), []
+    for first, came in reversed(trace):
+        picks.append((int(first[at]), at))
+        at = int(came[first[at]])
+    picks.reverse()
+    out = table.select([*_KEYS, "_block"])
+    return out.append_column("first_pick", pa.array([p[0] for p in picks], pa.int32())).append_column("last_pick", pa.array([p[1] for p in picks], pa.int32()))
+
+
+def _solve(records: pa.Table, picks: pa.Table) -> pa.Table:
+    """The cheapest path of one block between the readings chosen for its ends."""
+    table, us, form, cost, count = _matrices(records)
+    for row, name in ((0, "first_pick"), (-1, "last_pick")):
+        chosen = picks[name][0].as_py()
+        cost[row, np.arange(cost.shape[1]) != chosen] = UNKNOWN
+    pick = viterbi(us, form, cost, count)
+    return table.append_column("utc_us", pa.array(us[np.arange(len(us)), pick])).select(["src", "row_id", "field", "text", "utc_us"])
 
 
 def resolve(long: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
     """src, row_id, field, text, utc_us of every value that names an instant.
 
-    long: src, row_id (unique integer in src, the record order), field,
-    source, text. Equal times, repeated rows and late rows are ordinary
-    records. Values that name no instant are left out.
+    long: src, row_id (unique integer in src, the record order, dense or
+    sparse), field, source, text. Equal times, repeated rows and late rows are
+    ordinary records. Values that name no instant are left out. The readings
+    are written once to the shared folder.
     """
-    rows = readings(long, sources).where(F.size("cand_us") > 0)
-    keys = ["src", "field", "source"]
-    undisputed = F.size(F.filter("cand_cost", lambda c: c < AGAINST)) == 1
-    rows = rows.withColumn("_block", F.floor(F.col("row_id") / block)).withColumn("_anchor", undisputed)
-    firsts = rows.groupBy(*keys, "_block").agg(F.min(F.when(F.col("_anchor"), F.col("row_id"))).alias("_first"))
-    along = Window.partitionBy(*keys).orderBy("_block")
-    # the chunk that is open when a block begins, and the anchor at which the block's own begins
-    chunks = firsts.withColumn("_own", F.when(F.col("_first").isNotNull(), F.col("_block"))).withColumn("_open", F.coalesce(F.last("_own", True).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)))
-    chunks = chunks.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_block").alias("_in"), "_first", "_open")
-    cond = rows["_block"] == chunks["_in"]
-    for key in keys:
-        cond = cond & rows[key].eqNullSafe(chunks[f"_{key}"])
-    rows = rows.join(chunks, cond)
-    own, opened = F.struct(F.col("_block").alias("_chunk"), F.lit(True).alias("_emit")), F.struct(F.col("_open").alias("_chunk"), F.lit(True).alias("_emit"))
-    closing = F.struct(F.col("_open").alias("_chunk"), F.lit(False).alias("_emit"))
-    placed = F.when(F.col("row_id") == F.col("_first"), F.array(own, closing)).when(F.col("row_id") > F.col("_first"), F.array(own)).otherwise(F.array(opened))
-    # an anchor that closes a chunk shows only its undisputed reading there, as the path must pass it
-    laid = rows.select(*keys, "row_id", "text", F.col("row_id").alias("_order"), "cand_us", "cand_form", "cand_cost", F.inline(placed))
+    cuts = bounds(long.select("row_id"), "row_id", block)
+    rows = numbered(readings(long, sources).where(F.size("cand_us") > 0), "row_id", cuts, "_block")
+    rows = Tables(long.sparkSession, "times").put(rows)
+    keys = [*_KEYS, "_block"]
+    states = rows.select("src", "field", "source", "_block", "row_id", "cand_us", "cand_form", "cand_cost").groupBy(*keys).applyInArrow(_states, _STATE)
+    picks = states.groupBy(*_KEYS).applyInArrow(_chain, _PICKS)
     schema = "src string, row_id long, field string, text string, utc_us long"
-    return laid.groupBy(*keys, "_chunk").applyInArrow(_solve, schema)
+    return rows.groupBy(*keys).cogroup(picks.groupBy(*keys)).applyInArrow(_solve, schema)
 
 
 def long_values(df: DataFrame, src: str, row_id: str, fields: list[str], source: str) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lanternlog.operators import drift, keychunks, mixing, timeline
+from lanternlog.operators import drift, keychunks, timeline
 from lanternlog.sources.tables import table
 
 
-def _times(spark: SparkSession, d: str) -> DataFrame:
-    sources = table(spark, d, "collectors").select(F.col("collector").alias("source"), "tz", "date_order")
+def _times(spark: SparkSession, d: str, declared: bool = True) -> DataFrame:
+    sources = table(spark, d, "collectors").select(F.col("collector").alias("source"), "tz", "date_order").where(F.lit(declared))
     events = timeline.long_values(table(spark, d, "sec_events"), "sec_events", "_rid", ["TimeCreated"], "collector")
     cloud = timeline.long_values(table(spark, d, "cloud_records"), "cloud_records", "record_id", ["TimeGenerated", "Timestamp", "CreationTime"], "collector")
     return timeline.resolve(events.unionByName(cloud), sources)
@@ -24,6 +24,11 @@ def p1_instants(spark: SparkSession, d: str) -> DataFrame:
     return _times(spark, d).select("src", "row_id", "field", F.timestamp_micros("utc_us").alias("utc"))
 
 
+def p1_undeclared(spark: SparkSession, d: str) -> DataFrame:
+    """The same values if no collector declared anything: the order of the records alone decides, and local times read as UTC."""
+    return _times(spark, d, False).select("src", "row_id", "field", F.timestamp_micros("utc_us").alias("utc"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     heavy = keychunks.heavy_keys(table(spark, d, "sec_events"), "_chunk", ["EventID", "Computer"], "_rid", 20)
     return heavy.where("_chunk is not null").select(F.col("_chunk").alias("chunk_no"), "field", "key_value")
@@ -38,8 +43,13 @@ def p2_computer_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    names = drift.alias_names(table(spark, d, "field_aliases"))
-    return drift.changes(drift.schemas(table(spark, d, "raw_records"), names)).select("feed", "file_no", "change_kind", "field")
+    found = drift.changes(drift.schemas(table(spark, d, "raw_records"), table(spark, d, "field_aliases")))
+    return found.where("named").select("feed", "file_no", "change_kind", "field")
+
+
+def p7_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Every change of every path, those of no known field under their own names, with what was and what is."""
+    return drift.changes(drift.schemas(table(spark, d, "raw_records"), table(spark, d, "field_aliases")))
 
 
 def p7_table(spark: SparkSession, d: str) -> DataFrame:
@@ -48,15 +58,7 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.conform(table(spark, d, "raw_records"), names, ["raw_id", "feed", "file_no", "line_no"])
 
 
-def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "source_targets"))[0]
-
-
-def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
-
-
-QUERIES = {f.__name__: f for f in (p1_found, p1_instants, p2_found, p2_event_id_profile, p2_computer_profile, p7_found, p7_table, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_instants, p1_undeclared, p2_found, p2_event_id_profile, p2_computer_profile, p7_found, p7_changes, p7_table)}
 
 _PROFILE = """
 SELECT {key}, count(*) AS n_rows, min_by(ts, rid) AS first_at, max_by(ts, rid) AS last_at,

@@ -3,10 +3,9 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from lanternlog.functions import words
-from lanternlog.operators import drift, keychunks, mixing
-from lanternlog.session import Tables
+from lanternlog.operators import drift, keychunks, ranges
 
 
 def test_numbers_are_exact_in_skewed_keys(spark):
@@ -39,9 +38,9 @@ def test_profile_of_no_rows_and_null_times(spark):
 NAMES = {"Channel": "Channel", "winlog.channel": "Channel", "channel": "Channel", "EventID": "EventID", "a.b": "Deep"}
 
 
-def changes(spark, lines):
+def changes(spark, lines, named=True):
     raw = spark.createDataFrame([("f", f, p) for f, p in lines], "feed string, file_no int, payload string")
-    return {(r.file_no, r.change_kind, r.field) for r in drift.changes(drift.schemas(raw, NAMES)).collect()}
+    return {(r.file_no, r.change_kind, r.field) for r in drift.changes(drift.schemas(raw, spark.createDataFrame(list(NAMES.items()), "spelling string, field string"))).collect() if r.named == named}
 
 
 def test_drift(spark):
@@ -68,61 +67,18 @@ def test_conform_keeps_all(spark):
         drift.conform(raw.withColumnRenamed("extra", "EventID"), NAMES, ["EventID"])
 
 
-def test_apportionment():
-    order = mixing.apportion({"a": 0.53, "b": 0.24, "c": 0.23}, 7)
-    assert collections.Counter(order) == {"a": 3, "b": 2, "c": 2}  # the textbook case of odd divisors
-    assert mixing.apportion({}, 5) == [] and mixing.apportion({"a": 0.0}, 5) == []
+def test_changes_of_paths_that_no_catalog_knows(spark):
+    lines = [(1, '{"EventID": 1}'), (2, '{"EventID": 1, "new": {"in": 1}}'), (3, '{"EventID": 1, "new": {"in": "x"}, "other": []}')]
+    assert changes(spark, lines, False) == {(2, "added", "new"), (2, "added", "new.in"), (3, "retyped", "new.in"), (3, "added", "other")}
 
 
-def mixed(spark, docs, targets, **options):
-    sized = Tables(spark, "t").put(spark.createDataFrame(docs, "doc_id long, source string, n_tokens long"))
-    out, shares = mixing.mix(sized, spark.createDataFrame(targets, "source string, target_share double, max_repeats int"), **options)
-    return out.collect(), {r.source: r for r in shares.collect()}
-
-
-def test_mix_reaches_shares_within_repeats(spark):
-    rng = random.Random(5)
-    docs = [(i, rng.choice(["big"] * 10 + ["small", "tiny", None]), rng.randint(0, 40)) for i in range(4000)]
-    out, shares = mixed(spark, docs, [("big", 0.5, 1), ("small", 0.3, 4), ("tiny", 0.2, 3), ("none", 0.1, 1)], blocks=200, buckets=16)
-    total = sum(r.n_tokens for r in out)
-    used = collections.Counter(r.doc_id for r in out)
-    source = {i: s for i, s, _ in docs}
-    for name, share, most in (("big", 0.5, 1), ("small", 0.3, 4), ("tiny", 0.2, 3)):
-        got = sum(r.n_tokens for r in out if r.source == name) / total
-        assert abs(got - share) < 0.01 and abs(shares[name].actual_share - got) < 1e-9
-        assert max(n for d, n in used.items() if source[d] == name) <= most
-    assert shares["none"].n_tokens == 0 and all(source[r.doc_id] == r.source for r in out)
-    assert len({(r.doc_id, r.copy_no) for r in out}) == len(out)
-    again, _ = mixed(spark, docs, [("big", 0.5, 1), ("small", 0.3, 4), ("tiny", 0.2, 3)], blocks=200, buckets=16)
-    assert sorted(map(tuple, out)) == sorted(map(tuple, again))
-
-
-def test_mix_of_nothing(spark):
-    assert mixed(spark, [], [("a", 1.0, 1)])[0] == []
-    assert mixed(spark, [(1, "a", 0), (2, None, 5)], [("a", 1.0, 2)])[0] == []
-
-
-def test_words_follow_the_pattern():
-    import regex
-
-    pattern = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+""")
-    rng = random.Random(7)
-    texts = ["".join(rng.choice("a b'stre  lvm\n\té1٣!?' '中 \xa0　ll") for _ in range(rng.randint(0, 12))) for _ in range(20000)]
-    joined, starts, per = words.split(texts)
-    pieces, at = words.pieces(joined, starts), 0
-    for text, n in zip(texts, per.tolist()):
-        assert pattern.findall(text) == pieces[at : at + n]
-        at += n
-    assert words.split([])[0] == "" and words.split(["", ""])[2].tolist() == [0, 0]
-
-
-def test_sizes_equal_the_tokenizer():
-    import base64
-
-    import tiktoken
-
-    from lanternlog.functions import tokensize
-
-    encoding = tiktoken.Encoding("own", pat_str=r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=tokensize.ranks(tokensize.VOCABULARIES, tokensize.NAME), special_tokens={})
-    texts = ["", "hello  world's end\n\n", "<|endoftext|>", "ü中文 " * 50, base64.b64encode(bytes(range(256))).decode()]
-    assert tokensize.Sizer()(texts).tolist() == [len(encoding.encode_ordinary(t)) for t in texts]
+def test_ranges_of_sparse_values_are_even(spark):
+    df = spark.range(20_000).select((F.pow(F.col("id"), 2) * 1000003 - 7).cast("long").alias("id"))
+    cuts = ranges.bounds(df, "id", 500)
+    sizes = [r["count"] for r in ranges.numbered(df, "id", cuts).groupBy("_part").count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 700
+    one = keychunks.placed(df.withColumn("k", F.lit("hot")), ["k"], "id", 500)
+    assert keychunks.key_offsets(one, ["k"]).count() == 40
+    got = keychunks.key_counts(df.withColumn("k", F.lit("hot")), ["k"], "id", 500, 300).first()
+    assert (got.n_rows, got.n_chunks) == (20_000, 67)
+    assert ranges.bounds(df.limit(0), "id", 10) == []

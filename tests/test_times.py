@@ -114,3 +114,31 @@ def test_empty_and_extra_columns(spark):
     long = spark.createDataFrame([], "src string, row_id long, field string, source string, text string, tz string")
     sources = spark.createDataFrame([], "source string, tz string, date_order string, extra int")
     assert timeline.resolve(long, sources).count() == 0
+
+
+def test_transitions_decide_where_nothing_is_declared(spark):
+    """Planted: a source that never declares its order of day and month, in texts that all have two readings, over many blocks."""
+    days = [dt.datetime(2025, 3, 1) + dt.timedelta(days=i, hours=i) for i in range(12)] + [dt.datetime(2025, 4, 1) + dt.timedelta(days=i) for i in range(12)]
+    for order in ("%d/%m/%Y", "%m/%d/%Y"):
+        rows = [("s", i * 1_000_003, "t", "x", at_.strftime(f"{order} %H:%M:%S")) for i, at_ in enumerate(days)]
+        long = spark.createDataFrame(rows, "src string, row_id long, field string, source string, text string")
+        none = spark.createDataFrame([], "source string, tz string, date_order string")
+        for block in (1 << 16, 5, 1):
+            got = {r.row_id: r.utc_us for r in timeline.resolve(long, none, block).collect()}
+            assert [got[i * 1_000_003] for i in range(len(days))] == [int(d.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6) for d in days], (order, block)
+
+
+def test_chained_blocks_cost_what_the_cheapest_path_costs():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, k = int(rng.integers(1, 8)), 3
+        count = rng.integers(1, k + 1, n)
+        us, form, cost = rng.integers(0, 6, (n, k)), rng.integers(0, 3, (n, k)), rng.integers(0, 8, (n, k))
+        lists = lambda m: [m[i, : count[i]].tolist() for i in range(n)]
+        table = pa.table({"src": ["s"] * n, "field": ["f"] * n, "source": [None] * n, "text": ["t"] * n, "row_id": list(range(n)), "_block": [i // 2 for i in range(n)], "cand_us": lists(us), "cand_form": lists(form), "cand_cost": lists(cost)})
+        blocks = [table.slice(i, 2) for i in range(0, n, 2)]
+        picks = timeline._chain(pa.concat_tables([timeline._states(pa.Table.from_batches(b.combine_chunks().to_batches())) for b in blocks]))
+        solved = pa.concat_tables([timeline._solve(b.combine_chunks(), picks.slice(i, 1)) for i, b in enumerate(blocks)])["utc_us"].to_pylist()
+        paths = [[p for p in range(count[i]) if us[i, p] == solved[i]] for i in range(n)]
+        costs = [sum(cost[i][p] for i, p in enumerate(path)) + sum(timeline.SWITCH * int(form[i - 1][path[i - 1]] != form[i][path[i]]) + timeline.BACK * int(us[i - 1][path[i - 1]] > us[i][path[i]]) for i in range(1, n)) for path in itertools.product(*paths)]
+        assert min(costs) == brute(us, form, cost, count)
