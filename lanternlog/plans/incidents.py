@@ -29,10 +29,6 @@ def found(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"rule_id": F.lower(F.trim("rule_id")), "targets": F.array().cast("array<string>")})
 
 
-#: The window in the SQL, which stays as it is. The queries link over I.WINDOW_US (6 hours), as hunt_incidents does.
-SQL_WINDOW_US = 30 * 60 * 1_000_000
-
-
 def members(spark: SparkSession, d: str) -> DataFrame:
     """Detections with their incident, written once."""
     rows = found(spark, d)
@@ -46,7 +42,7 @@ ent AS (SELECT DISTINCT det_id, kind, value, CASE WHEN kind = 'host' THEN {_norm
 k AS (SELECT DISTINCT e.det_id, e.kind, norm, epoch_us(start_ts) AS a, epoch_us(coalesce(end_ts, start_ts)) AS z FROM ent e JOIN detections d ON d.det_id = e.det_id WHERE norm <> '')"""
 _COMP = f"""WITH RECURSIVE {_ENT},
 o AS (SELECT *, max(z) OVER (PARTITION BY kind, norm ORDER BY a, det_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pz FROM k),
-i AS (SELECT *, sum(CASE WHEN pz IS NULL OR a - pz > {SQL_WINDOW_US} THEN 1 ELSE 0 END) OVER (PARTITION BY kind, norm ORDER BY a, det_id) AS isl FROM o),
+i AS (SELECT *, sum(CASE WHEN pz IS NULL OR a - pz > {I.WINDOW_US} THEN 1 ELSE 0 END) OVER (PARTITION BY kind, norm ORDER BY a, det_id) AS isl FROM o),
 m AS (SELECT kind, norm, isl, min(det_id) AS v FROM i GROUP BY 1, 2, 3),
 l AS (SELECT i.det_id AS a, m.v AS b FROM i JOIN m USING (kind, norm, isl) WHERE i.det_id <> m.v UNION SELECT m.v, i.det_id FROM i JOIN m USING (kind, norm, isl) WHERE i.det_id <> m.v),
 r AS (SELECT det_id AS s, det_id AS x FROM detections UNION SELECT r.s, l.b FROM r JOIN l ON r.x = l.a),
@@ -117,7 +113,7 @@ def _key(kind: str) -> str:
 
 
 @query(_COMP + f""", er AS (SELECT m.incident_id, e.kind, e.norm, sum(trunc(coalesce(CAST(m.risk AS DOUBLE), m.ls * 10) * m.kw)) AS s FROM ent e JOIN mem m USING (det_id) WHERE e.norm <> '' GROUP BY 1, 2, 3),
-keep AS (SELECT incident_id, kind || ':' || norm AS k FROM er QUALIFY row_number() OVER (PARTITION BY incident_id, kind ORDER BY s DESC, norm) <= 3),
+keep AS (SELECT incident_id, kind || ':' || norm AS k FROM er QUALIFY row_number() OVER (PARTITION BY incident_id, kind ORDER BY s DESC, norm) <= 10),
 p AS (SELECT incident_id, {_key('source')} AS s, {_key('actor')} AS a, {_key('host')} AS h, coalesce(techniques[1], left(title, 28)) AS t FROM mem WHERE kind <> 'sequence' AND level IN ('medium', 'high', 'critical')),
 x AS (SELECT incident_id, t, CASE WHEN a IS NOT NULL THEN s ELSE s END AS f, CASE WHEN a IS NOT NULL THEN a ELSE h END AS g FROM p UNION ALL SELECT incident_id, t, a, h FROM p WHERE a IS NOT NULL)
 SELECT incident_id, f AS from_key, g AS to_key, count(DISTINCT t) AS n_techniques FROM x WHERE f IS NOT NULL AND g IS NOT NULL AND (incident_id, f) IN (SELECT (incident_id, k) FROM keep) AND (incident_id, g) IN (SELECT (incident_id, k) FROM keep) GROUP BY 1, 2, 3""")

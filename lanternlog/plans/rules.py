@@ -135,7 +135,10 @@ def sig_filter(spark: SparkSession, d: str) -> DataFrame:
 _TRIM = "regexp_replace({0}, '^[ \\t\\n\\x0b\\f\\r]+|[ \\t\\n\\x0b\\f\\r]+$', '', 'g')"
 
 
-@query(f"SELECT _rid, CASE WHEN regexp_full_match(s, '0x[0-9a-f]+', 'i') THEN '0x' || CASE WHEN ltrim(lower(s[3:]), '0') = '' THEN '0' ELSE ltrim(lower(s[3:]), '0') END ELSE s END AS hex FROM (SELECT _rid, {_TRIM.format('coalesce(GrantedAccess, TicketEncryptionType, Status)')} AS s FROM sec_events) WHERE s IS NOT NULL")
+_HEX_FIELDS = " UNION ALL ".join(f"SELECT _rid, '{f}' AS field, {_TRIM.format(f)} AS s FROM sec_events" for f in ("GrantedAccess", "TicketEncryptionType", "Status"))
+
+
+@query(f"SELECT _rid, field, CASE WHEN regexp_full_match(s, '0x[0-9a-f]+', 'i') THEN '0x' || CASE WHEN ltrim(lower(s[3:]), '0') = '' THEN '0' ELSE ltrim(lower(s[3:]), '0') END ELSE s END AS hex FROM ({_HEX_FIELDS}) WHERE s IS NOT NULL")
 def norm_hex(spark: SparkSession, d: str) -> DataFrame:
     """A row a field: every value of the hex fields."""
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("GrantedAccess", "TicketEncryptionType", "Status")])
@@ -157,7 +160,7 @@ def _norm(value: str, host: bool) -> str:
     return f"CASE WHEN starts_with({low}, 'cn=') THEN {low} ELSE {short} END"
 
 
-@query(f"SELECT det_id, {_norm('actor', False)} AS actor, {_norm('host', True)} AS host, {_norm('source', False)} AS source FROM detections WHERE actor IS NOT NULL AND host IS NOT NULL AND source IS NOT NULL")
+@query(f"SELECT det_id, {_norm('actor', False)} AS actor, {_norm('host', True)} AS host, {_norm('source', False)} AS source FROM detections")
 def norm_entity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "detections").select("det_id", E.entity(F.col("actor")).alias("actor"), E.entity(F.col("host"), True).alias("host"), E.entity(F.col("source")).alias("source"))
 
