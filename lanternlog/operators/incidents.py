@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lanternlog.functions.entities import entity, filled, short_host
-from lanternlog.operators.components import components
+from lanternlog.operators.components import ONE_TASK, components
 from lanternlog.plans.rulebook import ALERT_LEVELS, KIND_WEIGHT, LEVEL_SCORE, TACTICS
 
 WINDOW_US, BUCKET_US = 6 * 3_600_000_000, 24 * 3_600_000_000
@@ -66,7 +66,7 @@ def correlate(found: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
     # a star from the smallest detection of each island, found by aggregation rather than by a window over a hot island
     least = links.groupBy("kind", "norm", "island").agg(F.min("det_id").alias("v"))
     edges = links.join(least, ["kind", "norm", "island"]).where("det_id <> v").select(F.col("det_id").alias("u"), "v").distinct()
-    groups = components(edges)
+    groups = components(edges, ONE_TASK)
     own = found.where("start_ts is not null").select("det_id")
     return own.join(groups, own["det_id"] == groups["id"], "left").select("det_id", F.coalesce("component", "det_id").alias("incident_id"))
 

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkConf
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -19,7 +20,16 @@ CONF = {
 
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
-    builder = SparkSession.builder.master(f"local[{cores}]").appName("lanternlog").config("spark.sql.shuffle.partitions", str(partitions))
+    return _session(SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", str(partitions)), **conf)
+
+
+def submitted_session() -> SparkSession:
+    """The session of the command line: on the master that it was submitted to, else a local one."""
+    return _session(SparkSession.builder) if SparkConf().contains("spark.master") else local_session()
+
+
+def _session(builder: SparkSession.Builder, **conf: str) -> SparkSession:
+    builder = builder.appName("lanternlog")
     for key, value in {**CONF, "spark.ui.enabled": "false", "spark.driver.memory": "8g", **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -28,10 +38,12 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one in local mode, and an error on a cluster, whose machines would not share it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not hasattr(spark, "_lanternlog_dir"):
         spark._lanternlog_dir = "file://" + tempfile.mkdtemp(prefix="lanternlog-")
     return spark._lanternlog_dir
@@ -68,6 +80,12 @@ class Tables:
         out._lanternlog_path = path
         return out
 
+    def put_seen(self, df: DataFrame, **seen: Column) -> tuple[DataFrame, dict]:
+        """put(), and aggregates over the rows as they are written, without a pass of their own."""
+        watch = Observation()
+        out = self.put(df.observe(watch, *[column.alias(name) for name, column in seen.items()]))
+        return out, watch.get
+
     def drop(self, df: DataFrame | None) -> None:
         """Remove a table that no plan still to run reads."""
         path = getattr(df, "_lanternlog_path", None)

@@ -49,6 +49,7 @@ def test_components_of_a_long_chain_and_large_ids(spark):
     edges = spark.createDataFrame(list(zip(ids, ids[1:])) + [(7, 8), (8, 7), (9, 9)], "u long, v long")
     got = {r.id: r.component for r in components.components(edges).collect()}
     assert {got[i] for i in ids} == {min(ids)} and got[8] == 7 and got[9] == 9
+    assert {r.id: r.component for r in components.components(edges, components.ONE_TASK).collect()} == got
     assert components.components(edges.limit(0)).count() == 0
 
 
