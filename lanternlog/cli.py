@@ -4,26 +4,25 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
-import json
 import sys
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lanternlog.operators import coverage, suppression
+from lanternlog.operators import coverage, processes, suppression
+from lanternlog.operators import incidents as I
 from lanternlog.operators.hits import detections
-from lanternlog.plans import benchmark, documents, pipeline, transpile, validation
+from lanternlog.plans import benchmark, documents, pipeline, push, reports, transpile, validation
 from lanternlog.plans.rulebook import Rule, load_rules
-from lanternlog.session import Tables, local_session
+from lanternlog.session import Tables, submitted_session
 from lanternlog.sources import events as sources
-from lanternlog.streaming import live
+from lanternlog.sources.normalize import events_of_xml
+from lanternlog.streaming import channels, live
 
-EXPORTS = {
-    "json": lambda found: [documents.incident_json(x, i) for i, x in enumerate(found, 1)],
-    "thehive": lambda found: [documents.thehive_alert(x) for x in found],
-    "misp": lambda found: [documents.misp_event(x) for x in found],
-    "stix": documents.stix_bundle,
-}
+FORMATS = ["json", "thehive", "misp", "stix"]
+#: Rows of a list on the console; what is more is counted.
+SHOWN = 100
 
 
 def _rules(a: argparse.Namespace) -> list[Rule]:
@@ -34,41 +33,68 @@ def _rules(a: argparse.Namespace) -> list[Rule]:
 
 
 def _events(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    if a.lake:
-        return sources.read_lake(spark, *a.paths)
-    return Tables(spark, "input").put(sources.load(spark, a.paths))
+    return sources.read_lake(spark, *a.paths) if a.lake else sources.load(spark, a.paths)
 
 
-def _write(path: Path, content: object) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(content if isinstance(content, str) else json.dumps(content, indent=1, ensure_ascii=False, default=str), encoding="utf-8")
+def _bodies(rows: DataFrame):
+    return (r.body for r in rows.select("body").toLocalIterator())
+
+
+def _export(out: Path, formats: list[str], head: DataFrame, members: DataFrame) -> None:
+    """Every incident in each format."""
+    for name in formats:
+        path = out / f"{name}.json"
+        if name == "json":
+            reports.write_incidents(path, head, members)
+        elif name == "stix":
+            reports.write_bundle(path, documents.stix_objects(head, dt.datetime.now(dt.timezone.utc)), str(uuid.uuid4()))
+        else:
+            reports.write_array(path, _bodies({"thehive": documents.thehive_bodies, "misp": documents.misp_bodies}[name](head)))
 
 
 def hunt(spark: SparkSession, a: argparse.Namespace) -> int:
-    sups = suppression.load(a.suppressions) if a.suppressions else []
-    result = pipeline.hunt(_events(spark, a), _rules(a), sups, int(a.window * 3.6e9), a.min_score)
-    found = pipeline.top_incidents(result.members, result.incidents, a.top)
-    out = Path(a.out)
-    _write(out / "report.md", documents.markdown(found))
-    _write(out / "report.html", documents.html_page(found))
-    counts = {r.technique: r.n for r in result.detections.select(F.explode("techniques").alias("technique")).groupBy("technique").agg(F.count(F.lit(1)).alias("n")).collect()}
-    _write(out / "layer.json", documents.navigator_layer(counts))
-    for name in a.export:
-        _write(out / f"{name}.json", EXPORTS[name](found))
-    if a.push_thehive:
-        print(*documents.push_thehive(a.push_thehive, EXPORTS["thehive"](found)), sep="\n")
-    if a.push_misp:
-        print(*documents.push_misp(a.push_misp, EXPORTS["misp"](found)), sep="\n")
-    for line in suppression.summary(sups, result.signatures) if sups else []:
-        print(line)
-    print(f"{len(found)} incidents written to {out}")
+    sups, rules, events = suppression.load(a.suppressions) if a.suppressions else [], _rules(a), _events(spark, a)
+    result = pipeline.hunt(events, rules, sups, int(a.window * 3.6e9), a.min_score)
+    members = result.members.join(result.incidents.select("incident_id"), "incident_id", "left_semi")
+    shown, out = reports.shown(members, a.top), Path(a.out)
+    registry = {r.id: r for r in rules}
+    texts = {r.id: transpile.texts(r, registry) for r in rules}
+    ids = [r.incident_id for r in shown]
+    edges: dict[int, list] = {}
+    for e in I.graph_edges(members.where(F.col("incident_id").isin(ids))).collect() if ids else []:
+        edges.setdefault(e.incident_id, []).append(e)
+    index = Tables(spark, "processes").put(processes.process_index(events))
+    tree = processes.process_tree(index, processes.flagged_processes(result.detections, events, index)).collect()
+    reports.write(out / "report.md", reports.markdown(shown))
+    reports.write(out / "report.html", reports.html_page(shown, texts, edges, tree))
+    reports.write(out / "layer.json", documents.navigator_layer(result.detections).first().body)
+    head = Tables(spark, "heads").put(documents.heads(members)) if a.export or a.push_thehive or a.push_misp else None
+    _export(out, a.export, head, members)
+    if a.pages:
+        print(f"{reports.write_pages(out / 'entities', documents.entity_pages(members))} entity pages")
+    for name, address in (("thehive", a.push_thehive), ("misp", a.push_misp)):
+        if address:
+            send, make = {"thehive": (push.thehive, documents.thehive_bodies), "misp": (push.misp, documents.misp_bodies)}[name]
+            print(*send(address, _bodies(make(head))), sep="\n")
+    _told(suppression.report(sups, result.signatures) if sups else None)
+    print(f"{result.incidents.count()} incidents, {len(shown)} of them in the report in {out}")
     return 0
 
 
+def _told(report: DataFrame | None) -> None:
+    for r in report.collect() if report is not None else []:
+        print(f"{r.id} {r.rule}: {r.state}, hid {r.n_hidden} alerts ({r.note})")
+
+
 def validate(spark: SparkSession, a: argparse.Namespace) -> int:
-    results = validation.validate(spark, _rules(a))
+    rules = _rules(a)
+    results = validation.validate(spark, rules)
     for r in results:
         print(f"{'FAIL' if r.errors else 'ok'} {r.rule.id} {r.passed} passed, {r.failed} failed", *r.errors, *(f"({w})" for w in r.warnings), sep="\n  ")
+    for r in coverage.rule_coverage(spark, rules).orderBy("tactic").collect():
+        print(f"{r.tactic}: {', '.join(r.techniques)}")
+    if a.layer:
+        reports.write(Path(a.layer), documents.coverage_layer(spark, rules).first().body)
     return int(any(r.errors for r in results))
 
 
@@ -83,14 +109,16 @@ def convert(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def blindspot(spark: SparkSession, a: argparse.Namespace) -> int:
     events = _events(spark, a)
-    seen = coverage.profile(events)
-    text = coverage_text = documents.coverage_markdown([coverage.assess(r, seen) for r in _rules(a)])
-    for r in coverage.missing_sources(events).collect():
-        text += f"\n- {r.host} sends no {r.channel} ({r.n_have} of {r.n_hosts} hosts do)"
-    for r in coverage.went_silent(events).collect():
-        text += f"\n- {r.host} {r.channel} went silent after {r.n_events} events"
-    _write(Path(a.out) / "coverage.md", text)
-    print(coverage_text)
+    found = Tables(spark, "viability").put(coverage.viability(spark, _rules(a), coverage.profile(events)))
+    sets = coverage.coverage_sets(found)
+    text = reports.coverage_markdown(found, coverage.recommendations(found), coverage.recommendations(found, True), sets)
+    missing, silent = coverage.missing_sources(events), coverage.went_silent(events)
+    for rows, say in ((missing, lambda r: f"{r.host} sends no {r.channel} ({r.n_have} of {r.n_hosts} hosts do)"), (silent, lambda r: f"{r.host} {r.channel} went silent after {r.n_events} events")):
+        total = rows.count()
+        text += "".join(f"\n- {say(r)}" for r in rows.orderBy("host", "channel").limit(SHOWN).collect()) + (f"\n- and {total - SHOWN} more" if total > SHOWN else "")
+    reports.write(Path(a.out) / "coverage.md", text)
+    reports.write(Path(a.out) / "coverage.html", reports.coverage_page(sets, text))
+    print(text)
     return 0
 
 
@@ -102,44 +130,63 @@ def suppress(spark: SparkSession, a: argparse.Namespace) -> int:
     sups = suppression.load(a.suppressions)
     if a.action == "list":
         for s in sups:
-            print(s.id, s.rule, s.where, s.reason, "; ".join(s.problems) or ("expired" if s.expired() else "active"))
+            print(s.id, s.rule, s.where, s.reason, "; ".join(s.problems) or s.state())
         return 0
     events = _events(spark, a)
     result = pipeline.hunt(events, _rules(a), window_us=int(a.window * 3.6e9))
     marked = suppression.apply(result.members, sups, events).withColumn("suppressed_by", F.when(F.col("kind") == "signature", F.col("suppressed_by")))
     costs = Tables(spark, "impact").put(suppression.impact(marked))
-    said = suppression.verdict(costs)
-    print(said, *(r.asDict() for r in costs.where("risky").limit(100).collect()), *suppression.summary(sups, marked), sep="\n")
+    said, risky = suppression.verdict(costs), costs.where("risky")
+    total = risky.count()
+    print(said, *(r.asDict() for r in risky.orderBy("incident_id").limit(SHOWN).collect()), *([f"and {total - SHOWN} more incidents"] if total > SHOWN else []), sep="\n")
+    _told(suppression.report(sups, marked))
     return int(said == "RISKY")
 
 
 def watch(spark: SparkSession, a: argparse.Namespace) -> int:
-    engine = live.Engine(spark, _rules(a), dt.timedelta(hours=a.window), a.level)
-    for batch in live.replay_steps(_events(spark, a), dt.timedelta(seconds=a.interval * a.speed)):
-        live.announce(engine.ingest(batch), a.alerts)
+    """Live channels, a folder that files arrive in, or a recording replayed."""
+    state = f"{a.state.rstrip('/')}/engine" if a.state else None
+    engine = live.Engine(spark, _rules(a), dt.timedelta(hours=a.window), a.level, state)
+    if a.channels or a.follow:
+        if not a.state:
+            print("error: a stream needs --state, the folder it is kept in", file=sys.stderr)
+            return 2
+        if a.channels:
+            spark.dataSource.register(channels.ChannelSource)
+            raw = spark.readStream.format("lanternlog_channels").option("channels", ",".join(a.channels)).option("backfill_minutes", a.backfill).load()
+            stream = raw.select(F.xxhash64("value").alias("_rid"), "value")
+            shape = lambda batch: events_of_xml(batch).withColumn("_rid", F.xxhash64("Computer", "Channel", F.col("fields")["eventrecordid"], "TimeCreated"))
+        else:
+            stream, shape = spark.readStream.schema(sources.read_lake(spark, a.follow).schema).parquet(a.follow), lambda batch: batch
+        query = live.watch(stream, engine, f"{a.state.rstrip('/')}/offsets", a.alerts, None if a.once else f"{a.interval:g} seconds", shape=shape)
+        query.awaitTermination()
+    else:
+        for batch in live.replay_steps(_events(spark, a), dt.timedelta(seconds=a.interval * a.speed)):
+            live.announce(engine.ingest(batch), a.alerts)
     print(engine.counters)
     return 0
 
 
 def dashboard(spark: SparkSession, a: argparse.Namespace) -> int:
-    rules = _rules(a)
-    samples = benchmark.run(spark, rules, Path(a.manifest))
-    benchmark.save(benchmark.record(samples, a.version, len(rules), {r.id: r.title for r in rules}), Path(a.history))
-    runs = benchmark.history(Path(a.history))
-    _write(Path(a.out) / "runs.html", benchmark.trend_page(runs))
-    if len(runs) > 1:
-        lost, new = benchmark.compare(*runs[-2:])
-        print(f"{len(lost)} regressions, {len(new)} new", *lost)
+    rules, manifest = _rules(a), Path(a.manifest)
+    judged, _ = benchmark.run(spark, rules, manifest)
+    version = a.version or benchmark.rules_version(Path(a.rules[0]))
+    benchmark.save(judged, Path(a.history), version, len(rules), {r.id: r.title for r in rules}, benchmark.campaigns(spark, rules, manifest))
+    runs = Tables(spark, "runs").put(benchmark.history(spark, Path(a.history)))
+    reports.write(Path(a.out) / "runs.html", benchmark.trend_page(runs))
+    last = [r.generated for r in runs.select("generated").orderBy(F.desc("generated")).limit(2).collect()]
+    for change in benchmark.compare(runs, last[1], last[0]).collect() if len(last) > 1 else []:
+        print(change.change, change.sample, change.rule_id)
     return 0
 
 
 def rulehealth(spark: SparkSession, a: argparse.Namespace) -> int:
     events, rules = _events(spark, a), [r for r in _rules(a) if r.kind == "signature"]
     seen = coverage.profile(events)
-    status = spark.createDataFrame([(r.id, r.level, coverage.assess(r, seen).status) for r in rules], "rule_id string, level string, status string")
-    rows = coverage.rule_health(detections(events, rules), status, seen.events).collect()
-    text = documents.health_markdown([r.asDict() for r in rows], seen.events)
-    _write(Path(a.out) / "rulehealth.md", text)
+    bench = benchmark.evidence(benchmark.run(spark, rules, Path(a.manifest))[1]) if a.manifest else None
+    rows = coverage.rule_health(detections(events, rules), coverage.viability(spark, rules, seen), seen.n_events, bench).collect()  # a row a rule
+    text = reports.health_markdown(rows, seen.n_events)
+    reports.write(Path(a.out) / "rulehealth.md", text)
     print(text)
     return 0
 
@@ -151,10 +198,12 @@ def lake(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def bench(spark: SparkSession, a: argparse.Namespace) -> int:
-    samples = benchmark.run(spark, _rules(a), Path(a.manifest))
-    print(benchmark.markdown(samples))
-    s = benchmark.summary(samples)
-    return int(bool(s["errors"] or s["benign_with_fp"] or s["labelled_hits"] < s["labelled_expectations"]))
+    judged, _ = benchmark.run(spark, _rules(a), Path(a.manifest))
+    judged = Tables(spark, "judged").put(judged)
+    reports.write(Path(a.out) / "bench.md", benchmark.markdown(judged))
+    print(benchmark.console(judged))
+    s = benchmark.summary(judged)
+    return int(bool(s.errors or s.benign_with_fp or s.labelled_hits < s.labelled_expectations))
 
 
 COMMANDS = {"hunt": hunt, "validate": validate, "convert": convert, "blindspot": blindspot, "suppress": suppress, "watch": watch, "dashboard": dashboard, "rulehealth": rulehealth, "lake": lake, "bench": bench}
@@ -176,13 +225,14 @@ def parser() -> argparse.ArgumentParser:
         if name in ("hunt", "suppress"):
             p.add_argument("--suppressions", required=name == "suppress")
         if name in ("hunt", "blindspot", "suppress", "watch", "rulehealth", "lake"):
-            p.add_argument(*(["--paths"] if name == "suppress" else ["paths"]), nargs="*" if name == "suppress" else "+", default=[])
+            p.add_argument(*(["--paths"] if name == "suppress" else ["paths"]), nargs="*" if name in ("suppress", "watch") else "+", default=[])
             p.add_argument("--lake", action="store_true")
             p.add_argument("--window", type=float, default=6.0)
         if name == "hunt":
             p.add_argument("--min-score", type=int, default=0)
             p.add_argument("--top", type=int, default=50)
-            p.add_argument("--export", nargs="*", choices=list(EXPORTS), default=[])
+            p.add_argument("--export", nargs="*", choices=FORMATS, default=[])
+            p.add_argument("--pages", action="store_true")
             p.add_argument("--push-thehive")
             p.add_argument("--push-misp")
         if name == "convert":
@@ -192,11 +242,20 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--speed", type=float, default=60)
             p.add_argument("--level", default="medium")
             p.add_argument("--alerts")
+            p.add_argument("--channels", nargs="+")
+            p.add_argument("--backfill", type=int, default=0)
+            p.add_argument("--follow")
+            p.add_argument("--state")
+            p.add_argument("--once", action="store_true")
+        if name == "validate":
+            p.add_argument("--layer")
+        if name == "rulehealth":
+            p.add_argument("--manifest")
         if name in ("dashboard", "bench"):
             p.add_argument("manifest")
         if name == "dashboard":
             p.add_argument("--history", default="history")
-            p.add_argument("--version", default="unknown")
+            p.add_argument("--version")
     return top
 
 
@@ -207,8 +266,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         args.insert(0, "hunt")
     a = parser().parse_args(args)
     try:
-        return COMMANDS[a.command](spark or local_session(), a)
-    except (sources.NoEventsError, FileNotFoundError, documents.PushError) as e:
+        return COMMANDS[a.command](spark or submitted_session(), a)
+    except (sources.NoEventsError, FileNotFoundError, push.PushError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import pandas as pd
@@ -108,11 +109,24 @@ def uuid5(names: pd.Series) -> pd.Series:
     return names.map(lambda n: None if n is None else str(uuid.uuid5(space, n)))
 
 
+@F.pandas_udf(StringType())
+def _repaired(values: pd.Series) -> pd.Series:
+    """normalize.fix_mojibake for SQL users."""
+
+    def one(text: str | None) -> str | None:
+        if not text or not re.search("â€|Ã|Â", text):
+            return text
+        try:
+            return str(bytes(text, "cp1252"), "utf-8")
+        except UnicodeError:
+            return text
+
+    return values.map(one)
+
+
 def register(spark) -> None:
     """The functions that SQL users need, under `ll_` names."""
-    from lanternlog.sources.normalize import fix_mojibake
-
-    spark.udf.register("ll_fix_mojibake", fix_mojibake)
+    spark.udf.register("ll_fix_mojibake", _repaired)
     spark.udf.register("ll_uuid5", uuid5)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION ll_norm_entity(v STRING, host BOOLEAN) RETURNS STRING RETURN CASE WHEN lower(trim(v)) LIKE 'cn=%' THEN lower(trim(v)) WHEN host AND NOT substring_index(substring_index(lower(trim(v)), '\\\\', -1), '@', 1) RLIKE '^[0-9.]+$' THEN split_part(substring_index(substring_index(lower(trim(v)), '\\\\', -1), '@', 1), '.', 1) ELSE substring_index(substring_index(lower(trim(v)), '\\\\', -1), '@', 1) END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION ll_canon_hex(v STRING) RETURNS STRING RETURN CASE WHEN trim(v) RLIKE '(?i)^0x[0-9a-f]+$' THEN concat('0x', regexp_replace(lower(substring(trim(v), 3)), '^0+(?=.)', '')) ELSE trim(v) END")

@@ -19,15 +19,18 @@ MANY = 16
 
 
 class Event:
-    """Access to the fields of an event row: promoted columns, else the `fields` map. Folded columns are projected once."""
+    """Access to the fields of an event row, by names without regard to case: promoted columns, else the `fields` map. Folded columns are projected once."""
 
     def __init__(self, columns: list[str], spark: SparkSession | None = None, folded: dict[str, str] | None = None):
         self.columns, self.spark, self.folded = set(columns), spark, folded or {}
+        self.by_low = {c.lower(): c for c in columns if c != "fields"}
 
     def text(self, name: str) -> Column:
-        if name in self.columns and name != "fields":
-            return F.col(f"`{name}`").cast("string")
-        return F.col("fields")[name] if "fields" in self.columns else F.lit(None).cast("string")
+        if name.lower() in self.by_low:
+            return F.col(f"`{self.by_low[name.lower()]}`").cast("string")
+        if "fields" not in self.columns:
+            return F.lit(None).cast("string")
+        return (F.col("_fields") if "_fields" in self.columns else small_names(F.col("fields")))[name.lower()]
 
     def lower(self, name: str) -> Column:
         return F.col(self.folded[name]) if name in self.folded else F.lower(self.text(name))
@@ -41,6 +44,13 @@ class Event:
         return F.lower(F.concat_ws(" ", *plain, *rest))
 
 
+def small_names(fields: Column) -> Column:
+    """A map with small-letter names, as the lake has it already; of names that differ in case only the first counts."""
+    low = F.transform(F.map_keys(fields), lambda k: F.lower(k))
+    once = F.filter(F.map_entries(fields), lambda e, i: F.array_position(low, F.lower(e["key"])) == i + 1)
+    return F.when(F.forall(F.map_keys(fields), lambda k: k == F.lower(k)), fields).otherwise(F.map_from_entries(F.transform(once, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
+
+
 def glob_regex(pattern: str) -> str:
     """A whole-text glob as a regular expression: `*`, `?`, and classes; `[!` negates."""
     out, i = [], 0
@@ -229,6 +239,8 @@ def compile_rule(rule: Rule, event: Event) -> Column:
 
 def fold_columns(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, Event]:
     """df with the fields that the rules compare folded to lower case once, and the access to them."""
+    if "fields" in df.columns:
+        df = df.withColumn("_fields", small_names(F.col("fields")))
     names = sorted({k.split("|")[0] for r in rules for s in r.selections.values() for m in (s if isinstance(s, list) else [s]) if isinstance(m, dict) for k in m})
     plain = Event(df.columns, df.sparkSession)
     folded = {n: f"_low_{i}" for i, n in enumerate(names)}

@@ -2,55 +2,63 @@
 
 All predicates of a batch are one projection whose array of hits is exploded,
 so a scan serves a whole batch; fields are folded to lower case once. Batches
-are kept small enough for whole-stage code generation.
+are kept small enough for whole-stage code generation and hold rules of the
+same event ids, so that in a lake sorted by event id they share out one scan.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lanternlog.functions.entities import filled, pick
 from lanternlog.functions.match import Event, compile_rule, fold_columns
 from lanternlog.operators.bursts import bursts
+from lanternlog.operators.coverage import channel_key, requirements
 from lanternlog.plans.rulebook import Rule, RuleError, candidate_events, fields_read
+from lanternlog.session import Tables
 
 BATCH = 50
 
 
-def live_rules(rules: list[Rule], event_ids: set[int] | None = None, channels: set[str] | None = None) -> list[Rule]:
-    """Rules without those that can't match for lack of their event ids or channel."""
-    from lanternlog.plans.rulebook import SERVICE_CHANNELS
+def live_rules(events: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """Rules without those that can't match for lack of their event ids or channel. One pass over two columns; the names of rules come back."""
+    need, ids = requirements(events.sparkSession, rules)
+    seen = Tables(events.sparkSession, "seen").put(events.select("EventID", channel_key().alias("channel")).distinct())
+    heard = seen.agg(F.collect_set("channel").alias("heard")).withColumn("_one", F.lit(1))
+    arrives = ids.join(seen.select(F.col("EventID").alias("event_id")), "event_id", "left_semi").select("rule_id").distinct().withColumn("arrives", F.lit(True))
+    served = (F.size("channels") == 0) | F.array_contains("heard", "") | F.arrays_overlap("channels", "heard")
+    kept = need.withColumn("_one", F.lit(1)).join(heard, "_one").join(arrives, "rule_id", "left").where(served & (F.col("any_event") | F.col("arrives")))
+    names = {r.rule_id for r in kept.select("rule_id").collect()}
+    return [r for r in rules if r.id in names]
 
-    out = []
-    for rule in rules:
-        ids = candidate_events(rule)
-        if event_ids is not None and ids is not None and not ids & event_ids:
-            continue
-        known = SERVICE_CHANNELS.get(rule.logsource.get("service", ""))
-        if channels is not None and known and "" not in channels and not set(known) & channels:
-            continue
-        out.append(rule)
-    return out
+
+def batches_of(rules: list[Rule], size: int) -> list[list[tuple[int, Rule]]]:
+    """(place in `rules`, rule) in batches of rules with the same event ids as far as can be, so that each batch's scan skips what others read."""
+    ids = {i: candidate_events(r) for i, r in enumerate(rules)}
+    order = sorted(ids, key=lambda i: (ids[i] is None, sorted(ids[i] or ())))
+    return [[(i, rules[i]) for i in order[at : at + size]] for at in range(0, len(order), size)] or [[]]
 
 
 def narrowed(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """Only the columns and event ids that some rule can read; the filter reaches the scan."""
     wanted = [fields_read(r) for r in rules]
     if all(w is not None for w in wanted):
-        need = set().union(*wanted) | {"_rid", "EventID", "TimeCreated", "Channel", "_platform"}
-        missing = need - set(events.columns)
-        events = events.select(*[c for c in events.columns if c in need or (c == "fields" and missing)])
+        need = {n.lower() for n in set().union(*wanted) | {"_rid", "EventID", "TimeCreated", "Channel", "_platform"}}
+        missing = need - {c.lower() for c in events.columns}
+        events = events.select(*[c for c in events.columns if c.lower() in need or (c == "fields" and missing)])
     ids = [candidate_events(r) for r in rules]
     if ids and all(i is not None for i in ids):
         events = events.where(F.col("EventID").isin(sorted(set().union(*ids))))
     return events
 
 
-def _by_rule(rules: list[Rule], start: int, value) -> Column:
-    """value(rule) where `rule_no` is the rule's, the first of which is `start`; equal expressions are shared."""
+def _by_rule(part: list[tuple[int, Rule]], value) -> Column:
+    """value(rule) where `rule_no` is the rule's; equal expressions are shared."""
     out = F.lit(None)
     groups: dict[str, tuple[list[int], Column]] = {}
-    for i, rule in enumerate(rules, start):
+    for i, rule in part:
         column = value(rule)
         groups.setdefault(str(column), ([], column))[0].append(i)
     for numbers, column in groups.values():
@@ -67,26 +75,20 @@ def rule_hits(events: DataFrame, rules: list[Rule], batch: int = BATCH) -> DataF
     """
     if any(r.kind != "signature" for r in rules):
         raise RuleError("only signature rules match events")
-    out = None
-    for start in range(0, max(len(rules), 1), batch):
-        part = rules[start : start + batch]
-        rows, event = fold_columns(narrowed(events, part), part)
-        matched = F.array_compact(F.array(*[F.when(compile_rule(r, event), F.lit(start + i)) for i, r in enumerate(part)])) if part else F.array().cast("array<int>")
-        plain = Event(rows.columns, rows.sparkSession)
+    out = []
+    for part in batches_of(rules, batch):
+        own = [r for _, r in part]
+        rows, event = fold_columns(narrowed(events, own), own)
+        matched = F.array_compact(F.array(*[F.when(compile_rule(r, event), F.lit(i)) for i, r in part])) if part else F.array().cast("array<int>")
+        text = Event(rows.columns, rows.sparkSession).text
+        key = lambda r, text=text: F.concat_ws("\x1f", *[F.coalesce(text(g), F.lit("")) for g in (r.threshold or {}).get("group_by", [])]) if (r.threshold or {}).get("group_by") else F.lit("")
+        value = lambda r, text=text: F.lower(F.coalesce(text(r.threshold["distinct"]), F.lit(""))) if (r.threshold or {}).get("distinct") else F.lit(None).cast("string")
+        target = lambda r, text=text: filled(text(r.meta["collect_targets"])) if r.meta.get("collect_targets") else F.lit(None).cast("string")
+        picked = lambda w, text=text: lambda r: pick([text(f) for f in r.pick(w)])
+        columns = {**{w: picked(w) for w in ("actor", "host", "source")}, "target": target, "burst_key": key, "burst_value": value}
         rows = rows.withColumn("rule_no", F.explode(matched))
-
-        def each(value, start=start, part=part) -> Column:
-            return _by_rule(part, start, value)
-
-        text = plain.text
-        key = lambda r: F.concat_ws("\x1f", *[F.coalesce(text(g), F.lit("")) for g in (r.threshold or {}).get("group_by", [])]) if (r.threshold or {}).get("group_by") else F.lit("")
-        value = lambda r: F.lower(F.coalesce(text(r.threshold["distinct"]), F.lit(""))) if (r.threshold or {}).get("distinct") else F.lit(None).cast("string")
-        target = lambda r: filled(text(r.meta["collect_targets"])) if r.meta.get("collect_targets") else F.lit(None).cast("string")
-        got = rows.select(
-            "rule_no", "_rid", "TimeCreated", *[each(lambda r, w=w: pick([text(f) for f in r.pick(w)])).cast("string").alias(w) for w in ("actor", "host", "source")],
-            each(target).cast("string").alias("target"), each(key).cast("string").alias("burst_key"), each(value).cast("string").alias("burst_value"))
-        out = got if out is None else out.unionAll(got)
-    return out
+        out.append(rows.select("rule_no", "_rid", "TimeCreated", *[_by_rule(part, f).cast("string").alias(name) for name, f in columns.items()]))
+    return functools.reduce(DataFrame.unionAll, out)
 
 
 def rule_table(spark, rules: list[Rule]) -> DataFrame:

@@ -124,11 +124,11 @@ def entity_risk(found: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def alert_groups(members: DataFrame) -> DataFrame:
-    """incident_id, rule_id, host_key, title, level, first_at, last_at, n, actors, risk: detections of one rule on one host."""
+    """incident_id, rule_id, host_key, title, level, host, kill_chain, techniques, first_at, last_at, n, actors, risk: detections of one rule on one host."""
     at = F.struct("start_ts", "det_id")
     rows = members.withColumn("host_key", F.lower(F.coalesce(short_host(F.col("host")), F.lit(""))))
     return rows.groupBy("incident_id", "rule_id", "host_key").agg(
-        F.min_by("title", at).alias("title"), F.min_by("level", at).alias("level"), F.min_by("host", at).alias("host"), F.min_by("kill_chain", at).alias("kill_chain"), F.min("start_ts").alias("first_at"), F.max(F.coalesce("end_ts", "start_ts")).alias("last_at"),
+        F.min_by("title", at).alias("title"), F.min_by("level", at).alias("level"), F.min_by("host", at).alias("host"), F.min_by("kill_chain", at).alias("kill_chain"), F.min_by("techniques", at).alias("techniques"), F.min("start_ts").alias("first_at"), F.max(F.coalesce("end_ts", "start_ts")).alias("last_at"),
         F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(filled(F.col("actor")))).alias("actors"), F.sum(risk_of(F.col("risk"), F.col("level"), F.col("kind"))).alias("risk"))
 
 

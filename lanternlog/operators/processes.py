@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, functions as F
 
 from lanternlog.functions.entities import level_rank
 from lanternlog.plans.rulebook import ALERT_LEVELS
 from lanternlog.session import Tables
 
-DEPTH = 15
+DEPTH, BUDGET = 15, 260
 GUID_FIELDS = ["ProcessGuid", "SourceProcessGuid", "SourceProcessGUID"]
 
 
@@ -46,7 +48,21 @@ def ancestors(index: DataFrame, start: DataFrame, depth: int = DEPTH) -> DataFra
         if line.isEmpty():
             break
         parts.append(line)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("guid", "ancestor", "depth")
+    return functools.reduce(DataFrame.unionByName, parts).select("guid", "ancestor", "depth")
+
+
+def process_tree(index: DataFrame, flagged: DataFrame, budget: int = BUDGET, depth: int = DEPTH) -> DataFrame:
+    """guid, parent, image, command, user, host, started, level, alerts: the alerting processes and their ancestors, the gravest first, at most `budget` nodes.
+
+    flagged: guid, title, level. A node ranks by the gravest process below it
+    and goes behind its ancestors, so no shown node lacks a shown parent. The
+    budget is what a person can read; without it (None) the tree is whole.
+    """
+    alerts = flagged.groupBy("guid").agg(F.max_by("level", level_rank(F.col("level"))).alias("level"), F.sort_array(F.collect_set("title")).alias("alerts"))
+    lines = ancestors(index, alerts, depth).join(alerts.select("guid", level_rank(F.col("level")).alias("rank")), "guid")
+    place = F.min(F.struct((-F.col("rank")).alias("grave"), F.col("guid").alias("line"), (-F.col("depth")).alias("near")))
+    nodes = lines.groupBy("ancestor").agg(place.alias("place"))
+    if budget is not None:
+        nodes = nodes.orderBy("place").limit(budget)
+    out = nodes.select(F.col("ancestor").alias("guid"), "place").join(index, "guid").join(alerts, "guid", "left")
+    return out.orderBy("place").select("guid", "parent", "image", "command", "user", "host", "started", "level", F.coalesce("alerts", F.array().cast("array<string>")).alias("alerts"))

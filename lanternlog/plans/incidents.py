@@ -40,7 +40,7 @@ ent AS (SELECT DISTINCT det_id, kind, value, CASE WHEN kind = 'host' THEN {_norm
   SELECT det_id, 'actor' AS kind, actor AS value FROM detections UNION ALL SELECT det_id, 'source', source FROM detections UNION ALL SELECT det_id, 'host', host FROM detections
   UNION ALL SELECT det_id, e.kind, e.value FROM (SELECT det_id, unnest(extra_entities) AS e FROM detections)) WHERE value IS NOT NULL AND value NOT IN ('', '-')),
 k AS (SELECT DISTINCT e.det_id, e.kind, norm, epoch_us(start_ts) AS a, epoch_us(coalesce(end_ts, start_ts)) AS z FROM ent e JOIN detections d ON d.det_id = e.det_id WHERE norm <> '')"""
-_COMP = f"""WITH RECURSIVE {_ENT},
+COMP_SQL = f"""WITH RECURSIVE {_ENT},
 o AS (SELECT *, max(z) OVER (PARTITION BY kind, norm ORDER BY a, det_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pz FROM k),
 i AS (SELECT *, sum(CASE WHEN pz IS NULL OR a - pz > {I.WINDOW_US} THEN 1 ELSE 0 END) OVER (PARTITION BY kind, norm ORDER BY a, det_id) AS isl FROM o),
 m AS (SELECT kind, norm, isl, min(det_id) AS v FROM i GROUP BY 1, 2, 3),
@@ -50,24 +50,24 @@ comp AS (SELECT s AS det_id, min(x) AS incident_id FROM r GROUP BY 1),
 mem AS (SELECT d.*, comp.incident_id, CASE level WHEN 'informational' THEN 1 WHEN 'low' THEN 2 WHEN 'medium' THEN 4 WHEN 'high' THEN 7 WHEN 'critical' THEN 10 ELSE 3 END AS ls, CASE kind WHEN 'sequence' THEN 1.5 WHEN 'anomaly' THEN 0.5 ELSE 1.0 END AS kw FROM detections d JOIN comp USING (det_id))"""
 
 
-@query(_COMP + " SELECT det_id, incident_id FROM comp")
+@query(COMP_SQL + " SELECT det_id, incident_id FROM comp")
 def incident_components(spark: SparkSession, d: str) -> DataFrame:
     return I.correlate(found(spark, d))
 
 
 _TACTICS = "list_position(['Reconnaissance', 'Resource Development', 'Initial Access', 'Execution', 'Persistence', 'Privilege Escalation', 'Defense Evasion', 'Stealth', 'Defense Impairment', 'Credential Access', 'Discovery', 'Lateral Movement', 'Collection', 'Command and Control', 'Exfiltration', 'Impact'], kill_chain)"
-_SUM = _COMP + f""",
+SUM_SQL = COMP_SQL + f""",
 ph0 AS (SELECT incident_id, CASE WHEN kind = 'sequence' THEN 2 WHEN level IN ('medium', 'high', 'critical') THEN 0 ELSE 1 END AS st, coalesce(kill_chain, 'Unknown') AS phase, min((epoch_us(start_ts), coalesce({_TACTICS}, 100))) AS ats FROM mem GROUP BY 1, 2, 3),
 ph1 AS (SELECT * FROM ph0 p WHERE st = 2 OR st = (SELECT min(st) FROM ph0 q WHERE q.incident_id = p.incident_id AND st < 2)),
 ph2 AS (SELECT incident_id, phase, min((st, ats)) AS o FROM ph1 GROUP BY 1, 2),
 ph AS (SELECT incident_id, string_agg(phase, ' > ' ORDER BY o) AS phases, count(*) AS np FROM ph2 GROUP BY 1),
 te AS (SELECT incident_id, count(DISTINCT t) AS n_techniques FROM (SELECT incident_id, unnest(techniques) AS t FROM mem) GROUP BY 1),
 b AS (SELECT incident_id, count(*) AS n_detections, min(start_ts) AS start_ts, max(coalesce(end_ts, start_ts)) AS end_ts, sum(ls * kw) AS base, bool_or(kind = 'sequence') AS sq FROM mem GROUP BY 1)"""
-_SEV = "CASE WHEN {0} >= 40 THEN 'Critical' WHEN {0} >= 20 THEN 'High' WHEN {0} >= 10 THEN 'Medium' ELSE 'Low' END"
+SEV_SQL = "CASE WHEN {0} >= 40 THEN 'Critical' WHEN {0} >= 20 THEN 'High' WHEN {0} >= 10 THEN 'Medium' ELSE 'Low' END"
 
 
-@query(_SUM + f""" SELECT b.incident_id, n_detections, start_ts, end_ts, phases, coalesce(n_techniques, 0) AS n_techniques, CAST(floor(base + 5 * np) AS BIGINT) AS score,
-{_SEV.format('floor(base + 5 * np)')} AS severity, CASE WHEN sq THEN 'High (confirmed multi-stage sequence)' WHEN np >= 3 THEN 'Medium (multiple correlated phases)' ELSE 'Low (single-stage signal)' END AS confidence
+@query(SUM_SQL + f""" SELECT b.incident_id, n_detections, start_ts, end_ts, phases, coalesce(n_techniques, 0) AS n_techniques, CAST(floor(base + 5 * np) AS BIGINT) AS score,
+{SEV_SQL.format('floor(base + 5 * np)')} AS severity, CASE WHEN sq THEN 'High (confirmed multi-stage sequence)' WHEN np >= 3 THEN 'Medium (multiple correlated phases)' ELSE 'Low (single-stage signal)' END AS confidence
 FROM b JOIN ph ON b.incident_id = ph.incident_id LEFT JOIN te ON b.incident_id = te.incident_id""")
 def incident_summary(spark: SparkSession, d: str) -> DataFrame:
     """Score, phases, severity and confidence of every incident."""
@@ -75,11 +75,11 @@ def incident_summary(spark: SparkSession, d: str) -> DataFrame:
     return out.select("incident_id", "n_detections", "start_ts", "end_ts", F.array_join("phases", " > ").alias("phases"), F.size("techniques").cast("long").alias("n_techniques"), "score", "severity", "confidence")
 
 
-_RISK = "CAST(trunc(coalesce(CAST(risk AS DOUBLE), ls * 10) * kw) AS INT)"
+RISK_SQL = "CAST(trunc(coalesce(CAST(risk AS DOUBLE), ls * 10) * kw) AS INT)"
 _LS = "CASE level WHEN 'informational' THEN 1 WHEN 'low' THEN 2 WHEN 'medium' THEN 4 WHEN 'high' THEN 7 WHEN 'critical' THEN 10 ELSE 3 END AS ls, CASE kind WHEN 'sequence' THEN 1.5 WHEN 'anomaly' THEN 0.5 ELSE 1.0 END AS kw"
 
 
-@query(f"""WITH {_ENT}, rd AS (SELECT *, {_RISK} AS r FROM (SELECT *, {_LS} FROM detections)),
+@query(f"""WITH {_ENT}, rd AS (SELECT *, {RISK_SQL} AS r FROM (SELECT *, {_LS} FROM detections)),
 j AS (SELECT e.kind, e.norm, e.value, d.det_id, d.r, d.techniques, coalesce(d.kill_chain, 'Unknown') AS ph FROM ent e JOIN rd d USING (det_id) WHERE e.norm <> ''),
 t AS (SELECT kind, norm, count(DISTINCT t) AS nt FROM (SELECT kind, norm, unnest(techniques) AS t FROM j) GROUP BY 1, 2),
 g AS (SELECT kind, norm, CAST(sum(r) AS BIGINT) AS score, count(*) AS detections, count(DISTINCT ph) AS n_phases FROM j GROUP BY 1, 2)
@@ -89,13 +89,13 @@ def entity_risk(spark: SparkSession, d: str) -> DataFrame:
     return out.select("kind", "norm", "score", "detections", F.size("phases").cast("long").alias("n_phases"), F.size("techniques").cast("long").alias("n_techniques"), "flagged")
 
 
-@query(_COMP + f""" SELECT incident_id, lower(trim(rule_id)) AS rule_id, lower(CASE WHEN host IS NULL THEN '' WHEN regexp_full_match(host, '[0-9.]*') THEN host ELSE split_part(host, '.', 1) END) AS host_key, count(*) AS n,
-min(start_ts) AS first_at, max(coalesce(end_ts, start_ts)) AS last_at, count(DISTINCT CASE WHEN actor NOT IN ('', '-') THEN actor END) AS n_actors, CAST(sum({_RISK}) AS BIGINT) AS risk FROM mem GROUP BY 1, 2, 3""")
+@query(COMP_SQL + f""" SELECT incident_id, lower(trim(rule_id)) AS rule_id, lower(CASE WHEN host IS NULL THEN '' WHEN regexp_full_match(host, '[0-9.]*') THEN host ELSE split_part(host, '.', 1) END) AS host_key, count(*) AS n,
+min(start_ts) AS first_at, max(coalesce(end_ts, start_ts)) AS last_at, count(DISTINCT CASE WHEN actor NOT IN ('', '-') THEN actor END) AS n_actors, CAST(sum({RISK_SQL}) AS BIGINT) AS risk FROM mem GROUP BY 1, 2, 3""")
 def alert_groups(spark: SparkSession, d: str) -> DataFrame:
     return I.alert_groups(members(spark, d)).select("incident_id", "rule_id", "host_key", "n", "first_at", "last_at", F.size("actors").cast("long").alias("n_actors"), "risk")
 
 
-@query(_COMP + f""", e2 AS (SELECT DISTINCT det_id, kind AS ek, norm FROM ent WHERE norm <> ''), j AS (SELECT e2.ek, e2.norm, m.*, {_RISK} AS r FROM e2 JOIN mem m USING (det_id)),
+@query(COMP_SQL + f""", e2 AS (SELECT DISTINCT det_id, kind AS ek, norm FROM ent WHERE norm <> ''), j AS (SELECT e2.ek, e2.norm, m.*, {RISK_SQL} AS r FROM e2 JOIN mem m USING (det_id)),
 t AS (SELECT ek, norm, count(DISTINCT t) AS nt FROM (SELECT ek, norm, unnest(techniques) AS t FROM j) GROUP BY 1, 2)
 SELECT j.ek AS kind, j.norm, count(*) AS n_detections, count(DISTINCT incident_id) AS n_incidents, min(start_ts) AS first_at, max(coalesce(end_ts, start_ts)) AS last_at, CAST(sum(r) AS BIGINT) AS risk, coalesce(any_value(nt), 0) AS n_techniques
 FROM j LEFT JOIN t ON j.ek = t.ek AND j.norm = t.norm GROUP BY 1, 2""")
@@ -112,7 +112,7 @@ def _key(kind: str) -> str:
     return f"CASE WHEN {kind} IS NOT NULL AND {kind} NOT IN ('', '-') THEN '{kind}:' || {_norm(kind, kind == 'host')} END"
 
 
-@query(_COMP + f""", er AS (SELECT m.incident_id, e.kind, e.norm, sum(trunc(coalesce(CAST(m.risk AS DOUBLE), m.ls * 10) * m.kw)) AS s FROM ent e JOIN mem m USING (det_id) WHERE e.norm <> '' GROUP BY 1, 2, 3),
+@query(COMP_SQL + f""", er AS (SELECT m.incident_id, e.kind, e.norm, sum(trunc(coalesce(CAST(m.risk AS DOUBLE), m.ls * 10) * m.kw)) AS s FROM ent e JOIN mem m USING (det_id) WHERE e.norm <> '' GROUP BY 1, 2, 3),
 keep AS (SELECT incident_id, kind || ':' || norm AS k FROM er QUALIFY row_number() OVER (PARTITION BY incident_id, kind ORDER BY s DESC, norm) <= 10),
 p AS (SELECT incident_id, {_key('source')} AS s, {_key('actor')} AS a, {_key('host')} AS h, coalesce(techniques[1], left(title, 28)) AS t FROM mem WHERE kind <> 'sequence' AND level IN ('medium', 'high', 'critical')),
 x AS (SELECT incident_id, t, CASE WHEN a IS NOT NULL THEN s ELSE s END AS f, CASE WHEN a IS NOT NULL THEN a ELSE h END AS g FROM p UNION ALL SELECT incident_id, t, a, h FROM p WHERE a IS NOT NULL)
@@ -149,11 +149,11 @@ def _phase_count(cond: str) -> str:
     return f"(CASE WHEN {mid} > 0 THEN {mid} ELSE {rest} END)"
 
 
-@query(_COMP + f""", s AS (SELECT *, {_SUPPRESSED} IS NOT NULL AS hid, CASE WHEN host IS NULL THEN '' WHEN regexp_full_match(host, '[0-9.]*') THEN host ELSE split_part(host, '.', 1) END AS sh FROM mem),
+@query(COMP_SQL + f""", s AS (SELECT *, {_SUPPRESSED} IS NOT NULL AS hid, CASE WHEN host IS NULL THEN '' WHEN regexp_full_match(host, '[0-9.]*') THEN host ELSE split_part(host, '.', 1) END AS sh FROM mem),
 g AS (SELECT incident_id, count(*) FILTER (WHERE hid) AS n_hidden, count(*) FILTER (WHERE NOT hid) AS n_left, floor(coalesce(sum(ls * kw), 0) + 5 * {_phase_count('true')}) AS s0, floor(coalesce(sum(ls * kw) FILTER (WHERE NOT hid), 0) + 5 * {_phase_count('NOT hid')}) AS s1,
 coalesce(min_by(hid, (start_ts, det_id)) FILTER (WHERE {_STORY}), false) AS hides_first, count(DISTINCT CASE WHEN {_STORY} THEN coalesce(kill_chain, 'Unknown') END) - count(DISTINCT CASE WHEN {_STORY} AND NOT hid THEN coalesce(kill_chain, 'Unknown') END) AS phases_lost FROM s GROUP BY 1),
 h AS (SELECT incident_id, count(*) FILTER (WHERE x) AS hosts_lost FROM (SELECT incident_id, sh, min_by(hid, (start_ts, det_id)) AS x FROM s WHERE {_STORY} GROUP BY 1, 2) GROUP BY 1)
-SELECT g.incident_id, n_hidden, {_SEV.format('s0')} AS severity_before, CASE WHEN n_left = 0 THEN '(incident disappears)' ELSE {_SEV.format('s1')} END AS severity_after, hides_first, coalesce(hosts_lost, 0) AS hosts_lost, phases_lost
+SELECT g.incident_id, n_hidden, {SEV_SQL.format('s0')} AS severity_before, CASE WHEN n_left = 0 THEN '(incident disappears)' ELSE {SEV_SQL.format('s1')} END AS severity_after, hides_first, coalesce(hosts_lost, 0) AS hosts_lost, phases_lost
 FROM g LEFT JOIN h ON g.incident_id = h.incident_id WHERE n_hidden > 0""")
 def suppress_impact(spark: SparkSession, d: str) -> DataFrame:
     """What the suppressions would cost each incident."""

@@ -1,4 +1,4 @@
-"""The whole hunt: events to detections to incidents, and incidents as plain rows for documents."""
+"""The whole hunt: events to detections to incidents."""
 
 from __future__ import annotations
 
@@ -9,13 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 from lanternlog.operators import incidents as I
 from lanternlog.operators import suppression
 from lanternlog.operators.anomalies import anomalies
-from lanternlog.operators.hits import DETECTION, detections
+from lanternlog.operators.hits import DETECTION, detections, live_rules
 from lanternlog.operators.sequences import sequences
 from lanternlog.plans.rulebook import ALERT_LEVELS, Rule
 from lanternlog.session import Tables
 
-KIND_NAMES = {"actor": "Account", "source": "Source", "host": "Host"}
-
 
 @dataclass
 class Hunt:
@@ -26,9 +24,9 @@ class Hunt:
 
 
 def hunt(events: DataFrame, rules: list[Rule], sups: list | None = None, window_us: int = I.WINDOW_US, min_score: int = 0, with_anomalies: bool = True) -> Hunt:
-    """Signatures, sequences over unsuppressed signatures, suppression, anomalies, correlation. Written stage by stage to the shared folder."""
+    """Signatures that can match what arrives, sequences over them, suppression, anomalies, correlation. Written stage by stage to the shared folder."""
     tables = Tables(events.sparkSession, "hunt")
-    signatures = [r for r in rules if r.kind == "signature"]
+    signatures = live_rules(events, [r for r in rules if r.kind == "signature"])
     found = tables.put(detections(events, signatures))
     sequenced = sequences(rules, found, events)
     marked = suppression.apply(found, sups or [], events)
@@ -43,51 +41,6 @@ def hunt(events: DataFrame, rules: list[Rule], sups: list | None = None, window_
     return Hunt(marked, every, members, summary.orderBy(F.desc("score"), "start_ts", "incident_id"))
 
 
-def detection_rows(members: DataFrame, places: dict[int, int]) -> DataFrame:
-    """incident_id, place, det_id, start_ts, detection: every detection of the incidents in `places`, made on the executors."""
-    named = members.sparkSession.createDataFrame(list(places.items()), "incident_id long, place int")
-    iso = lambda c: F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.0{6}$", "")
-    detection = F.struct(
-        "rule_id", "title", "kind", "level", iso(F.col("start_ts")).alias("start"), iso(F.coalesce("end_ts", "start_ts")).alias("end"), "actor", "host", "source", F.col("techniques").alias("attack"), "kill_chain",
-        F.coalesce(F.size("event_rids"), F.lit(0)).alias("event_count"), I.risk_of(F.col("risk"), F.col("level"), F.col("kind")).alias("risk"))
-    return members.join(F.broadcast(named), "incident_id").select("incident_id", "place", "det_id", "start_ts", detection.alias("detection"))
-
-
-def top_incidents(members: DataFrame, incidents: DataFrame, most: int = 50, with_detections: bool = True) -> list[dict]:
-    """The `most` incidents of highest score as plain rows for documents.
-
-    first and first_seen (of techniques, in milliseconds) are aggregates over
-    all detections. with_detections collects every detection too; without it,
-    detection_rows has them.
-    """
-    rows = incidents.orderBy(F.desc("score"), "start_ts", "incident_id").limit(most).collect()
-    if not rows:
-        return []
-    some = members.join(F.broadcast(members.sparkSession.createDataFrame([(r.incident_id,) for r in rows], "incident_id long")), "incident_id", "left_semi")
-    firsts = {r.incident_id: r.first for r in some.groupBy("incident_id").agg(F.min_by(F.struct("rule_id", "start_ts", "host"), F.struct("start_ts", "det_id")).alias("first")).collect()}
-    seen: dict[int, dict[str, int]] = {}
-    for r in some.select("incident_id", "start_ts", F.explode("techniques").alias("t")).groupBy("incident_id", "t").agg(F.expr("unix_millis(min(start_ts))").alias("at")).collect():
-        seen.setdefault(r.incident_id, {})[r.t] = r.at
-    dets: dict[int, list[dict]] = {}
-    if with_detections:
-        for d in detection_rows(members, {r.incident_id: i for i, r in enumerate(rows, 1)}).orderBy("start_ts", "det_id").collect():
-            dets.setdefault(d.incident_id, []).append(d.detection.asDict())
-    groups = I.alert_groups(some).orderBy("first_at", "rule_id", "host_key").collect()
-    risks = I.entity_risk(some, ["incident_id"]).orderBy(F.desc("score"), "kind", "norm").collect()
-    out = []
-    for r in rows:
-        first = firsts[r.incident_id]
-        out.append({
-            "incident_id": r.incident_id, "start": r.start_ts, "end": r.end_ts, "severity": r.severity, "score": r.score, "confidence": r.confidence, "phases": list(r.phases), "techniques": list(r.techniques),
-            "entities": {k: list(r[k]) for k in ("accounts", "sources", "hosts", "targeted") if k != "targeted" or r[k]},
-            "entity_risk": [{"type": KIND_NAMES[e.kind] if e.kind in KIND_NAMES else e.kind, "value": e.value, "score": e.score, "flagged": e.flagged, "techniques": list(e.techniques)} for e in risks if e.incident_id == r.incident_id],
-            "n_detections": r.n_detections, "first": {"rule_id": first.rule_id, "start": first.start_ts.isoformat(), "host": first.host}, "first_seen": seen.get(r.incident_id, {}),
-            **({"detections": dets[r.incident_id]} if with_detections else {}),
-            "alert_groups": [g.asDict() for g in groups if g.incident_id == r.incident_id],
-        })
-    return out
-
-
 def campaign_summary(result: Hunt, n_events: int) -> dict:
     """What one campaign came to."""
     alerts = result.signatures.where(F.col("level").isin(ALERT_LEVELS)).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rule_id").alias("rules")).first()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lanternlog.operators import coverage, hits
+from lanternlog.plans.rulebook import rule_of
 from lanternlog.plans.rules import MULTI_SQL, events, pack, signatures
 from lanternlog.session import Tables
 from lanternlog.sources import events as sources
+from lanternlog.sources.normalize import decode
 from lanternlog.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -73,15 +75,9 @@ def went_silent(spark: SparkSession, d: str) -> DataFrame:
     return coverage.went_silent(events(spark, d))
 
 
-def _assessed(spark: SparkSession, d: str) -> list[coverage.Viability]:
-    seen = coverage.profile(events(spark, d))
-    return [coverage.assess(r, seen) for r in pack()]
-
-
 def _viability(spark: SparkSession, d: str) -> DataFrame:
-    found = _assessed(spark, d)
-    rows = [(v.rule.id, v.rule.level, v.status, v.rule.kill_chain, v.rule.techniques, v.reason) for v in found]
-    return spark.createDataFrame(rows, "rule_id string, level string, status string, tactic string, techniques array<string>, reason string")
+    rows = events(spark, d)
+    return Tables(spark, "viability").put(coverage.viability(spark, pack(), coverage.profile(rows)))
 
 
 def _live_sql() -> str:
@@ -102,42 +98,79 @@ def rule_viability(spark: SparkSession, d: str) -> DataFrame:
     return _viability(spark, d).select("rule_id", "status")
 
 
-@query()
+def _rules_sql() -> str:
+    """The rules' tactics and techniques, as values."""
+    rows = ", ".join(f"('{r.id}', '{r.level}', '{r.meta.get('kill_chain', 'Unmapped')}', {r.techniques or 'CAST([] AS VARCHAR[])'})" for r in pack())
+    return f"r AS (SELECT * FROM (VALUES {rows}) x(rule_id, level, tactic, techniques)), v AS ({_live_sql()}), t AS (SELECT r.rule_id, tactic, status, unnest(techniques) AS technique FROM r JOIN v USING (rule_id))"
+
+
+@query(f"WITH {_rules_sql()} SELECT tactic, technique, CASE min(CASE status WHEN 'LIVE' THEN 0 WHEN 'UNOBSERVED' THEN 1 ELSE 2 END) WHEN 0 THEN 'live' WHEN 1 THEN 'unverified' ELSE 'blind' END AS kind FROM t GROUP BY 1, 2")
 def coverage_sets(spark: SparkSession, d: str) -> DataFrame:
     """Tactic by tactic, techniques that live rules have, that only unverified ones have, and that none has."""
-    found = _assessed(spark, d)
-    rows = [(tactic, kind, t) for tactic, sets in coverage.coverage(found).items() for kind, ts in sets.items() for t in sorted(ts)]
-    return spark.createDataFrame(rows, "tactic string, kind string, technique string")
+    return coverage.coverage_sets(_viability(spark, d))
+
+
+#: Rules that the test events can't serve: a service that never arrives, an id that no channel brings, a field that no event fills.
+_UNSERVED = [
+    ("x-dns", ["attack.t1071"], {"EventID": 541}, "dns-server"), ("x-task", ["attack.t1053", "attack.t1078"], {"EventID": 7001, "TaskName": "x"}, ""), ("x-task2", ["attack.t1053"], {"EventID": [7001, 7002]}, ""),
+    ("x-parent", ["attack.t1059"], {"EventID": 4688, "ParentProcessName": "x"}, ""), ("x-rare", ["attack.t1110"], {"EventID": 1108}, ""), ("x-live", ["attack.t1078"], {"EventID": 4624}, ""),
+]
+
+
+def _none(cond: str) -> str:
+    return f"NOT EXISTS (SELECT 1 FROM sec_events WHERE {_COUNTED} AND {cond})"
+
 
+_NO_DNS = _none("lower(Channel) = 'dns server'")
+_TODO = f"""
+WITH a AS (
+  SELECT 'Collect the channel of service dns-server' AS action, 'x-dns' AS rule_id, ['T1071'] AS ts, false AS later WHERE {_NO_DNS}
+  UNION ALL SELECT 'Collect EventID 7001', 'x-task', ['T1053', 'T1078'], false WHERE {_none('EventID = 7001')}
+  UNION ALL SELECT 'Collect EventID ' || i, 'x-task2', ['T1053'], false FROM (VALUES (7001), (7002)) v(i) WHERE {_none('EventID IN (7001, 7002)')}
+  UNION ALL SELECT 'Collect from Windows 10 / Server 2016 or later, or use Sysmon 1', 'x-parent', ['T1059'], false WHERE {_none("EventID = 4688 AND list_contains(map_keys(fields), 'ParentProcessName')")}
+  UNION ALL SELECT 'Verify that security 1108 is audited', 'x-rare', ['T1110'], true WHERE {_none('EventID = 1108')}),
+live AS (SELECT 'T1078' AS t WHERE EXISTS (SELECT 1 FROM sec_events WHERE EventID = 4624)),
+n AS (SELECT later, action, list_sort(list_distinct(list(t))) AS ts FROM (SELECT later, action, unnest(ts) AS t FROM a) WHERE t NOT IN (SELECT t FROM live) GROUP BY 1, 2),
+g AS (SELECT later, action, list_sort(list_distinct(list(rule_id))) AS rules FROM a GROUP BY 1, 2)
+SELECT row_number() OVER (PARTITION BY later ORDER BY len(coalesce(ts, [])) DESC, len(rules) DESC, action) AS place, action, rules, coalesce(ts, []) AS techniques, later FROM g LEFT JOIN n USING (later, action)"""
 
-@query()
+
+@query(_TODO)
 def recommendations(spark: SparkSession, d: str) -> DataFrame:
-    """What to turn on, most gain first."""
-    found = _assessed(spark, d)
-    rows = [(i, a, [r.id for r in rules], sorted(new)) for s in ("DEAD", "UNOBSERVED") for i, (a, rules, new) in enumerate(coverage.recommendations(found, s), 1)]
-    return spark.createDataFrame(rows, "place int, action string, rules array<string>, techniques array<string>")
+    """What to turn on for rules that the events can't serve, most gain first; then what to verify."""
+    rules = [rule_of({"id": i, "tags": tags, "detection": {"s": s, "condition": "s"}, "logsource": {"service": service} if service else {}}) for i, tags, s, service in _UNSERVED]
+    found = Tables(spark, "unserved").put(coverage.viability(spark, rules, coverage.profile(events(spark, d))))
+    parts = [coverage.recommendations(found, later).withColumn("later", F.lit(later)) for later in (False, True)]
+    return parts[0].unionAll(parts[1])
 
 
-@query()
+@query(f"WITH {_rules_sql()} SELECT technique, ['DEAD_FIELDS', 'DEAD_EVENTS', 'UNOBSERVED', 'LIVE'][max(list_position(['DEAD_FIELDS', 'DEAD_EVENTS', 'UNOBSERVED', 'LIVE'], status))] AS status FROM t GROUP BY 1")
 def technique_status(spark: SparkSession, d: str) -> DataFrame:
     return coverage.technique_status(_viability(spark, d))
 
 
+#: Hits on recordings, as a benchmark gives them.
+_BENCH = [("ll-0005", 2), ("ll-0006", 1), ("ll-0007", 3)]
 _HEALTH = f"""
-WITH h AS ({MULTI_SQL}), n AS (SELECT count(*) AS n FROM sec_events),
-c AS (SELECT rule_id, count(*) AS alerts, count(DISTINCT CASE WHEN regexp_full_match(c, '[0-9.]*') THEN c ELSE split_part(c, '.', 1) END) AS hosts FROM (SELECT h.rule_id, CASE WHEN e.Computer IN ('', '-') OR e.Computer IS NULL THEN '' ELSE e.Computer END AS c FROM h JOIN sec_events e USING (_rid)) GROUP BY 1)
-SELECT r.rule_id, coalesce(alerts, 0) AS alerts, coalesce(hosts, 0) AS hosts, round(coalesce(alerts, 0) / n * 1e6, 3) AS per_million,
-       CASE WHEN coalesce(alerts, 0) / n * 1e6 >= 500 AND r.level IN ('medium', 'high', 'critical') THEN 'TUNE' ELSE 'UNPROVEN' END AS verdict
-FROM (VALUES ('ll-0002', 'medium'), ('ll-0003', 'critical'), ('ll-0004', 'high'), ('ll-0005', 'medium'), ('ll-0006', 'high'), ('ll-0007', 'low')) r(rule_id, level) CROSS JOIN n LEFT JOIN c USING (rule_id)"""
+WITH h AS ({MULTI_SQL}), n AS (SELECT count(*) AS n FROM sec_events), {_rules_sql()},
+c AS (SELECT rule_id, count(*) AS alerts, count(DISTINCT CASE WHEN regexp_full_match(c, '[0-9.]*') THEN c ELSE split_part(c, '.', 1) END) AS hosts FROM (SELECT h.rule_id, CASE WHEN e.Computer IN ('', '-') OR e.Computer IS NULL THEN '' ELSE e.Computer END AS c FROM h JOIN sec_events e USING (_rid)) GROUP BY 1),
+k AS (SELECT * FROM (VALUES {", ".join(map(str, _BENCH))}) b(rule_id, bench_hits)),
+x AS (SELECT rule_id, level, status FROM r JOIN v USING (rule_id) WHERE rule_id IN ('ll-0002', 'll-0003', 'll-0004', 'll-0005', 'll-0006', 'll-0007') UNION ALL VALUES ('x-dns', 'medium', 'DEAD_EVENTS'))
+SELECT x.rule_id, coalesce(alerts, 0) AS alerts, coalesce(hosts, 0) AS hosts, round(coalesce(alerts, 0) / n * 1e6, 3) AS per_million, coalesce(bench_hits, 0) AS bench_hits,
+       CASE WHEN status LIKE 'DEAD%' THEN 'DEAD' WHEN coalesce(alerts, 0) / n * 1e6 >= 500 AND level IN ('medium', 'high', 'critical') THEN 'TUNE' WHEN bench_hits > 0 THEN 'TRUST' ELSE 'UNPROVEN' END AS verdict
+FROM x CROSS JOIN n LEFT JOIN c ON x.rule_id = c.rule_id LEFT JOIN k ON x.rule_id = k.rule_id"""
 
 
 @query(_HEALTH)
 def rule_health(spark: SparkSession, d: str) -> DataFrame:
-    rules = [r for r in signatures() if not r.threshold]
-    found = hits.detections(events(spark, d), rules)
-    live = spark.createDataFrame([(r.id, r.level, "LIVE") for r in rules], "rule_id string, level string, status string")
-    out = coverage.rule_health(found, live, events(spark, d).count())
-    return out.select("rule_id", "alerts", "hosts", F.round("per_million", 3).alias("per_million"), "verdict")
+    """Verdicts of stateless rules and of one that can't fire, with hits on recordings."""
+    rows, rules = events(spark, d), [r for r in signatures() if not r.threshold]
+    dns = rule_of({"id": "x-dns", "detection": {"s": {"EventID": 541}, "condition": "s"}, "logsource": {"service": "dns-server"}})
+    seen = coverage.profile(rows)
+    found = hits.detections(rows, rules)
+    bench = spark.createDataFrame(_BENCH, "rule_id string, bench_hits long")
+    out = coverage.rule_health(found, coverage.viability(spark, [*rules, dns], seen), seen.n_events, bench)
+    return out.select("rule_id", "alerts", "hosts", F.round("per_million", 3).alias("per_million"), "bench_hits", "verdict")
 
 
 _RUN = "SELECT DISTINCT recording AS sample, lower(trim(rule_id)) AS rule_id FROM detections WHERE det_id % 3 {} 0"
@@ -176,17 +209,36 @@ def events_query(spark: SparkSession, d: str) -> DataFrame:
     return sources.query(events(spark, d), F.col("EventID") == 1102, 5, ["computer"])
 
 
-@query()
+def _text(column: str) -> str:
+    return f"nullif(regexp_replace({column}, '^\\s+|\\s+$', '', 'g'), '')"
+
+
+_MISREAD = "'â€|Ã|Â'"
+_PLAIN = "trim(regexp_replace(regexp_replace({0}, '[\\x{{2010}}-\\x{{2015}}\\x{{2212}}]', '-', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""
+WITH c AS (SELECT record_id, CASE WHEN lower("Type") IN ('auditlogs', 'signinlogs', 'aadnoninteractiveusersigninlogs', 'aaduserriskevents', 'azureactivity', 'officeactivity', 'securityalert') THEN lower("Type") WHEN "Timestamp" IS NOT NULL AND ActionType IS NOT NULL THEN 'm365d' END AS t,
+  {_text('DeviceName')} AS device, {_text('OfficeWorkload')} AS workload, lower({_text('ActionType')}) AS action, regexp_replace({_text('IPAddress')}, '^::ffff:', '', 'i') AS ip, coalesce({_text('ActivityDisplayName')}, {_text('OperationName')}, {_text('"Operation"')}) AS said,
+  coalesce({_text('UserPrincipalName')}, {_text('UserId')}, {_text('AccountUpn')}, CASE WHEN json_valid(InitiatedBy) THEN {_text("json_extract_string(InitiatedBy, '$.user.userPrincipalName')")} END) AS who FROM cloud_records)
+SELECT record_id, CASE WHEN t IS NOT NULL THEN 0 END AS event_id, CASE WHEN t = 'm365d' THEN 'm365d/' || coalesce(action, '') ELSE t END AS channel,
+  CASE WHEN t = 'm365d' THEN coalesce(device, 'Microsoft 365 Defender') WHEN t IN ('auditlogs', 'signinlogs', 'aadnoninteractiveusersigninlogs') THEN 'Entra ID' WHEN t = 'aaduserriskevents' THEN 'Entra ID Protection' WHEN t = 'azureactivity' THEN 'Azure Resource Manager'
+       WHEN t = 'securityalert' THEN 'Security alerts' WHEN t = 'officeactivity' THEN coalesce(workload, 'Microsoft 365') || ' Online' END AS computer,
+  CASE WHEN t = 'm365d' THEN 'm365d' WHEN t IN ('officeactivity', 'securityalert') THEN 'm365' WHEN t IS NOT NULL THEN 'azure' END AS platform, CASE WHEN t IS NOT NULL AND NOT regexp_matches(who, {_MISREAD}) THEN who END AS who,
+  CASE WHEN t IS NOT NULL AND length(ip) - length(replace(ip, ':', '')) = 1 THEN split_part(ip, ':', 1) ELSE ip END AS ip, CASE WHEN t IS NOT NULL AND NOT regexp_matches(said, {_MISREAD}) THEN {_PLAIN.format('said')} END AS message FROM c""")
 def cloud_events(spark: SparkSession, d: str) -> DataFrame:
-    """Cloud audit records in the event shape."""
+    """Cloud audit records in the event shape, those without a usable time too; texts with the marks of a wrong encoding, which SQL can't repair, as null."""
     rows = table(spark, d, "cloud_records").drop("collector", "_ingested")
-    return sources.events_of_json(rows.select(F.to_json(F.struct("*")).alias("value"))).select("TimeCreated", "EventID", "Channel", "Computer", "_platform", "User", "IpAddress", F.col("fields")["properties.message"].alias("message"))
+    out = decode(rows.select("record_id", F.to_json(F.struct("*")).alias("value")), keep=("record_id",))
+    said = F.when(F.col("_platform").isNotNull(), F.coalesce(F.col("fields")["properties.message"], F.lit(None)))
+    raw = table(spark, d, "cloud_records").select(F.col("record_id").alias("_id"), *[F.coalesce(F.array_join(F.array(*names), " "), F.lit("")).rlike("â€|Ã|Â").alias(f"_bad{i}") for i, names in enumerate((["UserPrincipalName", "UserId", "AccountUpn", "InitiatedBy"], ["ActivityDisplayName", "OperationName", "Operation"]))])
+    rows = out.join(raw, F.col("record_id") == F.col("_id"))
+    clean = lambda flag, column: F.when(~F.col(flag), column)
+    return rows.select("record_id", F.col("EventID").alias("event_id"), F.col("Channel").alias("channel"), F.col("Computer").alias("computer"), F.col("_platform").alias("platform"), clean("_bad0", F.when(F.col("_platform").isNotNull(), F.col("User"))).alias("who"), F.col("IpAddress").alias("ip"), clean("_bad1", said).alias("message"))
 
 
-@query()
+@query("SELECT raw_id, true AS is_object FROM raw_records WHERE json_valid(ltrim(payload, chr(65279))) AND json_type(ltrim(payload, chr(65279))) = 'OBJECT'")
 def raw_events(spark: SparkSession, d: str) -> DataFrame:
-    """Raw export lines that are JSON objects, in the event shape."""
-    rows = table(spark, d, "raw_records").select(F.regexp_replace("payload", "^﻿", "").alias("value")).where(F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{"))
-    return sources.events_of_json(rows).select("TimeCreated", "EventID", "Channel", "Computer", "User", "Image", "CommandLine", F.size("fields").alias("n_fields"))
-
-
+    """Raw export lines in the event shape: of each that is a JSON object, that it is one."""
+    rows = table(spark, d, "raw_records").select("raw_id", F.col("payload").alias("value"))
+    return decode(rows, keep=("raw_id",)).where("problem is null or problem <> 'no JSON object'").select("raw_id", F.lit(True).alias("is_object"))

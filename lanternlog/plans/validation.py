@@ -12,6 +12,7 @@ from lanternlog.operators.hits import detections
 from lanternlog.operators.sequences import sequence
 from lanternlog.plans.rulebook import LEVELS, Join, Not, Of, Ref, Rule, RuleError
 from lanternlog.plans.transpile import LANGUAGES, Unsupported, transpile
+from lanternlog.session import Tables
 
 START = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
 #: So far apart that no window of a rule spans two cases.
@@ -98,8 +99,10 @@ def run_cases(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     raw = spark.createDataFrame(rows, "_rid long, case_no int, TimeCreated timestamp, EventID int, v string")
     values = F.from_json("v", "map<string,string>")
     events = raw.select("_rid", "case_no", "TimeCreated", "EventID", *[values[c].alias(c) for c in ("Channel", "Computer", "_platform")], values.alias("fields"))
+    tables = Tables(spark, "cases")
+    events = tables.put(events)
     signatures = [r for r in rules if r.kind == "signature"]
-    found = detections(events.drop("case_no"), signatures)
+    found = tables.put(detections(events.drop("case_no"), signatures))
     fired = found.select("rule_id", F.explode("event_rids").alias("_rid"))
     for rule in rules:
         if rule.kind == "sequence":

@@ -56,6 +56,37 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(context.defaultParallelism) if 0 < files < context.defaultParallelism else df
 
 
+def _at(spark: SparkSession, path: str):
+    """(the path, its file system)."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of any file system Spark reads; None if it isn't there."""
+    at, system = _at(spark, path)
+    if not system.exists(at):
+        return None
+    stream = system.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """The file as a whole or not at all: written beside it, then renamed over it."""
+    at, system = _at(spark, path)
+    beside, _ = _at(spark, f"{path}.{uuid.uuid4().hex[:8]}")
+    stream = system.create(beside, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    system.delete(at, False)
+    system.rename(beside, at)
+
+
 class Tables:
     """Intermediate tables of one run, written once to the shared folder and read from there.
 
@@ -63,14 +94,16 @@ class Tables:
     plan once and survives the loss of any executor.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
+        """root: a folder of the caller's, whose tables outlive this driver."""
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/lanternlog-{name}-{uuid.uuid4().hex}"
+        self.root = root or f"{shared_dir(spark)}/lanternlog-{name}-{uuid.uuid4().hex}"
         self.count = 0
-        atexit.register(self.drop_all)
+        if root is None:
+            atexit.register(self.drop_all)
 
     def put(self, df: DataFrame, *partition_by: str) -> DataFrame:
-        path = f"{self.root}/{self.count}"
+        path = f"{self.root}/{self.count}-{uuid.uuid4().hex[:8]}"
         self.count += 1
         writer = df.write.mode("overwrite")
         if partition_by:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import glob
-import os
+import functools
+import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lanternlog.sources.normalize import PROMOTED, events_of_json, events_of_xml
+from lanternlog.session import Tables
+from lanternlog.sources.normalize import PROMOTED, decode, silver_schema, xml_record
 
 SUFFIXES = [".json", ".ndjson", ".jsonl", ".xml", ".evtx"]
 
@@ -16,86 +17,131 @@ class NoEventsError(ValueError):
     """Nothing to analyse; raised rather than returning an empty result."""
 
 
-def files_of(paths: list[str], suffixes: list[str] = SUFFIXES) -> list[str]:
-    """Files under the paths, in sorted order; NoEventsError for a missing path or no file."""
-    out: list[str] = []
-    for path in paths:
-        if os.path.isfile(path):
-            out.append(path)
-        elif os.path.isdir(path):
-            out += sorted(f for f in glob.glob(f"{path}/**/*", recursive=True) if os.path.isfile(f) and f.lower().endswith(tuple(suffixes)))
-        else:
-            raise NoEventsError(f"no such path: {path}")
+def _status(spark: SparkSession, path: str):
+    """(the path as its file system names it, whether it is a folder); NoEventsError if it isn't there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        raise NoEventsError(f"no such path: {path}")
+    found = system.getFileStatus(at)
+    return found.getPath().toString(), found.isDirectory()
+
+
+def files_of(spark: SparkSession, paths: list[str], suffixes: list[str] = SUFFIXES) -> list[str]:
+    """Files under the paths, of any file system that Spark reads, in sorted order; NoEventsError for a missing path or no file."""
+    known = [_status(spark, p) for p in paths]
+    folders = [p for p, is_folder in known if is_folder]
+    out = {p for p, is_folder in known if not is_folder}
+    if folders:
+        # the listing is Spark's own; no file is opened
+        out |= {f for f in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders).inputFiles() if f.lower().endswith(tuple(suffixes))}
     if not out:
         raise NoEventsError(f"no event files in {', '.join(paths)}")
-    return out
+    return sorted(out)
+
+
+def array_files(spark: SparkSession, files: list[str]) -> set[str]:
+    """Those of the files that hold one JSON array: their first sign that is no blank is `[`. A pass over them in the JVM; only names come back, as many as a listing has."""
+    rows = spark.read.text(files).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"^\ufeff?\s+|^\ufeff", "").alias("text")).where("text <> ''")
+    return {r.file for r in rows.groupBy("file").agg(F.min_by(F.substring("text", 1, 1), "at").alias("sign")).where("sign = '['").select("file").collect()}
 
 
 def json_lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    """One record a row, of files of one object a line or of one array; a byte order mark is dropped. Line files stay splittable."""
-    arrays, lines = [], []
-    for file in files:
-        with open(file, "rb") as f:
-            head = f.read(4096).removeprefix(b"\xef\xbb\xbf").lstrip()
-        (arrays if head[:1] == b"[" else lines).append(file)
+    """file, value: one record a row, of files of one object a line or of one array. Line files stay splittable; `.json` files are looked into first, others hold lines by their name."""
+    doubtful = [f for f in files if not f.lower().endswith((".ndjson", ".jsonl"))]
+    arrays = array_files(spark, doubtful) if doubtful else set()
+    # a name as the file system writes it, which a path given as a file may differ from
+    whole = sorted(arrays)
+    lines = [f for f in files if f not in arrays]
     parts = []
     if lines:
-        text = spark.read.text(lines)
-        parts.append(text.select(F.regexp_replace("value", "^﻿", "").alias("value")).where(F.trim("value") != ""))
-    if arrays:
-        whole = spark.read.text(arrays, wholetext=True).select(F.regexp_replace("value", r"^﻿?\s*", "").alias("value"))
-        parts.append(whole.select(F.explode(F.expr("from_json(value, 'array<string>')")).alias("value")))
-    return parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
-
-
-def load(spark: SparkSession, paths: list[str], promoted: list[str] = PROMOTED) -> DataFrame:
-    """Events of all files with `_rid`, unordered (order is (TimeCreated, _rid)); events without a time are dropped."""
-    files = files_of(paths)
-    by = {kind: [f for f in files if f.lower().endswith(kind)] for kind in (".xml", ".evtx")}
-    plain = [f for f in files if f not in by[".xml"] and f not in by[".evtx"]]
+        parts.append(spark.read.text(lines).select(F.input_file_name().alias("file"), "value"))
+    if whole:
+        text = spark.read.text(whole, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"^\ufeff?\s*", "").alias("value"))
+        items = F.try_parse_json("value").cast("array<variant>")
+        # an array that can't be parsed stays one record, which then is no object
+        parts.append(text.select("file", F.explode(F.coalesce(F.transform(items, lambda v: F.to_json(v)), F.array("value"))).alias("value")))
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
+def records(spark: SparkSession, files: list[str]) -> DataFrame:
+    """file, value: the records of all files as JSON text."""
+    of = lambda *kinds: [f for f in files if f.lower().endswith(kinds)]
+    xml, logs = of(".xml"), of(".evtx")
+    plain = [f for f in files if f not in {*xml, *logs}]
     parts = []
     if plain:
-        parts.append(events_of_json(json_lines(spark, plain), "value", promoted))
-    if by[".xml"]:
-        parts.append(events_of_xml(spark.read.text(by[".xml"], wholetext=True), promoted))
-    if by[".evtx"]:
-        parts.append(load_evtx(spark, by[".evtx"], promoted))
-    events = parts[0]
-    for part in parts[1:]:
-        events = events.unionByName(part)
-    if events.isEmpty():
+        parts.append(json_lines(spark, plain))
+    if xml:
+        parts.append(_of_file(spark.read.text(xml, wholetext=True).select(F.input_file_name().alias("file"), "value")))
+    if logs:
+        parts.append(_of_file(evtx_records(spark, logs)))
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
+def _of_file(documents: DataFrame) -> DataFrame:
+    """file, value: the events of XML documents as JSON, each with its file."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [(f, json.dumps(r, ensure_ascii=False)) for f, t in zip(batch["file"].to_pylist(), batch["value"].to_pylist()) if t and (r := xml_record(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], ["file", "value"])
+
+    events = F.regexp_extract_all("value", F.lit(r"(?s)(<Event[ >].*?</Event>)"), 1)
+    refused = F.col("value").rlike("(?i)<!(DOCTYPE|ENTITY)")
+    apart = F.explode(F.when((F.size(events) > 0) & ~refused, events).otherwise(F.array("value")))
+    return documents.withColumn("value", F.regexp_replace("value", "^\ufeff", "")).select("file", apart.alias("value")).mapInArrow(run, "file string, value string")
+
+
+def load(spark: SparkSession, paths: list[str], promoted: list[str] = PROMOTED, by_file: bool = False) -> DataFrame:
+    """Events of all files with `_rid`, written once, so that `_rid` stays the same; the order is (TimeCreated, _rid).
+
+    Records without a time or with an event id that is no number are left out
+    (`normalize.quarantine` has them). A line that is no JSON object raises
+    NoEventsError, as does a load without events. by_file: with `file`, and
+    files with a broken line as an event without a time each, for callers that
+    judge files one by one.
+    """
+    found = decode(records(spark, files_of(spark, paths)), "value", promoted, ("file",))
+    broken = F.col("problem") == "no JSON object"
+    kept = found.where(F.col("problem").isNull() | broken)
+    rows, seen = Tables(spark, "events").put_seen(kept.withColumn("_rid", F.monotonically_increasing_id()), n=F.count_if(F.col("problem").isNull()), bad=F.count_if(broken), where=F.min(F.when(broken, F.col("file"))))
+    if by_file:
+        return rows
+    if seen["bad"]:
+        raise NoEventsError(f"{seen['bad']} lines are no JSON object, the first file with one is {seen['where']}")
+    if not seen["n"]:
         raise NoEventsError("the files hold no event with a time")
-    return events.withColumn("_rid", F.monotonically_increasing_id())
+    return rows.select("_rid", *silver_schema(promoted))
 
 
-def load_evtx(spark: SparkSession, files: list[str], promoted: list[str] = PROMOTED) -> DataFrame:
-    """Binary event logs, if the optional reader is installed; a task a file, corrupt records are skipped."""
+def evtx_records(spark: SparkSession, files: list[str]) -> DataFrame:
+    """file, value: the records of binary event logs as XML, if the optional reader is installed; a task a file, decoded in memory, corrupt records are skipped."""
     try:
         import Evtx.Evtx  # noqa: F401
     except ImportError as e:
         raise NoEventsError("binary event logs need the optional package python-evtx") from e
 
     def read(batches):
-        import tempfile
-
         import pyarrow as pa
-        from Evtx.Evtx import Evtx
+        from Evtx.Evtx import FileHeader
+
+        def texts(content: bytes):
+            for chunk in FileHeader(content, 0).chunks():
+                for record in chunk.records():
+                    try:
+                        yield record.xml()
+                    except Exception:  # noqa: BLE001 - a corrupt record
+                        continue
 
         for batch in batches:
-            for content in batch["content"].to_pylist():
-                with tempfile.NamedTemporaryFile(suffix=".evtx") as file:
-                    file.write(content)
-                    file.flush()
-                    out = []
-                    with Evtx(file.name) as log:
-                        for record in log.records():
-                            try:
-                                out.append(record.xml())
-                            except Exception:  # noqa: BLE001 - a corrupt record
-                                continue
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
-
-    return events_of_xml(spark.read.format("binaryFile").load(files).select("content").mapInArrow(read, "value string"), promoted)
+            for file, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                found = list(texts(content))
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.string()), pa.array(found, pa.string())], ["file", "value"])
+
+    return spark.read.format("binaryFile").load(files).select("path", "content").mapInArrow(read, "file string, value string")
 
 
 def write_lake(events: DataFrame, path: str, mode: str = "overwrite") -> None:

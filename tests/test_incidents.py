@@ -87,10 +87,18 @@ def test_suppression(spark, tmp_path):
     suppression.add(path, "R", {"Image": "*\\ok.exe"}, "by title", allow_critical=True)
     sups = suppression.load(path)
     assert [s.id for s in sups] == ["s-001", "s-002", "s-003"] and sups[1].problems and sups[0].active()
+    (tmp_path / "own.yml").write_text("# kept\nsuppressions:\n  - {id: s-007, rule: r, reason: x}\n")
+    suppression.add(tmp_path / "own.yml", "q", {}, "y")
+    assert [s.id for s in suppression.load(tmp_path / "own.yml")] == ["s-007", "s-008"] and (tmp_path / "own.yml").read_text().startswith("# kept")
+    (tmp_path / "odd.yml").write_text("suppressions: []\nother: [1]\n")
+    with pytest.raises(ValueError):
+        suppression.add(tmp_path / "odd.yml", "q", {}, "y")
     events = spark.createDataFrame([(1, "c:\\ok.exe"), (2, "C:\\OK.exe"), (3, "c:\\ok.exe"), (4, None)], "_rid long, Image string")
     rows = [det(1, host="h1"), det(2, host="x"), (*det(3, host="x", level="critical"),), det(4, host="x"), det(5, host="h1", level="critical"), det(6, host=None)]
     got = {r.det_id: r.suppressed_by for r in suppression.apply(frame(spark, rows), sups, events).collect()}
     assert got == {1: "s-001", 2: "s-003", 3: "s-003", 4: None, 5: None, 6: None}
+    states = {r.id: (r.state, r.n_hidden) for r in suppression.report(sups, suppression.apply(frame(spark, rows), sups)).collect()}
+    assert states == {"s-001": ("active", 1), "s-002": ("ignored", 0), "s-003": ("stale", 0)}
     expired = [suppression.Suppression("e", "r", {}, "x", expires="2020-01-01")]
     assert suppression.apply(frame(spark, rows), expired).where("suppressed_by is not null").count() == 0
 
@@ -112,23 +120,40 @@ def test_lineage_ends_in_cycles_and_at_depth(spark):
     index = processes.process_index(events)
     got = processes.ancestors(index, spark.createDataFrame([("p39",), ("c1",), ("none",)], "guid string")).collect()
     assert len([r for r in got if r.guid == "p39"]) == 15 and {r.ancestor for r in got if r.guid == "c1"} == {"c1", "c2"}
+    marks = spark.createDataFrame([("p20", "low one", "medium"), ("p22", "bad", "critical"), ("p9", "x", "high"), ("gone", "y", "high")], "guid string, title string, level string")
+    tree = processes.process_tree(index, marks, 18).collect()
+    guids = [r.guid for r in tree]
+    assert len(guids) == 18 and guids[-1] not in ("p22", "p20") and {"p22", "p21"} <= set(guids) and next(r for r in tree if r.guid == "p22").alerts == ["bad"]
+    assert all(r.parent in guids[:i] or r.parent not in {x.guid for x in tree} for i, r in enumerate(tree)) and processes.process_tree(index, marks, None).count() > 18
     flagged = processes.flagged_processes(frame(spark, [det(1, rule="x"), det(2, rule="x", level="high"), det(3, level="low")]).withColumn("event_rids", F.array(F.lit(5).cast("long"))), events, index).collect()
     assert [(r.guid, r.level) for r in flagged] == [("p5", "high")] or {r.title for r in flagged} == {"X"}
 
 
-def viability(rule, **seen):
-    return coverage.assess(rule, coverage.Profile(**seen))
-
-
-def test_coverage():
-    rule = rule_of({"id": "x", "tags": ["attack.t1001"], "detection": {"s": {"EventID": 4688, "CommandLine": "a"}, "condition": "s"}, "logsource": {"service": "security"}})
-    assert viability(rule, channels={"system": 1}).status == "DEAD_EVENTS"
-    assert viability(rule, channels={"security": 5}).status == "UNOBSERVED"
-    dead = viability(rule, channels={"security": 5}, event_ids={4688: 5}, fields={4688: {"Image"}})
-    assert dead.status == "DEAD_FIELDS" and dead.missing_fields == {4688: ["CommandLine"]}
-    assert coverage.recommendations([dead])[0][0] == coverage.FIELD_FIXES[4688, "CommandLine"]
-    assert viability(rule, channels={"security": 5}, event_ids={4688: 5}, fields={4688: {"CommandLine"}}).status == "LIVE"
-    assert coverage.coverage([dead])["Unmapped"]["blind"] == {"T1001"}
+def viability(spark, doc, channels=(), events=(), fields=()):
+    channels = spark.createDataFrame([(c, 5) for c in channels], "channel string, n_events long")
+    events = spark.createDataFrame([(e, 5) for e in events], "EventID int, n_events long")
+    seen = coverage.Profile(events, channels, spark.createDataFrame([(e, f, 1) for e, f in fields], "EventID int, field string, n_filled long"), 5)
+    return coverage.viability(spark, [rule_of({"id": "x", "tags": ["attack.t1001"], **doc})], seen)
+
+
+def test_coverage(spark):
+    doc = {"detection": {"s": {"EventID": 4688, "CommandLine": "a"}, "condition": "s"}, "logsource": {"service": "security"}}
+    status = lambda *a, **k: viability(spark, *a, **k).first().status
+    assert status(doc, ["system"]) == "DEAD_EVENTS" and status(doc, ["security"]) == "UNOBSERVED"
+    dead = viability(spark, doc, ["security"], [4688], [(4688, "Image")])
+    row = dead.first()
+    assert row.status == "DEAD_FIELDS" and [tuple(m) for m in row.missing_fields] == [(4688, ["CommandLine"])] and "CommandLine" in row.reason
+    assert coverage.recommendations(dead).first().action == coverage.FIELD_FIXES[4688, "CommandLine"]
+    assert status(doc, ["security"], [4688], [(4688, "commandline")]) == "LIVE"
+    assert coverage.coverage_sets(dead).collect() == [("Unmapped", "T1001", "blind")]
+    loose = {"detection": {"s": {"CommandLine": "a"}, "condition": "s"}}
+    assert status(loose, ["security"], [1], [(1, "Image")]) == "DEAD_FIELDS" and status(loose, ["security"], [1], [(9, "CommandLine")]) == "LIVE"
+    two = {"detection": {"s": {"EventID": [1, 4688], "CommandLine": "a"}, "condition": "s"}}
+    assert status(two, ["security"], [1, 4688], [(1, "CommandLine")]) == "LIVE" and status(two, ["security"], [4688], [(1, "CommandLine")]) == "DEAD_FIELDS"
+    odd = {"detection": {"s": {"EventID": 1}, "condition": "s"}, "logsource": {"service": "my-own"}}
+    assert status(odd, ["My Own/Channel"], [1]) == "LIVE" and status(odd, ["other"], [1]) == "DEAD_EVENTS" and status(odd, [], [1]) == "LIVE"
+    assert [tuple(r) for r in coverage.recommendations(viability(spark, odd, ["other"])).collect()] == [(1, "Collect the channel of service my-own", ["x"], ["T1001"])]
+    assert [(r.tactic, r.techniques) for r in coverage.rule_coverage(spark, [rule_of({"id": "x", "tags": ["attack.t1001", "attack.initial_access"], **odd}), rule_of({"id": "y", "tags": ["attack.t1002"], **odd})]).orderBy("tactic").collect()] == [("Initial Access", ["T1001"]), ("Unmapped", ["T1002"])]
 
 
 def test_log_health(spark):
@@ -141,7 +166,9 @@ def test_log_health(spark):
 
 def test_rule_health(spark):
     found = frame(spark, [det(i, rule="loud", host=f"h{i}.x") for i in range(5)])
-    live = spark.createDataFrame([("loud", "medium", "LIVE"), ("dead", "high", "DEAD_FIELDS"), ("quiet", "low", "LIVE"), ("proven", "low", "LIVE")], "rule_id string, level string, status string")
+    live = spark.createDataFrame([("loud", "medium", "LIVE", ""), ("dead", "high", "DEAD_FIELDS", "why"), ("quiet", "low", "LIVE", ""), ("proven", "low", "LIVE", "")], "rule_id string, level string, status string, reason string")
     bench = spark.createDataFrame([("proven", 2)], "rule_id string, bench_hits long")
     got = {r.rule_id: r.verdict for r in coverage.rule_health(found, live, 100, bench).collect()}
     assert got == {"loud": "TUNE", "dead": "DEAD", "quiet": "UNPROVEN", "proven": "TRUST"}
+    whys = {r.rule_id: (r.tested, r.why) for r in coverage.rule_health(found, live, 100).collect()}
+    assert whys["dead"] == (False, "why") and whys["proven"] == (False, "no recordings were run")

@@ -5,47 +5,76 @@ import hashlib
 import http.server
 import json
 import random
+import re
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 
-from lanternlog.plans import benchmark, documents, grounding, pipeline
+from lanternlog.operators import hits, processes
+from lanternlog.operators import incidents as I
+from lanternlog.plans import benchmark, documents, grounding, pipeline, push, reports
+from lanternlog.plans.rulebook import rule_of
 from lanternlog.plans.rules import pack
 from lanternlog.session import Tables
 from lanternlog.sources import events as sources
-from lanternlog.sources.normalize import PROMOTED, cloud_event, normalize, xml_event
+from lanternlog.sources import normalize
 from lanternlog.streaming import channels, live
 
 T0 = dt.datetime(2025, 6, 1, tzinfo=dt.timezone.utc)
 
 
-def test_normalize_shapes():
-    flat = normalize({"EventID": "4688", "TimeCreated": "2025-01-01T00:00:00.1234567Z", "NewProcessName": " C:\\x.exe ", "GrantedAccess": "0x00001010", "IpAddress": "::ffff:1.2.3.4", "Provider": "p", "A": "-"})
-    assert flat["Image"] == "C:\\x.exe" and flat["GrantedAccess"] == "0x1010" and flat["IpAddress"] == "1.2.3.4" and flat["Provider_Name"] == "p" and flat["TimeCreated"].microsecond == 123456
-    ecs = normalize({"@timestamp": "2025-01-01T00:00:00Z", "event": {"code": 10}, "winlog": {"channel": "c", "event_data": {"X": 1}}, "host": {"name": "h"}})
-    assert (ecs["EventID"], ecs["Channel"], ecs["X"], ecs["Computer"]) == (10, "c", 1, "h")
-    assert normalize({"EventID": 1}) is None and normalize({"EventID": "x", "TimeCreated": "2025-01-01"}) is None
-    assert normalize({"TimeCreated": "2025-01-01", "User": "RenÃ©"})["User"] == "René" and normalize({"TimeCreated": "2025-01-01", "User": "Ñandú"})["User"] == "Ñandú"
-
-
-def test_normalize_cloud():
-    raw = {"Type": "AuditLogs", "TimeGenerated": "2025-01-01T00:00:00Z", "OperationName": "Update application – secrets  ", "InitiatedBy": '{"user": {"userPrincipalName": "u@x"}}', "IPAddress": "1.2.3.4:55", "TargetResources": '[{"type": "App", "modified": [{"key": "k", "value": "v"}]}]', "Result": "success"}
-    event = normalize(raw)
-    assert event["_platform"] == "azure" and event["Computer"] == "Entra ID" and event["User"] == "u@x" and event["IpAddress"] == "1.2.3.4"
-    assert event["properties.message"] == "Update application - secrets" and event["targetResources.type"] == "App" and event["TargetResources.0.modified.k"] == "v" and event["EventID"] == 0
-    hunting = normalize({"Timestamp": "2025-01-01T00:00:00Z", "ActionType": "LdapSearch", "AccountUpn": "a@b", "AdditionalFields_string": '{"DistinguishedName": "CN=x"}'})
-    assert hunting["Channel"] == "m365d/ldapsearch" and hunting["AdditionalFields_string.DistinguishedName"] == "CN=x"
-    assert cloud_event({"Type": "x", "a": None}, "officeactivity")["Computer"] == "Microsoft 365 Online"
+def decoded(spark, *records):
+    lines = spark.createDataFrame([(i, r if isinstance(r, str) or r is None else json.dumps(r)) for i, r in enumerate(records)], "i int, value string")
+    return {r.i: r for r in normalize.decode(lines, keep=("i",)).collect()}
+
+
+def test_normalize_shapes(spark):
+    got = decoded(
+        spark, {"EventID": "4688", "TimeCreated": "2025-01-01T00:00:00.1234567Z", "NewProcessName": " C:\\x.exe ", "GrantedAccess": "0x00001010", "IpAddress": "::ffff:1.2.3.4", "Provider": "p", "A": "-"},
+        {"@timestamp": "2025-01-01T00:00:00Z", "event": {"code": 10}, "winlog": {"channel": "c", "event_data": {"X": 1}}, "host": {"name": "h"}}, {"EventID": 1}, {"EventID": "x", "TimeCreated": "2025-01-01"},
+        {"TimeCreated": "2025-01-01", "User": "RenÃ©", "Empty": ""}, {"TimeCreated": "31.12.2024 10:00:00", "User": "Ñandú", "List": [1, {"a": None}]}, "bad", "[1]", "", None, "{}", '\ufeff{"TimeCreated": "2025-01-01", "a": {"b": {"c": true}}}')
+    flat, ecs = got[0], got[1]
+    assert flat.Image == "C:\\x.exe" and flat.GrantedAccess == "0x1010" and flat.IpAddress == "1.2.3.4" and flat.Provider_Name == "p" and flat.TimeCreated.microsecond == 123456
+    assert (ecs.EventID, ecs.Channel, ecs.fields["x"], ecs.Computer) == (10, "c", "1", "h")
+    assert [got[i].problem for i in (2, 3, 6, 7, 10)] == ["no time", "event id is no number", "no JSON object", "no JSON object", "no time"] and 8 not in got and 9 not in got
+    assert got[4].User == "René" and "empty" not in got[4].fields and got[5].User == "Ñandú" and got[5].TimeCreated.year == 2024 and json.loads(got[5].fields["list"]) == [1, {"a": None}]
+    assert got[11].fields == {"a.b.c": "true"} and got[11].problem is None
+    assert normalize.quarantine(spark.createDataFrame([("bad",), ("{}",)], "value string")).count() == 2
+
+
+def test_normalize_cloud(spark):
+    audit = {"Type": "AuditLogs", "TimeGenerated": "2025-01-01T00:00:00Z", "OperationName": "Update application – secrets  ", "InitiatedBy": '{"user": {"userPrincipalName": "u@x"}}', "IPAddress": "1.2.3.4:55", "TargetResources": '[{"type": "App", "modified": [{"key": "k", "value": "v"}]}]', "Result": "success"}
+    hunting = {"Timestamp": "2025-01-01T00:00:00Z", "ActionType": "LdapSearch", "AccountUpn": "a@b", "AdditionalFields_string": '{"DistinguishedName": "CN=x"}'}
+    long = {"Type": "officeactivity", "CreationTime": "2025-01-01", "Parameters": json.dumps({"p": "x" * 9000})}
+    got = decoded(spark, audit, hunting, long)
+    event = got[0]
+    assert event._platform == "azure" and event.Computer == "Entra ID" and event.User == "u@x" and event.IpAddress == "1.2.3.4" and event.EventID == 0
+    assert event.fields["properties.message"] == "Update application - secrets" and event.fields["targetresources.type"] == "App" and event.fields["targetresources.0.modified.k"] == "v"
+    assert got[1].Channel == "m365d/ldapsearch" and got[1].fields["additionalfields_string.distinguishedname"] == "CN=x"
+    assert got[2].Computer == "Microsoft 365 Online" and len(got[2].fields["parameters.p"]) == 9000
+
+
+def test_one_name_in_any_case(spark):
+    """Two spellings, in one partition or in two, are one field to a rule."""
+    lines = spark.createDataFrame([('{"TimeCreated": "2025-01-01", "SourceIp": "1.1.1.1"}',), ('{"TimeCreated": "2025-01-01", "sourceip": "1.1.1.1"}',)], "value string")
+    rule = rule_of({"id": "q", "detection": {"s": {"SourceIP": "1.1.1.1"}, "condition": "s"}})
+    for parts in (1, 2):
+        events = normalize.events_of_json(lines.repartition(parts)).withColumn("_rid", F.monotonically_increasing_id())
+        assert hits.rule_hits(events, [rule]).count() == 2 and {k for r in events.collect() for k in r.fields} == {"sourceip"}
+    mixed = spark.sql("select * from values (1L, map('Opcode', 'a', 'opcode', 'b')), (2L, map('OPCODE', 'a')), (3L, null) t(_rid, fields)").withColumns({"EventID": F.lit(1), "TimeCreated": F.current_timestamp()})
+    assert {r._rid for r in hits.rule_hits(mixed, [rule_of({"id": "q", "detection": {"s": {"opCode": "a"}, "condition": "s"}})]).collect()} == {1, 2}
 
 
 XML = '<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><Provider Name="P"/><EventID>1</EventID><TimeCreated SystemTime="2025-01-01T00:00:00.1Z"/><EventRecordID>77</EventRecordID><Channel>C</Channel><Computer>h</Computer></System><EventData><Data Name="Image">x</Data><Data>one</Data><Data>two</Data></EventData></Event>'
 
 
 def test_xml():
-    raw = xml_event(XML)
-    assert raw["Image"] == "x" and raw["Data1"] == "one" and raw["Data"] == "one two" and raw["EventRecordID"] == 77
-    assert xml_event("<broken") is None and xml_event("<!DOCTYPE a><Event/>") is None
+    raw = normalize.xml_record(XML)
+    assert raw["Image"] == "x" and raw["Data1"] == "one" and raw["Data"] == "one two" and raw["EventRecordID"] == "77" and raw["Provider"] == "P"
+    assert normalize.xml_record("<broken") is None and normalize.xml_record(" " * 5000 + "<!DOCTYPE a><Event/>") is None
+    user = normalize.xml_record('<Event><System><EventID>5</EventID></System><UserData><X><EventID>9</EventID><Why>w</Why></X></UserData></Event>')
+    assert user == {"EventID": "5", "Why": "w"}
 
 
 def test_files(spark, tmp_path):
@@ -53,7 +82,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.ndjson").write_text('{"EventID": 3, "TimeCreated": "2025-01-02", "L": [1, true], "Img": 1}\n\n', encoding="utf-8")
     (tmp_path / "c.xml").write_text(XML)
     got = {r.EventID: r for r in sources.load(spark, [str(tmp_path)]).collect()}
-    assert len(got) == 2 and got[3].fields == {"L": "[1, true]", "Img": "1"}
+    assert len(got) == 2 and got[3].fields == {"l": "[1,true]", "img": "1"}
     rids = [r._rid for r in sources.load(spark, [str(tmp_path)]).collect()]
     assert len(set(rids)) == len(rids) == 3
     for bad in (["/none"], [str(tmp_path / "empty")]):
@@ -63,6 +92,9 @@ def test_files(spark, tmp_path):
     lake = str(tmp_path / "lake")
     sources.write_lake(sources.load(spark, [str(tmp_path / "b.ndjson")]), lake)
     assert sources.of_event_ids(sources.read_lake(spark, lake), [3]).count() == 1 and sources.of_event_ids(sources.read_lake(spark, lake), []).count() == 0
+    (tmp_path / "broken.json").write_text('{"EventID": 1, "TimeCreated": "2025-01-01"}\n{"EventID"')
+    with pytest.raises(sources.NoEventsError, match="no JSON object"):
+        sources.load(spark, [str(tmp_path / "broken.json")])
     pins = {str(tmp_path / "c.xml"): hashlib.sha256(XML.encode()).hexdigest(), str(tmp_path / "b.ndjson"): "0"}
     assert {r.ok for r in sources.verify_sha256(spark, pins).collect()} == {True, False}
 
@@ -137,50 +169,95 @@ def test_tumbling_counts(spark, office, tmp_path):
     assert spark.table("bins").agg(F.sum("n")).first()[0] == office.count()
 
 
+def test_a_new_driver_goes_on_from_the_last_batch(spark, office, tmp_path):
+    """The same batches, the engine made anew before each, and each batch delivered twice."""
+    whole = live.Engine(spark, pack())
+    batches = list(live.replay_steps(office, dt.timedelta(minutes=110)))
+    want = [whole.ingest(b) for b in batches]
+    folder = f"file://{tmp_path}/engine"
+    for number, (batch, lines) in enumerate(zip(batches, want)):
+        engine = live.Engine(spark, pack(), folder=folder)
+        assert sorted(engine.ingest(batch, number)) == sorted(lines)
+        again = live.Engine(spark, pack(), folder=folder)
+        assert sorted(again.ingest(batch, number)) == sorted(lines) and again.counters == engine.counters
+        assert again.ingest(batch, number - 1) == []
+    assert again.counters == whole.counters
+
+
 def test_channel_reader():
-    reader = channels.ChannelReader({"channels": "Security, Broken"})
+    logs = {"Security": [XML.replace(">77<", f">{i}<") for i in range(70, 80)], "System": [XML.replace(">77<", f">{i}<") for i in range(1, 4)], "Empty": []}
 
-    def fake(channel, after, backfill):
+    def fake(channel, where, most, newest_first=False):
         if channel == "Broken":
             raise OSError("no access")
-        return [x for x in (XML, XML.replace(">77<", ">78<")) if channels.record_id(x) > after]
-
-    reader.read_channel = fake
-    rows, end = reader.read(reader.initialOffset())
-    assert len(list(rows)) == 2 and end["Security"] == 78 and set(reader.broken) == {"Broken"}
-    rows, again = reader.read(end)
-    assert list(rows) == [] and again == end
+        ids = [int(x) for x in re.findall(r"EventRecordID [<>]=? (-?\d+)", where)]
+        found = logs[channel][-3:] if "timediff" in where else [x for x in logs[channel] if channels.record_id(x) > ids[0] and (len(ids) < 2 or channels.record_id(x) <= ids[1])] if "> " in where else logs[channel]
+        return (found[::-1] if newest_first else found)[:most]
+
+    def reader(**options):
+        out = channels.ChannelReader({"channels": "Security, System, Broken, Empty", **options})
+        out.ask = fake
+        return out
+
+    live_ = reader()
+    start = live_.initialOffset()
+    assert start == {"Security": 79, "System": 3, "Broken": -1, "Empty": -1} and set(live_.broken) == {"Broken"}
+    assert list(live_.read(start)[0]) == []
+    logs["Security"].append(XML.replace(">77<", ">80<"))
+    rows, end = live_.read(start)
+    assert [channels.record_id(r[0]) for r in rows] == [80] and end["Security"] == 80
+    assert reader(backfill_minutes="5").initialOffset()["Security"] == 77
+    between = list(reader().readBetweenOffsets({"Security": 75, "System": 1}, {"Security": 77, "System": 2}))
+    assert sorted(channels.record_id(r[0]) for r in between) == [2, 76, 77]  # each channel to its own end
 
 
 @pytest.fixture(scope="module")
-def top(result):
-    return pipeline.top_incidents(result.members, result.incidents)
-
-
-def test_documents(top):
-    incident = top[0]
-    assert documents.reference(incident) == documents.reference(json.loads(json.dumps(incident, default=str)) | {"start": incident["start"]})
-    assert {"type": "ip", "value": "10.66.6.6", "tags": ["source"]} in documents.observables(incident)
-    hive, misp, bundle = documents.thehive_alert(incident), documents.misp_event(incident)["Event"], documents.stix_bundle(top)
-    assert hive["severity"] == 4 and hive["procedures"] and misp["threat_level_id"] == "1" and misp["uuid"] == documents.misp_event(incident)["Event"]["uuid"]
-    ids = [o["id"] for o in bundle["objects"]]
-    assert len(ids) == len(set(ids)) and ids == [o["id"] for o in documents.stix_bundle(top)["objects"]]
-    assert set(documents.incident_json(incident, 1)) >= {"incident", "severity", "phases", "entities", "detections"}
-    assert documents.navigator_layer({"T1": 2})["gradient"]["maxValue"] == 2 and documents.coverage_layer(pack())["techniques"]
-    page = documents.html_page(top)
-    assert "<svg" in page and "10.66.6.6" in page and "| First seen |" in documents.markdown(top)
-    pages = documents.entity_pages([{"kind": "host", "norm": "a b", "n_detections": 1, "n_incidents": 1, "risk": 5, "first_at": T0, "last_at": T0}, {"kind": "actor", "norm": "x", "n_detections": 1, "n_incidents": 1, "risk": 9, "first_at": T0, "last_at": T0}], {("host", "a b"): [("actor", "x", 3)]})
-    links = {part.split("'")[0] for body in pages.values() for part in body.split("href='")[1:]}
-    assert links <= set(pages)
-
-
-def test_pushes_to_a_stub(top, monkeypatch):
+def head(spark, result):
+    return Tables(spark, "heads").put(documents.heads(result.members))
+
+
+def test_documents(spark, result, head):
+    row = head.first()
+    assert {"kind": "ip", "value": "10.66.6.6", "tag": "source"} in [o.asDict() for o in row.observables] and row.reference == documents.heads(result.members).first().reference
+    hive, misp = (json.loads(f(head).first().body) for f in (documents.thehive_bodies, documents.misp_bodies))
+    assert hive["severity"] == 4 and hive["procedures"] and hive["date"] == int(row.start_ts.replace(tzinfo=dt.timezone.utc).timestamp() * 1000) and misp["Event"]["threat_level_id"] == "1" and len(misp["Event"]["uuid"]) == 36
+    assert {"dataType": "other", "data": "mal", "tags": ["account", "type:account"]} in hive["observables"]
+    objects = {r.id: json.loads(r.body) for r in documents.stix_objects(head, T0).collect()}
+    assert {o["type"] for o in objects.values()} >= {"identity", "attack-pattern", "ipv4-addr", "user-account", "note", "report"} and all(i == o["id"] for i, o in objects.items())
+    report = next(o for o in objects.values() if o["type"] == "report")
+    assert set(report["object_refs"]) <= set(objects)
+    assert set(json.loads(documents.incident_bodies(head).first().body)) >= {"incident", "severity", "phases", "entities"}
+    layer = json.loads(documents.navigator_layer(result.detections).first().body)
+    assert layer["gradient"]["maxValue"] == max(t["score"] for t in layer["techniques"]) and json.loads(documents.coverage_layer(spark, pack()).first().body)["techniques"]
+    assert json.loads(documents.navigator_layer(result.detections.limit(0)).first().body)["techniques"] == []
+    assert documents.heads(result.members.limit(0)).count() == 0
+
+
+def test_reports(spark, office, result, head, tmp_path):
+    shown = reports.shown(result.members, 5)
+    index = processes.process_index(office)
+    tree = processes.process_tree(index, processes.flagged_processes(result.detections, office, index)).collect()
+    edges = {shown[0].incident_id: I.graph_edges(result.members).collect()}
+    page = reports.html_page(shown, {"ll-0002": {"kql": "a < b"}}, edges, tree)
+    assert "<svg" in page and "10.66.6.6" in page and "a &lt; b" in page and "<line" in page and "| First seen |" in reports.markdown(shown)
+    assert reports.write_incidents(tmp_path / "i.json", head, result.members) == 1
+    whole = json.loads((tmp_path / "i.json").read_text())
+    assert len(whole[0]["detections"]) == whole[0]["n_detections"] == result.members.count()
+    assert reports.write_incidents(tmp_path / "none.json", head.limit(0), result.members.limit(0)) == 0 and json.loads((tmp_path / "none.json").read_text()) == []
+    reports.write_bundle(tmp_path / "b.json", documents.stix_objects(head, T0), "x")
+    assert json.loads((tmp_path / "b.json").read_text())["type"] == "bundle"
+    count = reports.write_pages(tmp_path / "pages", documents.entity_pages(result.members))
+    links = {part.split("'")[0] for file in (tmp_path / "pages").iterdir() for part in file.read_text().split("href='")[1:]}
+    assert count > 3 and links <= {f.name for f in (tmp_path / "pages").iterdir()}
+
+
+def test_pushes_to_a_stub(head, monkeypatch):
     seen = []
 
     class Stub(http.server.BaseHTTPRequestHandler):
         def do_POST(self):
-            seen.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
-            code, body = (400, b'{"message": "alert exists"}') if len(seen) == 2 else (201, b'{"_id": "1", "Event": {"id": "9"}}')
+            seen.append((self.path, self.headers["Authorization"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            code, body = (400, b'{"message": "alert exists"}') if len(seen) == 2 else (500, b"no") if len(seen) == 4 else (201, b'{"_id": "1", "Event": {"id": "9"}}')
             self.send_response(code)
             self.end_headers()
             self.wfile.write(body)
@@ -190,21 +267,35 @@ def test_pushes_to_a_stub(top, monkeypatch):
 
     server = http.server.HTTPServer(("127.0.0.1", 0), Stub)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    base, alert = f"http://127.0.0.1:{server.server_port}/", documents.thehive_alert(top[0])
-    assert [x.split()[0] for x in documents.push_thehive(base, [alert, alert], "k")] == ["created", "exists"]
-    assert documents.push_misp(base, [documents.misp_event(top[0])], "k") == ["created 9"]
+    base, alert = f"http://127.0.0.1:{server.server_port}/", documents.thehive_bodies(head).first().body
+    assert [x.split()[0] for x in push.thehive(base, [alert, alert], "k")] == ["created", "exists"] and seen[0][:2] == ("/api/v1/alert", "Bearer k")
+    event = documents.misp_bodies(head).first().body
+    assert list(push.misp(base, [event], "k")) == ["created 9"]
+    with pytest.raises(push.PushError, match="HTTP 500"):
+        list(push.misp(base, [event], "k"))
     server.shutdown()
+    server.server_close()
+    with pytest.raises(push.PushError):
+        list(push.misp(base, [event], "k"))
     monkeypatch.delenv("MISP_API_KEY", raising=False)
-    with pytest.raises(documents.PushError):
-        documents.push_misp(base, [])
-
-
-def test_grounding(top):
-    pack_ = grounding.evidence_pack(top[0])
-    good = {"text": f"{pack_[0].alert} on {pack_[0].host}", "evidence": ["E1"]}
-    bad = [{"text": "No proof", "evidence": []}, {"text": "x", "evidence": ["E99"]}, {"text": "Isolate FS-UNKNOWN-9 and 9.9.9.9, T9999", "evidence": ["E1"]}, {"text": " ", "evidence": []}]
-    claims, gaps = grounding.analyse(top[0], lambda *_: {"executive_summary": [good], "containment": bad, "gaps": "none"})
-    assert grounding.score(claims) == (1, 4) and len(claims[3].problems) == 3 and gaps == "none" and "unverified" in grounding.markdown(claims, gaps)
+    with pytest.raises(push.PushError, match="MISP_API_KEY"):
+        list(push.misp(base, []))
+
+
+def test_grounding(spark, result):
+    groups, entities = I.alert_groups(result.members), I.entities(result.members)
+    found = {r.id: r for r in grounding.evidence(groups).collect()}
+    title, host = found["E1"].line.split(" | ")[4], found["E1"].line.split(" | ")[2].removeprefix("host=")
+    other = next(r for r in found.values() if "10.66.6.6" not in r.words)
+    good = {"text": f"{title} on {host}", "evidence": ["E1"]}
+    bad = [{"text": "No proof", "evidence": []}, {"text": "x", "evidence": ["E99"]}, {"text": "Isolate FS-UNKNOWN-9 and 9.9.9.9, T9999", "evidence": ["E1"]}, {"text": " ", "evidence": []}, {"text": "dc1.corp.local was asked from 10.66.6.6.", "evidence": [other.id]}]
+    verified, gaps = grounding.analyse(groups, entities, lambda *_: {"executive_summary": [good], "containment": bad, "gaps": "none"})
+    rows = verified.orderBy("no").collect()
+    assert grounding.score(verified).first() == (1, 5) and len(rows[3].problems) == 3 and rows[4].problems == ["address 10.66.6.6 isn't in the cited evidence"]
+    assert gaps == "none" and "unverified" in grounding.markdown(rows, gaps) and "cites nothing" in grounding.html_section(rows)
+    names = spark.createDataFrame([("ann lee", "account"), ("srv1", "host")], "name string, what string")
+    claims = grounding.claims_of(spark, {"containment": [{"text": "Ann Lee used srv1.corp.local, not srv10", "evidence": ["E1"]}]})
+    assert grounding.verify(claims, spark.createDataFrame([("E1", "nothing")], "id string, words string"), names).first().problems == ["account ann lee isn't in the cited evidence", "host srv1 isn't in the cited evidence"]
 
 
 def test_benchmark(spark, tmp_path):
@@ -213,20 +304,26 @@ def test_benchmark(spark, tmp_path):
     (folder / "a.json").write_text("\n".join(map(json.dumps, recording())))
     (folder / "b.json").write_text(json.dumps({"EventID": 4624, "TimeCreated": "2025-01-01"}))
     (folder / "c.json").write_text("broken")
-    entries = [{"source": "own", "path": "x/a.json", "expect": ["ll-0003", "ll-9999"]}, {"source": "own", "path": "b.json", "benign": True}, {"source": "own", "path": "c.json"}, {"source": "own", "path": "none.json"}, {"source": "own", "path": "z.json", "campaign": True}]
+    (folder / "zip_a.json").write_text("\n".join(map(json.dumps, recording())))
+    entries = [{"source": "own", "path": "x/a.json", "expect": ["ll-0003", "ll-9999"]}, {"source": "own", "path": "b.json", "benign": True}, {"source": "own", "path": "c.json"}, {"source": "own", "path": "none.json"}, {"source": "own", "path": "zip.zip", "benign": True}, {"source": "own", "path": "a.json", "campaign": "day"}]
     manifest = tmp_path / "manifest.yml"
     manifest.write_text(json.dumps({"samples": entries}))
-    samples = benchmark.run(spark, pack(), manifest)
-    assert [s.status for s in samples] == ["MISS", "clean", "ERROR", "ERROR"] and samples[0].missed == ["ll-9999"]
-    assert benchmark.summary(samples)["attack_samples_detected"] == 1
-    first = benchmark.record(samples, "v/1", 10, {}, now=T0)
-    second = benchmark.record([benchmark.Sample("a.json", fired={"new": 1})], "v2", 10, {}, now=T0 + dt.timedelta(days=1))
-    benchmark.save(first, tmp_path / "h")
-    benchmark.save(second, tmp_path / "h")
-    runs = benchmark.history(tmp_path / "h")
-    lost, new = benchmark.compare(*runs)
-    assert ("a.json", "ll-0003") in lost and new == [("a.json", "new")] and "new: a.json" in benchmark.trend_page(runs)
-    assert PROMOTED
+    judged, fired = benchmark.run(spark, pack(), manifest)
+    judged = Tables(spark, "judged").put(judged)
+    rows = judged.orderBy("place").collect()
+    assert [r.status for r in rows] == ["MISS", "clean", "ERROR", "ERROR", "FALSE POSITIVE"] and rows[0].missed == ["ll-9999"] and rows[0].fired == rows[4].fired and rows[0].events == len(recording())
+    assert "ll-s001" in rows[0].fired and {r.rule_id: r.bench_hits for r in benchmark.evidence(fired).collect()}["ll-0003"] == 2
+    assert benchmark.summary(judged).asDict() == {"attack_samples": 1, "attack_samples_detected": 1, "labelled_expectations": 2, "labelled_hits": 1, "benign_samples": 2, "benign_with_fp": 1, "errors": 2}
+    assert "lacks ll-9999" in benchmark.console(judged) and "| a.json |" in benchmark.markdown(judged)
+    campaigns = benchmark.campaigns(spark, pack(), manifest)
+    assert campaigns["day"]["sequences"] == ["ll-s001"]
+    benchmark.save(judged, tmp_path / "h", "v/1", 10, {}, campaigns, now=T0)
+    benchmark.save(judged.withColumn("alerting", F.when(F.col("place") == 0, F.array(F.lit("new"))).otherwise(F.col("alerting"))), tmp_path / "h", "v2", 10, {}, now=T0 + dt.timedelta(days=1))
+    runs = benchmark.history(spark, tmp_path / "h")
+    dates = [r.generated for r in runs.collect()]
+    changed = {tuple(r) for r in benchmark.compare(runs, *dates).collect()}
+    assert ("regression", "a.json", "ll-0003") in changed and ("new", "a.json", "new") in changed and "new: a.json new" in benchmark.trend_page(runs)
+    assert benchmark.rules_version(tmp_path) == "unknown"
 
 
 def test_sql_functions(spark):

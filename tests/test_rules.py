@@ -214,11 +214,33 @@ def test_starts_with_one_tail_are_one_sequence(spark):
 def test_texts():
     registry = {r.id: r for r in pack()}
     spl = transpile.transpile(registry["ll-0001"], "spl")
-    assert "bin _time span=3600s | stats count by _time, IpAddress | where count>=3" in spl and 'NOT ServiceName="*$"' in spl
+    assert spl.endswith("| bin _time span=3600s | stats count BY _time, IpAddress | where count>=3") and 'NOT ServiceName="*$"' in spl
     kql = transpile.transpile(registry["ll-0002"], "kql")
-    assert kql.startswith('((event.code:"4624" and ') and "not not winlog" in kql
+    assert kql.startswith('event.code:"4624" and ') and "not winlog.event_data.WorkstationName:*" in kql
     eql = transpile.transpile(registry["ll-s001"], "eql", registry)
     assert eql.splitlines()[0] == "sequence with maxspan=14400s" and eql.count(" by winlog.event_data.") == 2
     with pytest.raises(transpile.Unsupported):
         transpile.transpile(registry["ll-s001"], "kql", registry)
-    assert set(transpile.texts(registry["ll-0004"])) == {"kql", "spl", "eql"}
+    assert set(transpile.texts(registry["ll-0004"])) == {"kql", "spl", "eql", "sql"}
+    rule = rule_of({"id": "x", "detection": {"a": {"A|re": "x+", "B|cidr": "10.0.0.0/8"}, "w": ["*one*", "two"], "condition": "a"}, "settings": {"queries": {"spl": " own "}, "risk": 1}})
+    assert transpile.texts(rule) == {"eql": 'any where winlog.event_data.A regex~ "x+" and cidrmatch(winlog.event_data.B, "10.0.0.0/8")', "spl": "own"}
+
+
+def test_a_tree_is_simplified():
+    tree = lambda d: transpile.tree_of(rule_of({"id": "x", "detection": d}))
+    a, b, c = (transpile.Test(n, "equal", "1") for n in "ABC")
+    sels = {"a": {"A": 1}, "b": {"B": 1}, "c": {"C": 1}}
+    assert tree({**sels, "condition": "a and (b and c)"}) == transpile.Several(True, (a, b, c))
+    assert tree({**sels, "condition": "not not a or a"}) == a
+    assert transpile.LANGUAGES["kql"].show(tree({**sels, "condition": "not (a or b) and c"})).startswith("not (winlog.event_data.A")
+    with pytest.raises(transpile.Unsupported):
+        tree({**sels, "condition": "a and 1 of x*"})
+
+
+def test_sql_text_finds_what_the_compiled_rule_finds(spark):
+    events = spark.createDataFrame([(i, e, v, w) for i, (e, v, w) in enumerate([(1, "C:\\A b.exe", "x-1"), (2, "c:\\a B.EXE", None), (1, None, "-"), (3, "100%_!", "X/1"), (None, "", "it's")])], "_rid long, EventID int, Image string, Cmd string")
+    for s, condition in [({"s": {"Image|endswith": "b.exe"}}, "s"), ({"s": {"Image": None}}, "not s"), ({"s": {"Image|contains": "%_!"}, "t": {"Cmd|windash": "x-1"}}, "s or t"), ({"s": {"Cmd": "it's"}, "t": {"EventID": [1, 2]}}, "1 of them"), ({"s": {"Image": "c:\\?*"}, "t": {"Cmd|re": "^x"}}, "s and not t")]:
+        rule = rule_of({"id": "q", "detection": {**s, "condition": condition}})
+        rows, event = fold_columns(events, [rule])
+        want = {r._rid for r in rows.where(compile_rule(rule, event)).collect()}
+        assert {r._rid for r in events.where(transpile.transpile(rule, "sql")).collect()} == want, condition
