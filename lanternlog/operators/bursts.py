@@ -5,12 +5,14 @@ it; if it is large enough it is emitted and the walk goes on behind it, else
 with the next event. The walk is sequential, but from any position it is a
 function: position -> where the walk leaves a chunk. So
 
-1. events get their number in the group (counts a time bucket, prefix sums);
-2. the number of events, or distinct values, in each event's window come from
-   a range window inside buckets as wide as the window, each bucket seeing its
-   successor's events too;
-3. chunks of a group of equal size compute their exit for every entry, stored
-   as few intervals, as walks soon fall together;
+1. hits are written once and cut into ranges of equally many by time; an
+   event's number in its group is the group's events in the ranges before, by
+   prefix sums, and its rank inside its own;
+2. what lies in an event's window is the number of the last event up to its
+   end, found in the same ranges by the same sums; distinct values are counted
+   in buckets as wide as the window, each seeing its successor's events too;
+3. chunks of a group of equal size compute their exit for every entry, by
+   doubling of jumps, stored as few intervals, as walks soon fall together;
 4. a group's chunks are chained over these intervals alone;
 5. each chunk walks once more from its true entry and emits its bursts.
 """
@@ -22,7 +24,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-CHUNK, BUCKET_US = 1 << 15, 3_600_000_000
+from lanternlog.operators.ranges import bounds, numbered
+from lanternlog.session import Tables
+
+CHUNK, WIDTH = 1 << 15, 1 << 16
 _EXITS = "rule_no int, burst_key string, chunk long, lo long, hi long, exit long"
 _STARTS = "rule_no int, burst_key string, n long, size long"
 
@@ -37,17 +42,57 @@ def _key(table: pa.Table, rows: int) -> list[pa.Array]:
     return [pa.array([table["rule_no"][0].as_py()] * rows, pa.int32()), pa.array([table["burst_key"][0].as_py()] * rows, pa.string())]
 
 
+def jumps(step: np.ndarray) -> list[np.ndarray]:
+    """Where 1, 2, 4, ... steps lead from each position; positions behind the end stay as they are."""
+    size = len(step)
+    levels = [np.arange(size) + step]
+    while (levels[-1] < size).any():
+        now = levels[-1].copy()
+        inside = now < size
+        now[inside] = levels[-1][now[inside]]
+        levels.append(now)
+    return levels
+
+
+def visited(levels: list[np.ndarray], entry: int) -> np.ndarray:
+    """The positions that the walk from `entry` stops at, in order."""
+    size, at = len(levels[0]), np.array([entry])
+    for level in reversed(levels):
+        more = level[at]
+        at = np.concatenate([at, more[more < size]])
+    return np.unique(at)
+
+
+def distinct_in_windows(value: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The number of distinct values in [i, end_i) for every i.
+
+    A value counts where it comes first in its window, that is where it came
+    last before i. Of the places before end_i such are those whose value came
+    last before i, less the i places before the window; they are counted over
+    sorted blocks of 1, 2, 4, ... places.
+    """
+    size = len(value)
+    order = np.lexsort((np.arange(size), value))
+    before = np.full(size, -1)
+    same = value[order[1:]] == value[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    index, found, far = np.arange(size), np.zeros(size, np.int64), size + 2
+    for level in range(int(size).bit_length()):
+        width = 1 << level
+        padded = np.concatenate([before, np.full(-size % width, size)]).reshape(-1, width)
+        laid = (np.sort(padded, 1) + 1 + np.arange(len(padded))[:, None] * far).ravel()
+        use = (end >> level) & 1 == 1
+        block = (end[use] >> (level + 1)) * 2
+        found[use] += np.searchsorted(laid, index[use] + 1 + block * far) - block * width
+    return found - index
+
+
 def _exits(table: pa.Table) -> pa.Table:
     """For every entry into the chunk, where the walk leaves it: intervals of entries with one exit."""
     n, size, enough = _ordered(table)
-    step = np.where(enough, size, 1)
-    end = n[-1] + 1
-    out = np.empty(len(n), np.int64)
-    for i in range(len(n) - 1, -1, -1):
-        to = n[i] + step[i]
-        out[i] = to if to >= end else out[to - n[0]]
+    out = jumps(np.where(enough, size, 1))[-1] + n[0]
     first = np.flatnonzero(np.concatenate([[True], out[1:] != out[:-1]]))
-    hi = np.concatenate([n[first[1:]] - 1, [end - 1]])
+    hi = np.concatenate([n[first[1:]] - 1, n[-1:]])
     chunk = pa.array([table["chunk"][0].as_py()] * len(first), pa.int64())
     return pa.Table.from_arrays([*_key(table, len(first)), chunk, pa.array(n[first]), pa.array(hi), pa.array(out[first])], ["rule_no", "burst_key", "chunk", "lo", "hi", "exit"])
 
@@ -65,37 +110,27 @@ def _chain(table: pa.Table) -> pa.Table:
 
 def _walk(table: pa.Table) -> pa.Table:
     n, size, enough = _ordered(table)
-    at, starts = int(table["entry"][0].as_py()) - int(n[0]), []
-    while at < len(n):
-        if enough[at]:
-            starts.append(at)
-            at += int(size[at])
-        else:
-            at += 1
+    at = visited(jumps(np.where(enough, size, 1)), int(table["entry"][0].as_py()) - int(n[0]))
+    starts = at[enough[at]]
     return pa.Table.from_arrays([*_key(table, len(starts)), pa.array(n[starts], pa.int64()), pa.array(size[starts], pa.int64())], ["rule_no", "burst_key", "n", "size"])
 
 
+def codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A number for each value, nulls alike."""
+    return pc.fill_null(pc.dictionary_encode(column.combine_chunks()).indices, -1).to_numpy(zero_copy_only=False) + 1
+
+
 def _distinct(table: pa.Table) -> pa.Table:
-    """Whether enough distinct values lie in each own event's window: one slide over the bucket and its successor."""
-    order = np.argsort(table["n"].to_numpy())
-    us, n, own = (table[c].to_numpy(zero_copy_only=False)[order] for c in ("us", "n", "own"))
-    value = pc.fill_null(pc.dictionary_encode(table["burst_value"].combine_chunks()).indices, -1).to_numpy(zero_copy_only=False)[order] + 1
+    """Whether enough distinct values lie in each own event's window, over the bucket and its successor."""
+    table = table.take(pa.array(np.argsort(table["n"].to_numpy())))
+    us, n, own = (table[c].to_numpy(zero_copy_only=False) for c in ("us", "n", "own"))
     window, least = table["_window"][0].as_py(), table["_least"][0].as_py()
-    inside, kinds, to = np.zeros(value.max() + 1, np.int64), 0, 0
-    many = np.zeros(len(n), bool)
-    for i in range(len(n)):
-        while to < len(n) and us[to] - us[i] <= window:
-            kinds += inside[value[to]] == 0
-            inside[value[to]] += 1
-            to += 1
-        many[i] = kinds >= least
-        inside[value[i]] -= 1
-        kinds -= inside[value[i]] == 0
+    many = distinct_in_windows(codes(table["burst_value"]), np.searchsorted(us, us + window, "right")) >= least
     mine = own.astype(bool)
     return pa.Table.from_arrays([*_key(table, int(mine.sum())), pa.array(n[mine]), pa.array(many[mine])], ["rule_no", "burst_key", "n", "many"])
 
 
-def bursts(hits: DataFrame, specs: list[tuple[int, int, int, bool]], chunk: int = CHUNK) -> DataFrame:
+def bursts(hits: DataFrame, specs: list[tuple[int, int, int, bool]], chunk: int = CHUNK, width: int = WIDTH) -> DataFrame:
     """rule_no, start_ts, end_ts, actor, host, source, event_rids, targets of each burst.
 
     hits: as of rule_hits, ordered in a group by (TimeCreated, _rid). specs:
@@ -104,24 +139,30 @@ def bursts(hits: DataFrame, specs: list[tuple[int, int, int, bool]], chunk: int
     equal time ahead in the order are not in a later event's window.
     """
     spark = hits.sparkSession
-    plan = F.broadcast(spark.createDataFrame(specs, "rule_no int, _least int, _window long, _distinct boolean"))
+    plan = F.broadcast(spark.createDataFrame(specs, "rule_no int, _least int, _window long, _distinct boolean"))  # a row a rule
     keys = ["rule_no", "burst_key"]
-    rows = hits.where("TimeCreated is not null").join(plan, "rule_no").withColumn("us", F.unix_micros("TimeCreated"))
+    rows, seen = Tables(spark, "bursts").put_seen(hits.where("TimeCreated is not null").join(plan, "rule_no").withColumn("us", F.unix_micros("TimeCreated")), n=F.count(F.lit(1)))
+    cuts = bounds(rows.select("us"), "us", width, rows=seen["n"])
+    rows = numbered(rows, "us", cuts)
     # number in the group
-    rows = rows.withColumn("_part", F.floor(F.col("us") / BUCKET_US))
-    counts = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("us", "_rid"))).join(counts, [*keys, "_part"]).withColumn("n", F.col("_before") + F.col("_rank") - 1)
-    # what lies in each event's window: its own bucket of the window's width and the next
-    wide = rows.withColumn("_b", F.floor(F.col("us") / (F.col("_window") + 1)))
-    seen = wide.select(*keys, "us", "n", "burst_value", "_window", "_distinct", "_least", F.explode(F.array(F.struct(F.col("_b").alias("b"), F.lit(True).alias("own")), F.struct((F.col("_b") - 1).alias("b"), F.lit(False).alias("own")))).alias("_at")).select("*", "_at.b", "_at.own").drop("_at")
-    by = Window.partitionBy(*keys, "b").orderBy("us")
-    last = F.lit(None)
-    for w in sorted({s[2] for s in specs}):
-        last = F.when(F.col("_window") == w, F.max("n").over(by.rangeBetween(0, w))).otherwise(last)
-    sized = seen.withColumn("size", last - F.col("n") + 1).where("own").select(*keys, "n", "size", "_distinct", (F.col("size") >= F.col("_least")).alias("enough"))
+    per = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(*keys).orderBy("_part")
+    before = per.withColumn("_before", F.coalesce(F.sum("_n").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("us", "_rid")))
+    rows = ranked.join(before, [*keys, "_part"]).withColumn("n", F.col("_before") + F.col("_rank") - 1)
+    # the last event in each one's window: ends of windows laid among the events
+    marks = rows.select(*keys, "us", F.lit(1).alias("_event"), F.lit(None).cast("long").alias("n")).unionAll(rows.select(*keys, (F.col("us") + F.col("_window")).alias("us"), F.lit(0).alias("_event"), "n"))
+    marks = numbered(marks, "us", cuts)
+    inside = Window.partitionBy(*keys, "_part").orderBy("us", F.desc("_event")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = marks.groupBy(*keys, "_part").agg(F.sum("_event").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    laid = marks.withColumn("_up_to", F.sum("_event").over(inside)).where("_event = 0").join(counted, [*keys, "_part"])
+    sized = laid.select(*keys, "n", (F.col("_before") + F.col("_up_to") - F.col("n")).alias("size")).join(plan, "rule_no")
+    sized = sized.select(*keys, "n", "size", "_distinct", (F.col("size") >= F.col("_least")).alias("enough"))
     if any(s[3] for s in specs):
-        kinds = seen.where("_distinct").select(*keys, "b", "us", "n", "burst_value", "_window", "_least", "own").groupBy(*keys, "b").applyInArrow(_distinct, "rule_no int, burst_key string, n long, many boolean")
+        bucket = F.floor(F.col("us") / (F.col("_window") + 1))
+        both = F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), F.struct((bucket - 1).alias("b"), F.lit(False).alias("own")))).alias("_at")
+        wide = rows.where("_distinct").select(*keys, "us", "n", "burst_value", "_window", "_least", both).select("*", "_at.b", "_at.own").drop("_at")
+        kinds = wide.groupBy(*keys, "b").applyInArrow(_distinct, "rule_no int, burst_key string, n long, many boolean")
         sized = sized.join(kinds, [*keys, "n"], "left").withColumn("enough", F.when(F.col("_distinct"), F.col("many")).otherwise(F.col("enough")))
     sized = sized.select(*keys, "n", "size", "enough", F.floor(F.col("n") / chunk).alias("chunk"))
     exits = sized.groupBy(*keys, "chunk").applyInArrow(_exits, _EXITS)

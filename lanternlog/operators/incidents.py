@@ -2,8 +2,8 @@
 
 Per entity, detections in time order break into islands wherever one starts
 later than the window after all ends before it. The running latest end is
-taken in two levels, over time buckets and inside a bucket, so a hot entity
-isn't one task. Incidents are the connected components of the detections and
+taken in two levels, over ranges of time that hold equally many rows and inside
+a range, so a hot entity isn't one task. Incidents are the connected components of the detections and
 their islands.
 """
 
@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lanternlog.functions.entities import entity, filled, short_host
 from lanternlog.operators.components import ONE_TASK, components
+from lanternlog.operators.ranges import bounds, numbered
 from lanternlog.plans.rulebook import ALERT_LEVELS, KIND_WEIGHT, LEVEL_SCORE, TACTICS
+from lanternlog.session import Tables
 
-WINDOW_US, BUCKET_US = 6 * 3_600_000_000, 24 * 3_600_000_000
+WINDOW_US, WIDTH = 6 * 3_600_000_000, 1 << 16
 KINDS = ["actor", "source", "host"]
 FLAG_SCORE, FLAG_TECHNIQUES, FLAG_PHASES = 300, 4, 3
 
@@ -45,10 +47,11 @@ def entities(found: DataFrame) -> DataFrame:
     return rows.withColumn("norm", entity(F.col("value"), F.col("kind") == "host")).where("norm <> ''")
 
 
-def islands(found: DataFrame, keys: DataFrame, window_us: int = WINDOW_US, bucket_us: int = BUCKET_US) -> DataFrame:
+def islands(found: DataFrame, keys: DataFrame, window_us: int = WINDOW_US, width: int = WIDTH) -> DataFrame:
     """det_id, kind, norm, island: the island of each detection and entity; island is the first start in it, in microseconds."""
     times = found.select("det_id", F.unix_micros("start_ts").alias("a"), F.unix_micros(F.coalesce("end_ts", "start_ts")).alias("e"))
-    rows = keys.select("det_id", "kind", "norm").distinct().join(times.where("a is not null"), "det_id").withColumn("b", F.floor(F.col("a") / bucket_us))
+    rows, seen = Tables(found.sparkSession, "islands").put_seen(keys.select("det_id", "kind", "norm").distinct().join(times.where("a is not null"), "det_id"), n=F.count(F.lit(1)))
+    rows = numbered(rows, "a", bounds(rows.select("a"), "a", width, rows=seen["n"]), "b")
     entity_key = ["kind", "norm"]
     before = Window.partitionBy(*entity_key).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     carried = rows.groupBy(*entity_key, "b").agg(F.max("e").alias("_e")).withColumn("_carry", F.max("_e").over(before)).drop("_e")

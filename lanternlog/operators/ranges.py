@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, functions as F
 MOST = 1 << 16
 
 
-def bounds(df: DataFrame, order: str, width: int, most: int = MOST) -> list[float]:
+def bounds(df: DataFrame, order: str, width: int, most: int = MOST, rows: int | None = None) -> list[float]:
     """Ascending values that cut `order` into ranges of about `width` rows, in at most `most` ranges.
 
-    Two passes over the one column. The quantiles are approximate, by a tenth
-    of a range, which changes the ranges' sizes and nothing else.
+    One pass over the one column, and one to count where `rows` isn't known.
+    The quantiles are approximate, by a tenth of a range, which changes the
+    ranges' sizes and nothing else.
     """
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     parts = min(most, math.ceil(rows / width))
     if parts < 2:
         return []

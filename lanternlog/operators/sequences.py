@@ -1,18 +1,17 @@
 """Ordered multi-step sequences joined on entities.
 
-A step's candidate is keyed by the tuple of its normalised join values; two
-steps meet in an equi-join on those keys and on a time bucket as wide as the
-sequence, so a hot entity is spread over its buckets. For each first-step
-detection the earliest feasible second, then third, ... step is kept, which is
-the lexicographically least tuple of ranks.
+A step's candidate is keyed by its normalised join values. For each first-step
+detection the earliest feasible second, then third, ... step is chosen, which
+is the lexicographically least tuple of ranks. Steps follow one another by
+looking ahead in one order of time, key by key in buckets as wide as the
+sequence, so a hot entity is spread over its time and no pairs are made.
 """
 
 from __future__ import annotations
 
 import functools
-import operator
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lanternlog.functions.entities import HOST_KINDS, domains, entity, filled
 from lanternlog.operators.hits import DETECTION, ENTITIES, detections
@@ -59,37 +58,77 @@ def match(steps: list[DataFrame], joins: list[tuple[int, str, int, str]], window
     a step. joins: (step, field, step, field). A later step starts at or after
     the step before and within the window of the first. A detection may fill
     two steps. Empty values join nothing.
+
+    Of the candidates of a step that bring the same values to later joins the
+    earliest is the best for every choice of earlier steps, as it leaves most
+    time and ranks first. So a step keeps one candidate for a choice and such
+    values, and no step multiplies pairs.
     """
-    bucket = lambda c: F.floor(c / (window_us + 1))
     own = [s.select("*", F.unix_micros("start_ts").alias("us")) for s in steps]
-    # what later joins of a bound step need
-    def keep(i: int, df: DataFrame) -> list[Column]:
-        fields = sorted({f for a, fa, b, fb in joins for s, f in ((a, fa), (b, fb)) if s == i})
-        return [F.struct("us", "det_id").alias(f"s{i}"), *[_values(f, df.columns).alias(f"k{i}_{f}") for f in fields]]
 
-    bound = own[0].select(*keep(0, own[0]))
+    def later(i: int) -> list[str]:
+        """The fields of step i that joins with later steps read."""
+        return sorted({f for a, fa, b, fb in joins for s, f, o in ((a, fa, b), (b, fb, a)) if s == i and o > i})
+
+    def frame(i: int, now: list[tuple[str, str]]) -> DataFrame:
+        fields = sorted({*later(i), *(mine.split("_", 1)[1] for mine, _ in now)})
+        return own[i].select(F.struct("us", "det_id").alias(f"s{i}"), *[_values(f, own[i].columns).alias(f"k{i}_{f}") for f in fields])
+
+    bound = frame(0, [])
     for i in range(1, len(steps)):
-        after = own[i].select(*keep(i, own[i]))
-        now = [(fa, a, fb) if b == i else (fb, b, fa) for a, fa, b, fb in joins if i in (a, b) and max(a, b) == i and a != b]
-        here = [(f"k{i}_{mine}", f"k{other}_{theirs}") for (theirs, other, mine) in [(n[0], n[1], n[2]) for n in now]]
-        both = bound.withColumn("_b", F.explode(F.array(bucket(F.col("s0.us")), bucket(F.col("s0.us")) + 1)))
-        cand = after.withColumn("_b", bucket(F.col(f"s{i}.us")))
-        on = ["_b"]
-        if here:
-            mine, theirs = here[0]
-            both, cand = both.withColumn("_k", F.explode(theirs)), cand.withColumn("_k", F.explode(mine))
-            on.append("_k")
-        met = both.join(cand, on).where((F.col(f"s{i}.us") >= F.col(f"s{i - 1}.us")) & (F.col(f"s{i}.us") - F.col("s0.us") <= window_us))
-        if len(here) > 1:
-            met = met.where(functools.reduce(operator.and_, [F.arrays_overlap(m, t) for m, t in here[1:]]))
-        bound = met.drop("_b", "_k")
-        if i == len(steps) - 1 or len(here) > 1:
-            bound = bound.dropDuplicates([f"s{j}" for j in range(i + 1)])
+        pairs = [(fa, a, fb) if b == i else (fb, b, fa) for a, fa, b, fb in joins if max(a, b) == i and a != b]
+        now = [(f"k{i}_{mine}", f"k{other}_{theirs}") for theirs, other, mine in pairs]
+        # what a choice is known by, and the values that later steps ask for
+        kept = [f"k{j}_{f}" for j in range(i) for f in later(j) if any(max(a, b) > i and j in (a, b) for a, _, b, _ in joins)]
+        prefix, wanted = [f"s{j}" for j in range(i)], [f"k{i}_{f}" for f in later(i)]
+        single = len(now) <= 1 and (not wanted or (bool(now) and wanted == [now[0][0]] and now[0][0].split("_", 1)[1] in ENTITY_FIELDS))
+        step = _following if single else _least
+        bound = step(bound, frame(i, now), i, now, window_us, prefix, [k for k in kept if k in bound.columns], wanted)
     chosen = F.struct(*[F.col(f"s{j}") for j in range(1, len(steps))]) if len(steps) > 1 else F.struct(F.col("s0").alias("s1"))
     best = bound.groupBy("s0").agg(F.min(chosen).alias("_best"))
     return best.select("s0", *[F.col(f"_best.s{j}") for j in range(1, len(steps))])
 
 
+#: Fields with one value a detection.
+ENTITY_FIELDS = ["actor", "host", "source"]
+
+
+def _bucket(column: Column, window_us: int) -> Column:
+    return F.floor(column / (window_us + 1))
+
+
+def _following(bound: DataFrame, after: DataFrame, i: int, now: list[tuple[str, str]], window_us: int, prefix: list[str], kept: list[str], wanted: list[str]) -> DataFrame:
+    """The first candidate at or after each choice, by key: choices and candidates in one order of time, each looking ahead.
+
+    Linear in both. They are laid in buckets as wide as the window, a candidate
+    in its own and the one before, so a hot key is spread over its time.
+    """
+    mine, theirs = now[0] if now else (None, None)
+    at = F.col(f"s{i - 1}.us")
+    left = bound.select(*prefix, *kept, (F.explode(theirs) if theirs else F.lit("")).alias("_k"), at.alias("_us"), _bucket(at, window_us).alias("_b"), F.lit(0).alias("_side"), F.lit(None).cast("struct<us:bigint,det_id:bigint>").alias("_s"))
+    one = F.col(f"s{i}.us")
+    right = after.select((F.explode(mine) if mine else F.lit("")).alias("_k"), one.alias("_us"), F.explode(F.array(_bucket(one, window_us), _bucket(one, window_us) - 1)).alias("_b"), F.lit(1).alias("_side"), F.col(f"s{i}").alias("_s"))
+    ahead = Window.partitionBy("_k", "_b").orderBy("_us", "_side", "_s.det_id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    met = left.unionByName(right, allowMissingColumns=True).withColumn("_next", F.first("_s", True).over(ahead)).where("_side = 0 and _next is not null")
+    met = met.where(F.col("_next.us") - F.col("s0.us") <= window_us)
+    key = [F.array("_k").alias(w) for w in wanted]
+    return met.select(*prefix, *kept, F.col("_next").alias(f"s{i}"), *key).distinct()
+
+
+def _least(bound: DataFrame, after: DataFrame, i: int, now: list[tuple[str, str]], window_us: int, prefix: list[str], kept: list[str], wanted: list[str]) -> DataFrame:
+    """The first candidate for each choice and values that later steps ask for, where several joins or many-valued fields decide: pairs meet on the first join and a bucket of time, and are aggregated as they come."""
+    both = bound.withColumn("_b", F.explode(F.array(_bucket(F.col("s0.us"), window_us), _bucket(F.col("s0.us"), window_us) + 1)))
+    cand, on = after.withColumn("_b", _bucket(F.col(f"s{i}.us"), window_us)), ["_b"]
+    if now:
+        mine, theirs = now[0]
+        both, cand = both.withColumn("_k", F.explode(theirs)), cand.withColumn("_k", F.explode(mine))
+        on.append("_k")
+    met = both.join(cand, on).where((F.col(f"s{i}.us") >= F.col(f"s{i - 1}.us")) & (F.col(f"s{i}.us") - F.col("s0.us") <= window_us))
+    for m, t in now[1:]:
+        met = met.where(F.arrays_overlap(m, t))
+    return met.groupBy(*prefix, *kept, *wanted).agg(F.min(f"s{i}").alias(f"s{i}"))
+
+
 def merge(chosen: DataFrame, n: int, found: DataFrame, rule: Rule) -> DataFrame:
     """Sequence detections: starts that complete through the same later steps are one."""
     tail = [F.col(f"s{j}.det_id") for j in range(1, n)]
