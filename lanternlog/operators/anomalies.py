@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lanternlog.functions.entities import unmapped_ip
-from lanternlog.operators.bursts import codes, distinct_in_windows
+from lanternlog.operators.batches import by_groups, codes
+from lanternlog.operators.bursts import distinct_in_windows, ends_of_windows
 from lanternlog.operators.hits import ENTITIES
 from lanternlog.plans.rulebook import Rule
 
@@ -38,15 +39,16 @@ def first_seen(auth: DataFrame, cutoff: int) -> DataFrame:
         F.count(F.lit(1)).alias("n_events"), F.count_distinct(F.nullif("TargetUserName", F.lit(""))).alias("n_accounts"), F.transform(F.array_sort(F.collect_list(at)), lambda x: x["_rid"]).alias("event_rids"))
 
 
-def _reach(table: pa.Table) -> pa.Table:
+def _reach(table: pa.Table, group: np.ndarray) -> pa.Table:
     """The number of distinct hosts within an hour from each own event of an account's bucket."""
-    table = table.sort_by([("us", "ascending"), ("_rid", "ascending")])
     us, own = table["us"].to_numpy(), table["own"].to_numpy(zero_copy_only=False).astype(bool)
+    host = codes(table["Computer"])
+    hosts = distinct_in_windows(group * (host.max(initial=0) + 1) + host, ends_of_windows(us, np.full(len(us), HOUR_US), group))
     # an hour takes in events of equal time before this one in the order
-    first = np.searchsorted(us, us, "left")
-    hosts = distinct_in_windows(codes(table["Computer"]), np.searchsorted(us, us + HOUR_US, "right"))[first]
-    kept = table.select(["account", "us", "Computer", "_rid", "IpAddress"]).append_column("n_hosts", pa.array(hosts, pa.int64()))
-    return kept.filter(pa.array(own))
+    new = np.ones(len(us), bool)
+    new[1:] = (us[1:] != us[:-1]) | (group[1:] != group[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(us)), 0))
+    return table.select(["account", "us", "Computer", "_rid", "IpAddress"]).append_column("n_hosts", pa.array(hosts[first], pa.int64())).filter(pa.array(own))
 
 
 def fan_out(auth: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def fan_out(auth: DataFrame) -> DataFrame:
     rows = auth.where((F.col("EventID") == 4624) & F.trim("LogonType").isin("3", "10") & (F.col("TargetUserName") != "")).select(account.alias("account"), "us", "Computer", "_rid", "IpAddress")
     bucket = F.floor(F.col("us") / HOUR_US)
     seen = rows.select("*", F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), F.struct((bucket - 1).alias("b"), F.lit(False).alias("own")))).alias("_at")).select("*", "_at.*").drop("_at")
-    counted = seen.withColumn("Computer", F.coalesce("Computer", F.lit(""))).groupBy("account", "b").applyInArrow(_reach, "account string, us long, Computer string, _rid long, IpAddress string, n_hosts long")
+    counted = by_groups(seen.withColumn("Computer", F.coalesce("Computer", F.lit(""))), ["account", "b"], ["us", "_rid"], _reach, "account string, us long, Computer string, _rid long, IpAddress string, n_hosts long")
     best = F.struct((-F.col("n_hosts")).alias("m"), "us", "_rid")
     return counted.groupBy("account").agg(F.min(best).alias("x"), F.min_by("Computer", best).alias("host"), F.min_by("IpAddress", best).alias("source"), F.min_by("_rid", best).alias("_rid")).select("account", F.col("x.us").alias("us"), (-F.col("x.m")).alias("n_hosts"), "host", "source", "_rid")
 

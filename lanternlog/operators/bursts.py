@@ -21,9 +21,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lanternlog.operators.batches import by_groups, codes
 from lanternlog.operators.ranges import bounds, numbered
 from lanternlog.session import Tables
 
@@ -32,35 +32,31 @@ _EXITS = "rule_no int, burst_key string, chunk long, lo long, hi long, exit long
 _STARTS = "rule_no int, burst_key string, n long, size long"
 
 
-def _ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, size, enough = (table[c].to_numpy(zero_copy_only=False) for c in ("n", "size", "enough"))
-    order = np.argsort(n)
-    return n[order], size[order], enough[order].astype(bool)
+def _steps(table: pa.Table, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(steps, where each leads, the last position of the group if it leads out of it): of positions in a table of whole groups."""
+    size, enough = (table[c].to_numpy(zero_copy_only=False) for c in ("size", "enough"))
+    step = np.where(enough.astype(bool), size, 1)
+    at = np.arange(len(step))
+    end = np.searchsorted(group, group, "right")
+    return step, np.where(at + step < end, at + step, at), end
 
 
-def _key(table: pa.Table, rows: int) -> list[pa.Array]:
-    return [pa.array([table["rule_no"][0].as_py()] * rows, pa.int32()), pa.array([table["burst_key"][0].as_py()] * rows, pa.string())]
-
-
-def jumps(step: np.ndarray) -> list[np.ndarray]:
-    """Where 1, 2, 4, ... steps lead from each position; positions behind the end stay as they are."""
-    size = len(step)
-    levels = [np.arange(size) + step]
-    while (levels[-1] < size).any():
-        now = levels[-1].copy()
-        inside = now < size
-        now[inside] = levels[-1][now[inside]]
-        levels.append(now)
-    return levels
+def leaves(to: np.ndarray) -> np.ndarray:
+    """The position at which the walk from each position ends, one that leads to itself."""
+    while not np.array_equal(after := to[to], to):
+        to = after
+    return to
 
 
-def visited(levels: list[np.ndarray], entry: int) -> np.ndarray:
-    """The positions that the walk from `entry` stops at, in order."""
-    size, at = len(levels[0]), np.array([entry])
+def visited(to: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """The positions that the walks from some positions stop at, in order, by jumps of 1, 2, 4, ... steps."""
+    levels = [to]
+    while not np.array_equal(after := levels[-1][levels[-1]], levels[-1]):
+        levels.append(after)
+    at = np.unique(entries)
     for level in reversed(levels):
-        more = level[at]
-        at = np.concatenate([at, more[more < size]])
-    return np.unique(at)
+        at = np.unique(np.concatenate([at, level[at]]))
+    return at
 
 
 def distinct_in_windows(value: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -87,14 +83,22 @@ def distinct_in_windows(value: np.ndarray, end: np.ndarray) -> np.ndarray:
     return found - index
 
 
-def _exits(table: pa.Table) -> pa.Table:
-    """For every entry into the chunk, where the walk leaves it: intervals of entries with one exit."""
-    n, size, enough = _ordered(table)
-    out = jumps(np.where(enough, size, 1))[-1] + n[0]
-    first = np.flatnonzero(np.concatenate([[True], out[1:] != out[:-1]]))
-    hi = np.concatenate([n[first[1:]] - 1, n[-1:]])
-    chunk = pa.array([table["chunk"][0].as_py()] * len(first), pa.int64())
-    return pa.Table.from_arrays([*_key(table, len(first)), chunk, pa.array(n[first]), pa.array(hi), pa.array(out[first])], ["rule_no", "burst_key", "chunk", "lo", "hi", "exit"])
+def _exits(table: pa.Table, group: np.ndarray) -> pa.Table:
+    """For every entry into a chunk, where the walk leaves it: intervals of entries with one exit."""
+    n = table["n"].to_numpy()
+    step, to, _ = _steps(table, group)
+    last = leaves(to)
+    out = n[last] + step[last]
+    new = np.ones(len(n), bool)
+    new[1:] = (out[1:] != out[:-1]) | (group[1:] != group[:-1])
+    first = np.flatnonzero(new)
+    hi = n[np.concatenate([first[1:], [len(n)]]) - 1]
+    kept = table.select(["rule_no", "burst_key", "chunk"]).take(pa.array(first))
+    return pa.Table.from_arrays([*kept.columns, pa.array(n[first]), pa.array(hi), pa.array(out[first])], ["rule_no", "burst_key", "chunk", "lo", "hi", "exit"])
+
+
+def _key(table: pa.Table, rows: int) -> list[pa.Array]:
+    return [pa.array([table["rule_no"][0].as_py()] * rows, pa.int32()), pa.array([table["burst_key"][0].as_py()] * rows, pa.string())]
 
 
 def _chain(table: pa.Table) -> pa.Table:
@@ -108,26 +112,34 @@ def _chain(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([*_key(table, len(entries)), pa.array([e[0] for e in entries], pa.int64()), pa.array([e[1] for e in entries], pa.int64())], ["rule_no", "burst_key", "chunk", "entry"])
 
 
-def _walk(table: pa.Table) -> pa.Table:
-    n, size, enough = _ordered(table)
-    at = visited(jumps(np.where(enough, size, 1)), int(table["entry"][0].as_py()) - int(n[0]))
-    starts = at[enough[at]]
-    return pa.Table.from_arrays([*_key(table, len(starts)), pa.array(n[starts], pa.int64()), pa.array(size[starts], pa.int64())], ["rule_no", "burst_key", "n", "size"])
+def _walk(table: pa.Table, group: np.ndarray) -> pa.Table:
+    _, to, _ = _steps(table, group)
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    entries = start + table["entry"].to_numpy()[start] - table["n"].to_numpy()[start]
+    # an entry behind the end of its chunk is none
+    entries = entries[(entries < len(to)) & (group[np.minimum(entries, len(to) - 1)] == group[start])]
+    at = visited(to, entries)
+    at = at[table["enough"].to_numpy(zero_copy_only=False).astype(bool)[at]]
+    return table.select(["rule_no", "burst_key", "n", "size"]).take(pa.array(at))
 
 
-def codes(column: pa.ChunkedArray) -> np.ndarray:
-    """A number for each value, nulls alike."""
-    return pc.fill_null(pc.dictionary_encode(column.combine_chunks()).indices, -1).to_numpy(zero_copy_only=False) + 1
+def ends_of_windows(us: np.ndarray, window: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The position behind the last row of each one's window, inside its group; rows are sorted by group and time."""
+    low, widest = us.min(initial=0), int(window.max(initial=0))
+    span = int(us.max(initial=0) - low) + widest + 2
+    if span * (int(group.max(initial=0)) + 1) < 2**62:
+        place = group * span + (us - low)
+        return np.searchsorted(place, place + window, "right")
+    return np.concatenate([a + np.searchsorted(us[a:z], us[a:z] + window[a:z], "right") for a, z in zip(*(lambda s: (s, [*s[1:], len(us)]))(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))))])
 
 
-def _distinct(table: pa.Table) -> pa.Table:
-    """Whether enough distinct values lie in each own event's window, over the bucket and its successor."""
-    table = table.take(pa.array(np.argsort(table["n"].to_numpy())))
-    us, n, own = (table[c].to_numpy(zero_copy_only=False) for c in ("us", "n", "own"))
-    window, least = table["_window"][0].as_py(), table["_least"][0].as_py()
-    many = distinct_in_windows(codes(table["burst_value"]), np.searchsorted(us, us + window, "right")) >= least
-    mine = own.astype(bool)
-    return pa.Table.from_arrays([*_key(table, int(mine.sum())), pa.array(n[mine]), pa.array(many[mine])], ["rule_no", "burst_key", "n", "many"])
+def _distinct(table: pa.Table, group: np.ndarray) -> pa.Table:
+    """Whether enough distinct values lie in each own event's window, over a bucket and its successor."""
+    us, own, window, least = (table[c].to_numpy(zero_copy_only=False) for c in ("us", "own", "_window", "_least"))
+    value = codes(table["burst_value"])
+    many = distinct_in_windows(group * (value.max(initial=0) + 1) + value, ends_of_windows(us, window, group)) >= least
+    mine = pa.array(own.astype(bool))
+    return table.select(["rule_no", "burst_key", "n"]).append_column("many", pa.array(many)).filter(mine)
 
 
 def bursts(hits: DataFrame, specs: list[tuple[int, int, int, bool]], chunk: int = CHUNK, width: int = WIDTH) -> DataFrame:
@@ -162,12 +174,12 @@ def bursts(hits: DataFrame, specs: list[tuple[int, int, int, bool]], chunk: int
         bucket = F.floor(F.col("us") / (F.col("_window") + 1))
         both = F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), F.struct((bucket - 1).alias("b"), F.lit(False).alias("own")))).alias("_at")
         wide = rows.where("_distinct").select(*keys, "us", "n", "burst_value", "_window", "_least", both).select("*", "_at.b", "_at.own").drop("_at")
-        kinds = wide.groupBy(*keys, "b").applyInArrow(_distinct, "rule_no int, burst_key string, n long, many boolean")
+        kinds = by_groups(wide, [*keys, "b"], ["n"], _distinct, "rule_no int, burst_key string, n long, many boolean")
         sized = sized.join(kinds, [*keys, "n"], "left").withColumn("enough", F.when(F.col("_distinct"), F.col("many")).otherwise(F.col("enough")))
     sized = sized.select(*keys, "n", "size", "enough", F.floor(F.col("n") / chunk).alias("chunk"))
-    exits = sized.groupBy(*keys, "chunk").applyInArrow(_exits, _EXITS)
+    exits = by_groups(sized, [*keys, "chunk"], ["n"], _exits, _EXITS)
     entries = exits.groupBy(*keys).applyInArrow(_chain, "rule_no int, burst_key string, chunk long, entry long")
-    starts = sized.join(entries, [*keys, "chunk"]).groupBy(*keys, "chunk").applyInArrow(_walk, _STARTS)
+    starts = by_groups(sized.join(entries, [*keys, "chunk"]), [*keys, "chunk"], ["n"], _walk, _STARTS)
     members = starts.select(*keys, F.col("n").alias("start"), F.explode(F.sequence(F.col("n"), F.col("n") + F.col("size") - 1)).alias("n"))
     place = F.struct("n")
     return rows.join(members, [*keys, "n"]).groupBy(*keys, "start").agg(

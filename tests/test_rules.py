@@ -6,11 +6,13 @@ import ipaddress
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lanternlog.functions.match import compile_rule, fold_columns, glob_regex
-from lanternlog.operators import bursts, hits, sequences
+from lanternlog.operators import batches, bursts, hits, sequences
 from lanternlog.plans import transpile, validation
 from lanternlog.plans.rulebook import RuleError, candidate_events, fields_read, load_rules, parse_condition, required_fields, rule_of
 from lanternlog.plans.rules import pack
@@ -244,3 +246,30 @@ def test_sql_text_finds_what_the_compiled_rule_finds(spark):
         rows, event = fold_columns(events, [rule])
         want = {r._rid for r in rows.where(compile_rule(rule, event)).collect()}
         assert {r._rid for r in events.where(transpile.transpile(rule, "sql")).collect()} == want, condition
+
+
+def test_distinct_counts_of_windows_equal_the_plain_count():
+    rng = random.Random(4)
+    for _ in range(60):
+        size = rng.randint(1, 40)
+        value = [rng.randint(0, 5) for _ in range(size)]
+        end = sorted(min(size, i + rng.randint(1, 9)) for i in range(size))
+        end = [max(e, i + 1) for i, e in enumerate(end)]
+        got = bursts.distinct_in_windows(np.array(value), np.array(end))
+        assert got.tolist() == [len(set(value[i:e])) for i, e in enumerate(end)]
+
+
+def test_groups_are_whole_whatever_the_batches():
+    rng = random.Random(6)
+    rows = sorted((rng.choice("abc"), rng.randint(0, 3)) for _ in range(60)) + [("z", 1)] * 25
+    table = pa.table({"k": [r[0] for r in rows], "j": [r[1] for r in rows]})
+    for size in (1, 3, 7, 100):
+        seen = []
+
+        def function(part, group, seen=seen):
+            seen += [tuple(map(tuple, zip(*(c.to_pylist() for c in part.columns))))[i] for i in range(len(part))]
+            starts = [i for i in range(len(part)) if i == 0 or group[i] != group[i - 1]]
+            return part.take(pa.array(starts))
+
+        out = pa.Table.from_batches(list(batches._run(["k", "j"], function)(iter(table.to_batches(max_chunksize=size)))))
+        assert seen == rows and sorted(zip(*(c.to_pylist() for c in out.columns))) == sorted(set(rows))
