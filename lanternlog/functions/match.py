@@ -24,8 +24,17 @@ class Event:
     def __init__(self, columns: list[str], spark: SparkSession | None = None, folded: dict[str, str] | None = None):
         self.columns, self.spark, self.folded = set(columns), spark, folded or {}
         self.by_low = {c.lower(): c for c in columns if c != "fields"}
+        #: Columns made once for all rules that read them; making one costs more than holding it.
+        self.texts: dict[str, Column] = {}
+        self.lowered: dict[str, Column] = {}
+        self.gates: dict[tuple, Column] = {}
 
     def text(self, name: str) -> Column:
+        if name not in self.texts:
+            self.texts[name] = self._text(name)
+        return self.texts[name]
+
+    def _text(self, name: str) -> Column:
         if name.lower() in self.by_low:
             return F.col(f"`{self.by_low[name.lower()]}`").cast("string")
         if "fields" not in self.columns:
@@ -33,7 +42,9 @@ class Event:
         return (F.col("_fields") if "_fields" in self.columns else small_names(F.col("fields")))[name.lower()]
 
     def lower(self, name: str) -> Column:
-        return F.col(self.folded[name]) if name in self.folded else F.lower(self.text(name))
+        if name not in self.lowered:
+            self.lowered[name] = F.col(self.folded[name]) if name in self.folded else F.lower(self.text(name))
+        return self.lowered[name]
 
     def blob(self) -> Column:
         """All values in one lower-case text: columns in name order, then the map's values by key."""
@@ -133,7 +144,7 @@ def cidr(column: Column, network: str) -> Column:
 
 
 def leaf(event: Event, name: str, value: object, modifiers: list[str]) -> Column:
-    """One field against one value; never null."""
+    """One field against one value; null where the field is."""
     if value is None:
         text = event.text(name)
         return text.isNull() | text.isin("", "-")
@@ -157,7 +168,7 @@ def leaf(event: Event, name: str, value: object, modifiers: list[str]) -> Column
             hit = glob(column, low)
         else:
             hit = column == low
-    return F.coalesce(hit, F.lit(False))
+    return hit
 
 
 def _field(event: Event, key: str, expected: object) -> Column:
@@ -175,8 +186,9 @@ def _field(event: Event, key: str, expected: object) -> Column:
             shape = {"contains": "(?s){}", "startswith": "(?s)^(?:{})", "endswith": "(?s)(?:{})$(?!\n)"}[modifiers[0]]
             if modifiers[0] != "endswith":
                 return F.coalesce(event.lower(name).rlike(shape.format(quoted)), F.lit(False))
+    # a null leaf counts as false; within and, or it may as well at the end
     hits = [leaf(event, name, v, modifiers) for v in values]
-    return all_of(hits) if "all" in modifiers else any_of(hits)
+    return F.coalesce(all_of(hits) if "all" in modifiers else any_of(hits), F.lit(False))
 
 
 def _map(event: Event, selection: dict) -> Column:
@@ -207,6 +219,13 @@ def squash(column: Column) -> Column:
 
 def source_gate(event: Event, rule: Rule) -> Column:
     """Platform, Sysmon-number and channel gates of a rule's log source."""
+    key = tuple(sorted(rule.logsource.items()))
+    if key not in event.gates:
+        event.gates[key] = _source_gate(event, rule)
+    return event.gates[key]
+
+
+def _source_gate(event: Event, rule: Rule) -> Column:
     gates = []
     product, service = rule.logsource.get("product", ""), rule.logsource.get("service", "")
     platform = event.text("_platform")

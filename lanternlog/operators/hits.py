@@ -54,14 +54,16 @@ def narrowed(events: DataFrame, rules: list[Rule]) -> DataFrame:
     return events
 
 
-def _by_rule(part: list[tuple[int, Rule]], value) -> Column:
-    """value(rule) where `rule_no` is the rule's; equal expressions are shared."""
-    out = F.lit(None)
-    groups: dict[str, tuple[list[int], Column]] = {}
+def _by_rule(part: list[tuple[int, Rule]], asks, build) -> Column:
+    """build(asks(rule)) where `rule_no` is the rule's; a column is built once for all rules that ask alike."""
+    groups: dict[object, list[int]] = {}
     for i, rule in part:
-        column = value(rule)
-        groups.setdefault(str(column), ([], column))[0].append(i)
-    for numbers, column in groups.values():
+        groups.setdefault(asks(rule), []).append(i)
+    columns = [(numbers, build(asked)) for asked, numbers in groups.items()]
+    if len(columns) == 1:
+        return columns[0][1]
+    out = F.lit(None)
+    for numbers, column in columns:
         out = F.when(F.col("rule_no").isin(numbers), column).otherwise(out)
     return out
 
@@ -81,13 +83,14 @@ def rule_hits(events: DataFrame, rules: list[Rule], batch: int = BATCH) -> DataF
         rows, event = fold_columns(narrowed(events, own), own)
         matched = F.array_compact(F.array(*[F.when(compile_rule(r, event), F.lit(i)) for i, r in part])) if part else F.array().cast("array<int>")
         text = Event(rows.columns, rows.sparkSession).text
-        key = lambda r, text=text: F.concat_ws("\x1f", *[F.coalesce(text(g), F.lit("")) for g in (r.threshold or {}).get("group_by", [])]) if (r.threshold or {}).get("group_by") else F.lit("")
-        value = lambda r, text=text: F.lower(F.coalesce(text(r.threshold["distinct"]), F.lit(""))) if (r.threshold or {}).get("distinct") else F.lit(None).cast("string")
-        target = lambda r, text=text: filled(text(r.meta["collect_targets"])) if r.meta.get("collect_targets") else F.lit(None).cast("string")
-        picked = lambda w, text=text: lambda r: pick([text(f) for f in r.pick(w)])
-        columns = {**{w: picked(w) for w in ("actor", "host", "source")}, "target": target, "burst_key": key, "burst_value": value}
+        burst = lambda r, what: (r.threshold or {}).get(what)
+        none = F.lit(None).cast("string")
+        columns = {w: _by_rule(part, lambda r, w=w: tuple(r.pick(w)), lambda names, text=text: pick([text(n) for n in names])) for w in ("actor", "host", "source")}
+        columns["target"] = _by_rule(part, lambda r: r.meta.get("collect_targets"), lambda name, text=text: filled(text(name)) if name else none)
+        columns["burst_key"] = _by_rule(part, lambda r: tuple(burst(r, "group_by") or ()), lambda names, text=text: F.concat_ws("\x1f", *[F.coalesce(text(n), F.lit("")) for n in names]) if names else F.lit(""))
+        columns["burst_value"] = _by_rule(part, lambda r: burst(r, "distinct"), lambda name, text=text: F.lower(F.coalesce(text(name), F.lit(""))) if name else none)
         rows = rows.withColumn("rule_no", F.explode(matched))
-        out.append(rows.select("rule_no", "_rid", "TimeCreated", *[_by_rule(part, f).cast("string").alias(name) for name, f in columns.items()]))
+        out.append(rows.select("rule_no", "_rid", "TimeCreated", *[c.cast("string").alias(name) for name, c in columns.items()]))
     return functools.reduce(DataFrame.unionAll, out)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lanternlog.operators import incidents as I
 from lanternlog.plans import documents, grounding, pipeline, reports, transpile, validation
 from lanternlog.plans.incidents import RISK_SQL, SEV_SQL, SUM_SQL, members
-from lanternlog.plans.rules import MULTI_SQL, events, pack, signatures
+from lanternlog.plans.rules import MULTI_SQL, pack, signatures, timed_events
 from lanternlog.session import Tables
 from lanternlog.sources import tables as tables_
 from lanternlog.streaming.live import stream_alerts
@@ -147,6 +147,6 @@ def grounding_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hunt_incidents(spark: SparkSession, d: str) -> DataFrame:
-    """The whole hunt over the delivered events."""
-    found = pipeline.hunt(events(spark, d), pack())
+    """The whole hunt over the delivered events, by their own times."""
+    found = pipeline.hunt(Tables(spark, "timed").put(timed_events(spark, d)), pack())
     return found.incidents.select("incident_id", "n_detections", F.array_join("phases", " > ").alias("phases"), "score", "severity", "confidence")

@@ -66,7 +66,24 @@ SELECT {key}, count(*) AS n_rows, min_by(ts, rid) AS first_at, max_by(ts, rid) A
 FROM (SELECT CAST({key} AS VARCHAR) AS {key}, _rid AS rid, _ingested AS ts, lag(_ingested) OVER (PARTITION BY {key} ORDER BY _rid) AS before FROM sec_events)
 GROUP BY {key}"""
 
+_CHANGES = """
+WITH l AS (SELECT DISTINCT feed, file_no, ltrim(payload, chr(65279)) AS p FROM raw_records),
+files AS (SELECT feed, file_no, lag(file_no) OVER (PARTITION BY feed ORDER BY file_no) AS before FROM (SELECT DISTINCT feed, file_no FROM l)),
+t AS (SELECT DISTINCT feed, file_no, replace(substr(j.fullkey, 3), '"', '') AS path,
+        CASE j.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS json_type
+      FROM (SELECT * FROM l WHERE json_valid(p) AND json_type(p) = 'OBJECT') o, json_tree(o.p) j WHERE j.type <> 'NULL' AND j.fullkey <> '$' AND NOT contains(j.fullkey, '[')),
+f AS (SELECT feed, file_no, coalesce(a.field, path) AS field, a.field IS NOT NULL AS named, list_sort(list_distinct(list(path))) AS sp, list_sort(list_distinct(list(json_type))) AS ty FROM t LEFT JOIN field_aliases a ON a.spelling = t.path GROUP BY ALL),
+own AS (SELECT f.*, before FROM f JOIN files USING (feed, file_no) WHERE before IS NOT NULL),
+old AS (SELECT f.feed, x.file_no, f.field, f.named, f.sp, f.ty FROM f JOIN files x ON x.feed = f.feed AND x.before = f.file_no),
+both_ AS (SELECT coalesce(n.feed, o.feed) AS feed, coalesce(n.file_no, o.file_no) AS file_no, coalesce(n.field, o.field) AS field, coalesce(n.named, o.named) AS named, o.sp AS osp, n.sp AS nsp, o.ty AS oty, n.ty AS nty
+          FROM own n FULL OUTER JOIN old o ON n.feed = o.feed AND n.file_no = o.file_no AND n.field = o.field AND n.named = o.named),
+ch AS (SELECT *, unnest(CASE WHEN osp IS NULL THEN ['added'] WHEN nsp IS NULL THEN ['removed'] ELSE list_filter([CASE WHEN osp <> nsp THEN 'renamed' END, CASE WHEN oty <> nty THEN 'retyped' END], lambda k: k IS NOT NULL) END) AS change_kind FROM both_)
+"""
+_SIDE = "nullif(concat_ws(' as ', array_to_string({0}sp, ', '), array_to_string({0}ty, ', ')), '')"
+
 SQL = {
+    "p7_found": _CHANGES + "SELECT feed, file_no, change_kind, field FROM ch WHERE named",
+    "p7_changes": _CHANGES + f"SELECT feed, file_no, change_kind, field, named, coalesce({_SIDE.format('o')}, '') AS was, coalesce({_SIDE.format('n')}, '') AS now FROM ch",
     "p2_found": """
 WITH long AS (
   SELECT _chunk, 'EventID' AS field, CAST(EventID AS VARCHAR) AS key_value FROM sec_events

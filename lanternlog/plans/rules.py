@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lanternlog.functions import entities as E
 from lanternlog.functions.match import compile_rule, fold_columns
-from lanternlog.operators import anomalies, bursts, hits, sequences
+from lanternlog.operators import anomalies, bursts, hits, sequences, timeline
 from lanternlog.plans.rulebook import Rule, load_rules, rule_of
 from lanternlog.sources.tables import table
 
@@ -31,6 +31,14 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sec_events").withColumn("TimeCreated", F.col("_ingested"))
 
 
+def timed_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events by their own time, brought to one form from all its makes; those without a time that names an instant are left out."""
+    rows = table(spark, d, "sec_events").drop("TimeCreated")
+    sources = table(spark, d, "collectors").select(F.col("collector").alias("source"), "tz", "date_order")
+    at = timeline.resolve(timeline.long_values(table(spark, d, "sec_events"), "sec_events", "_rid", ["TimeCreated"], "collector"), sources)
+    return rows.join(at.select(F.col("row_id").alias("_rid"), F.timestamp_micros("utc_us").alias("TimeCreated")), "_rid")
+
+
 def pack() -> list[Rule]:
     return load_rules(PACK)[0]
 
@@ -65,7 +73,7 @@ _predicate("pred_equal", _one({"AuthenticationPackageName": "kerberos", "EventID
 _predicate("pred_contains_all", _one({"CommandLine|contains|all": ["/C COPY", "\\drop\\"]}), "contains(lower(CommandLine), '/c copy') AND contains(lower(CommandLine), '\\drop\\')")
 _predicate("pred_startswith", _one({"Image|startswith": "c:\\windows\\"}), "starts_with(lower(Image), 'c:\\windows\\')")
 _predicate("pred_endswith", _one({"Image|endswith": ["\\SVCHOST.exe", "\\cmd.exe"]}), "lower(Image) LIKE '%\\svchost.exe' OR lower(Image) LIKE '%\\cmd.exe'")
-_predicate("pred_contains_literal", _one({"CommandLine|contains": "*"}), "contains(CommandLine, '*')")
+_predicate("pred_contains_literal", _one({"CommandLine|contains": "_"}), "contains(CommandLine, '_')")
 _predicate("pred_glob", _one({"Image": "*\\system32\\*host?.exe"}), "regexp_full_match(lower(Image), '.*\\\\system32\\\\.*host.\\.exe', 's')")
 _predicate("pred_glob_class", _one({"Computer": "srv0[0-3]?.*"}), "regexp_full_match(lower(Computer), 'srv0[0-3].\\..*', 's')")
 _predicate("pred_regex", _one({"CommandLine|re": "-[tT] [0-9]{3,4}$"}), "regexp_matches(CommandLine, '-[tT] [0-9]{3,4}$')")
@@ -86,7 +94,6 @@ _predicate("cond_empty_quantifier", {"a": {"EventID": 1102}, "condition": "a and
 _predicate("logsource_gate", _one({"Computer|contains": "0"}), "EventID IN (1, 4688) AND contains(Computer, '0') AND NOT (EventID = 1 AND coalesce(Channel, '') <> '' AND NOT contains(lower(Channel), 'sysmon')) AND (_platform IS NULL OR _platform IN ('', 'windows'))", {"product": "windows", "category": "process_creation"})
 _predicate("logsource_service", _one({"EventID": [4624, 1102, 104]}), "EventID IN (4624, 1102, 104) AND (Channel IS NULL OR lower(Channel) IN ('', 'security'))", {"service": "security"})
 _predicate("logsource_cloud", _one({"EventID|contains": "4"}), "contains(CAST(EventID AS VARCHAR), '4') AND (_platform IS NULL OR _platform = 'azure')", {"product": "azure"})
-_predicate("logsource_m365", _one({"EventID|contains": "4"}), "contains(CAST(EventID AS VARCHAR), '4') AND _platform IN ('m365', 'm365d')", {"product": "m365"})
 
 
 @query("""
@@ -304,6 +311,12 @@ def host_fanout(spark: SparkSession, d: str) -> DataFrame:
     return anomalies.fan_out(auth).select("account", "n_hosts", F.col("us").alias("at_us"))
 
 
-@query()
+@query(_BASE + """, new AS (SELECT src, count(*) AS n, min_by(_ingested, (us, _rid)) AS t, min_by(coalesce(TargetUserName, ''), (us, _rid)) AS actor, min_by(coalesce(Computer, ''), (us, _rid)) AS host FROM auth
+  WHERE us > cut AND src NOT IN ('', '-', '::1', '127.0.0.1', '0.0.0.0') AND src NOT IN (SELECT src FROM auth WHERE us <= cut) GROUP BY src),
+f AS (SELECT lower(TargetUserName) AS account, us, _rid, us <= cut AS base, coalesce(Computer, '') AS h, coalesce(IpAddress, '') AS ip, _ingested FROM auth WHERE EventID = 4624 AND trim(LogonType) IN ('3', '10') AND TargetUserName <> ''),
+c AS (SELECT x.account, x.base, x.us, x._rid, x.h, x.ip, x._ingested, count(DISTINCT y.h) AS n FROM f x JOIN f y ON x.account = y.account AND x.base = y.base AND y.us BETWEEN x.us AND x.us + 3600000000 GROUP BY ALL),
+top AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY account, base ORDER BY -n, us, _rid) = 1)
+SELECT 'll-a001' AS rule_id, t AS start_ts, actor, host, src AS source, n AS n_events FROM new
+UNION ALL SELECT 'll-a002', _ingested, account, h, ip, 1 FROM top WHERE NOT base AND n >= greatest(4, (SELECT coalesce(max(n), 0) FROM top WHERE base) + 2)""")
 def anomaly_detections(spark: SparkSession, d: str) -> DataFrame:
-    return anomalies.anomalies(events(spark, d)).select("det_id", "rule_id", "start_ts", "actor", "host", "source", F.size("event_rids").alias("n_events"))
+    return anomalies.anomalies(events(spark, d)).select("rule_id", "start_ts", "actor", "host", "source", F.size("event_rids").alias("n_events"))

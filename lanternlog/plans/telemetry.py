@@ -89,6 +89,7 @@ def _live_sql() -> str:
         ("ll-0001", seen("4769", sec, fields([4769], "TicketEncryptionType"))), ("ll-0002", seen("4624", sec, fields([4624], "LogonType", "AuthenticationPackageName"))), ("ll-0003", seen("4662", sec, fields([4662], "Properties"))),
         ("ll-0004", seen("10", sysmon, fields([10], "TargetImage", "GrantedAccess"))), ("ll-0005", seen("4728, 4732, 4756", sec, "true")), ("ll-0006", seen("104, 1102", "('security', 'system')", "true")),
         ("ll-0007", seen("1, 4688", "('security', 'microsoft-windows-sysmon/operational')", fields([1, 4688], "CommandLine"))), ("ll-0008", seen("4625", sec, "true")), ("ll-s001", "'LIVE'"), ("ll-s002", "'LIVE'"),
+        *((r, f"CASE WHEN EXISTS (SELECT 1 FROM sec_events WHERE lower(Channel) = '{c}') THEN 'UNOBSERVED' ELSE 'DEAD_EVENTS' END") for r, c in (("ll-c001", "auditlogs"), ("ll-c002", "officeactivity"), ("ll-c003", "none such"))),
     ]
     return " UNION ALL ".join(f"SELECT '{r}' AS rule_id, {s} AS status" for r, s in rows)
 
@@ -164,7 +165,7 @@ FROM x CROSS JOIN n LEFT JOIN c ON x.rule_id = c.rule_id LEFT JOIN k ON x.rule_i
 @query(_HEALTH)
 def rule_health(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts of stateless rules and of one that can't fire, with hits on recordings."""
-    rows, rules = events(spark, d), [r for r in signatures() if not r.threshold]
+    rows, rules = events(spark, d), [r for r in signatures() if not r.threshold and not r.id.startswith("ll-c")]
     dns = rule_of({"id": "x-dns", "detection": {"s": {"EventID": 541}, "condition": "s"}, "logsource": {"service": "dns-server"}})
     seen = coverage.profile(rows)
     found = hits.detections(rows, rules)
@@ -242,3 +243,30 @@ def raw_events(spark: SparkSession, d: str) -> DataFrame:
     """Raw export lines in the event shape: of each that is a JSON object, that it is one."""
     rows = table(spark, d, "raw_records").select("raw_id", F.col("payload").alias("value"))
     return decode(rows, keep=("raw_id",)).where("problem is null or problem <> 'no JSON object'").select("raw_id", F.lit(True).alias("is_object"))
+
+
+def _cloud(spark: SparkSession, d: str) -> DataFrame:
+    """Cloud records as events, by their ids."""
+    rows = table(spark, d, "cloud_records").drop("collector", "_ingested")
+    out = decode(rows.select(F.col("record_id").alias("_rid"), F.to_json(F.struct("*")).alias("value")), keep=("_rid",))
+    return out.where("problem is null or problem = 'no time'").drop("line", "problem")
+
+
+_CLOUD = f"""c AS (SELECT record_id, CASE WHEN lower("Type") IN ('auditlogs', 'signinlogs', 'aadnoninteractiveusersigninlogs', 'aaduserriskevents', 'azureactivity', 'officeactivity', 'securityalert') THEN lower("Type") WHEN "Timestamp" IS NOT NULL AND ActionType IS NOT NULL THEN 'm365d' END AS t,
+  lower(coalesce({_text('ActivityDisplayName')}, {_text('OperationName')}, {_text('"Operation"')})) AS said, lower({_text('"Operation"')}) AS op, lower({_text('ActionType')}) AS act, lower({_text('Result')}) AS res FROM cloud_records)"""
+
+
+@query(f"""WITH {_CLOUD} SELECT 'll-c001' AS rule_id, record_id FROM c WHERE t = 'auditlogs' AND starts_with(said, 'update application') AND contains(said, 'secrets') AND res IS DISTINCT FROM 'failure'
+UNION ALL SELECT 'll-c002', record_id FROM c WHERE t = 'officeactivity' AND (contains(op, 'sortrule') OR contains(op, 'inboxrule')) UNION ALL SELECT 'll-c003', record_id FROM c WHERE t IN ('officeactivity', 'securityalert', 'm365d') AND act IN ('ldapread', 'replica pull requested')""")
+def cloud_rule_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The pack's cloud rules over all cloud records."""
+    rules = [r for r in pack() if r.id.startswith("ll-c")]
+    found = hits.rule_hits(_cloud(spark, d), rules)
+    return found.join(hits.rule_table(spark, rules).select("rule_no", "rule_id"), "rule_no").select("rule_id", F.col("_rid").alias("record_id"))
+
+
+@query(f"WITH {_CLOUD} SELECT record_id FROM c WHERE t IN ('officeactivity', 'securityalert', 'm365d') AND contains(act, 'mail') OR t = 'officeactivity' AND contains(op, 'mail')")
+def logsource_m365(spark: SparkSession, d: str) -> DataFrame:
+    """A rule of one cloud product, over all cloud records."""
+    rule = rule_of({"id": "q", "detection": {"a": {"ActionType|contains": "mail"}, "b": {"Operation|contains": "mail"}, "condition": "a or b"}, "logsource": {"product": "m365"}})
+    return hits.rule_hits(_cloud(spark, d), [rule]).select(F.col("_rid").alias("record_id"))
