@@ -37,9 +37,9 @@ WRITTEN = ["utf-8", "cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp852", "cp
 READ = ["cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "cp852", "cp866", "koi8-r", "mac-roman", "gbk", "shift_jis"]
 MANY_BYTES = {"utf-8", "shift_jis", "gbk"}
 CHAINS = [(w, r) for w in WRITTEN for r in READ if w != r and not (w == "cp1252" and r == "latin-1")]
-#: Chains of two steps, of letters made small after the damage, and of what was lost in it.
-TWICE, SMALL, LOST = len(CHAINS), len(CHAINS) + 4, len(CHAINS) + 5
-NAMES = [f"{w} read as {r}" for w, r in CHAINS] + [f"utf-8 read as {a}, twice" for a in ("cp1252", "latin-1", "cp437", "cp850")] + ["utf-8 read as cp1252, then in small letters", "lost"]
+#: Chains of two steps, of letters made small after the damage, of what was lost in it, and of two-byte text of which some bytes fell on ASCII signs that part tokens.
+TWICE, SMALL, LOST, PART = len(CHAINS), len(CHAINS) + 4, len(CHAINS) + 5, len(CHAINS) + 6
+NAMES = [f"{w} read as {r}" for w, r in CHAINS] + [f"utf-8 read as {a}, twice" for a in ("cp1252", "latin-1", "cp437", "cp850")] + ["utf-8 read as cp1252, then in small letters", "lost", "two-byte text in parts"]
 CLEAN = -1
 #: Log-odds against a restored token that occurs nowhere, when its chain could make one of anything.
 UNSEEN = -15.0
@@ -106,6 +106,19 @@ def undo_pieces(token: str, read: str, small: bool = False) -> str | None:
     return "".join(out) if hits else None
 
 
+def undo_part(token: str, read: str) -> str | None:
+    """What Shift-JIS bytes were, read as a single-byte encoding, of a token that ends in the middle of a character; three characters at least."""
+    table = to_byte(read) if read not in MANY_BYTES else {}
+    raw = [table.get(c, 0) for c in token]
+    if len(raw) < 7 or len(raw) % 2 == 0 or not all(0x81 <= b <= 0x9F or 0xE0 <= b <= 0xFC for b in raw[::2]):
+        return None
+    try:
+        text = bytes(raw[:-1]).decode("shift_jis")
+    except UnicodeError:
+        return None
+    return text if 2 * len(text) == len(raw) - 1 and all(c.isalpha() for c in text) else None
+
+
 def shown(text: str) -> bool:
     return all(c != "�" and unicodedata.category(c) not in ("Cc", "Cn", "Co", "Cs") for c in text)
 
@@ -132,6 +145,9 @@ def candidates(token: str) -> list[tuple[int, str]]:
     once = undo_pieces(token, "cp1252", True)
     offer(SMALL, once)
     offer(SMALL, undo_pieces(once, "cp1252", True) if once else None)
+    for read in READ:
+        if (part := undo_part(token, read)) is not None:
+            offer(PART, part)
     found = [(chain, text) for text, chain in out.items()]
     if any(c == "�" or "\x80" <= c <= "\x9f" for c in token):
         found.append((LOST, ""))
@@ -221,7 +237,7 @@ def _score(letters: Letters):
                 elif chain == LOST:
                     scores.append(prior - 2.0 * len(token))
                 else:
-                    strict = chain >= TWICE or CHAINS[chain][0] == "utf-8"
+                    strict = chain != PART and (chain >= TWICE or CHAINS[chain][0] == "utf-8")
                     unseen = log(restored) + (0.0 if strict else UNSEEN)
                     seen = -n * max(0.0, math.log(n / (rate * w))) - 2.0 if w and w > 0.5 else -math.inf
                     scores.append(prior + max(unseen, seen))
@@ -256,7 +272,7 @@ def fit(values: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     tables.drop(counts)
     offers = tables.put(state.select("token").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_candidates, "token string, chain int, restored string"))
     fields = [r[0] for r in state.select("field").distinct().collect()]
-    start = {f: {CLEAN: 0.9, **dict.fromkeys(range(LOST + 1), 0.1 / (LOST + 1))} for f in fields}
+    start = {f: {CLEAN: 0.9, **dict.fromkeys(range(PART + 1), 0.1 / (PART + 1))} for f in fields}
     priors = {(f, k): p for f, own in start.items() for k, p in own.items()}
     rate = 0.05
     of_source = None  # source, field, whole, hurt, own_rate, mass by chain
@@ -295,7 +311,7 @@ def fit(values: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         total = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["p"])
         clean = F.aggregate(F.filter("parts", lambda x: x["chain"] == CLEAN), F.lit(0.0), lambda s, x: s + x["p"])
         best = F.array_max(F.filter("parts", lambda x: x["chain"] != CLEAN))
-        after = grouped.withColumn("top", top).withColumn("parts", parts).select(*key, "n", "everywhere", (clean / total).alias("clean"), F.coalesce(best["chain"], F.lit(CLEAN)).alias("chain"), F.nullif(best["restored"], F.lit("")).alias("restored"))
+        after = grouped.withColumn("top", top).withColumn("parts", parts).select(*key, "n", "everywhere", (clean / total).alias("clean"), F.coalesce(best["chain"], F.lit(CLEAN)).alias("chain"), F.when(best["chain"] != PART, F.nullif(best["restored"], F.lit(""))).alias("restored"))
         old, state = state, tables.put(after)
         tables.drop(old)
         mass: Counter = Counter()
@@ -303,8 +319,8 @@ def fit(values: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             mass[r.field, CLEAN] += r.c
             mass[r.field, r.chain] += r.d
         for f in fields:
-            whole = sum(mass[f, k] for k in range(-1, LOST + 1)) + 0.02 * (LOST + 2)
-            for k in range(-1, LOST + 1):
+            whole = sum(mass[f, k] for k in range(-1, PART + 1)) + 0.02 * (PART + 2)
+            for k in range(-1, PART + 1):
                 priors[f, k] = (mass[f, k] + 0.02) / whole
         damage, intact = (sum(v for (_, k), v in mass.items() if (k == CLEAN) == c) for c in (False, True))
         rate = min(0.3, max(0.05, 2 * damage / max(intact, 1.0)))

@@ -51,3 +51,11 @@ def test_a_source_read_wrongly_as_a_rule(spark):
     values = spark.createDataFrame([(i, s, "f", f"a {t}.txt") for i, (s, t) in enumerate(rows)], "row_id long, source string, field string, text string")
     bad = {rows[r.rid] for r in mojibake.found(values, mojibake.fit(values)).collect()}
     assert ("small", both) in bad and ("hot", both) not in bad and not {t for s, t in bad if s == "hot"} & set(words)
+
+
+def test_two_byte_text_in_parts():
+    """Shift-JIS read as a single-byte encoding: bytes that fall on ASCII signs part the token in the middle of a character."""
+    damaged = "журнал".encode("shift_jis").decode("cp1252")
+    first = damaged.split("~")[0]
+    assert mojibake.undo_part(first, "cp1252") == "жур" and (mojibake.PART, "жур") in mojibake.candidates(first)
+    assert mojibake.undo_part("größere", "cp1252") is None and mojibake.undo_part("„", "cp1252") is None and mojibake.undo_part("„„„„„„„", "gbk") is None
