@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import functools
-import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lanternlog.session import Tables
-from lanternlog.sources.normalize import PROMOTED, decode, silver_schema, xml_record
+from lanternlog.sources.normalize import PROMOTED, decode, json_of_xml, silver_schema
 
 SUFFIXES = [".json", ".ndjson", ".jsonl", ".xml", ".evtx"]
 
@@ -73,28 +72,12 @@ def records(spark: SparkSession, files: list[str]) -> DataFrame:
     if plain:
         parts.append(json_lines(spark, plain))
     if xml:
-        parts.append(_of_file(spark.read.text(xml, wholetext=True).select(F.input_file_name().alias("file"), "value")))
+        parts.append(json_of_xml(spark.read.text(xml, wholetext=True).select(F.input_file_name().alias("file"), "value"), ("file",)))
     if logs:
-        parts.append(_of_file(evtx_records(spark, logs)))
+        parts.append(json_of_xml(evtx_records(spark, logs), ("file",)))
     return functools.reduce(DataFrame.unionAll, parts)
 
 
-def _of_file(documents: DataFrame) -> DataFrame:
-    """file, value: the events of XML documents as JSON, each with its file."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            found = [(f, json.dumps(r, ensure_ascii=False)) for f, t in zip(batch["file"].to_pylist(), batch["value"].to_pylist()) if t and (r := xml_record(t))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], ["file", "value"])
-
-    events = F.regexp_extract_all("value", F.lit(r"(?s)(<Event[ >].*?</Event>)"), 1)
-    refused = F.col("value").rlike("(?i)<!(DOCTYPE|ENTITY)")
-    apart = F.explode(F.when((F.size(events) > 0) & ~refused, events).otherwise(F.array("value")))
-    return documents.withColumn("value", F.regexp_replace("value", "^\ufeff", "")).select("file", apart.alias("value")).mapInArrow(run, "file string, value string")
-
-
 def load(spark: SparkSession, paths: list[str], promoted: list[str] = PROMOTED, by_file: bool = False) -> DataFrame:
     """Events of all files with `_rid`, written once, so that `_rid` stays the same; the order is (TimeCreated, _rid).
 

@@ -77,6 +77,12 @@ def test_xml():
     assert user == {"EventID": "5", "Why": "w"}
 
 
+def test_xml_documents(spark):
+    two = spark.createDataFrame([("a", f"<Events>{XML}{XML}</Events>"), ("b", "\ufeff" + XML), ("c", "<!DOCTYPE a>" + XML), ("d", ""), ("e", None)], "file string, value string")
+    got = normalize.json_of_xml(two, ("file",)).collect()
+    assert sorted(r.file for r in got) == ["a", "a", "b"] and normalize.events_of_xml(two).where("EventID = 1 and Image = 'x'").count() == 3
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.json").write_text("﻿" + json.dumps([{"EventID": 1, "TimeCreated": "2025-01-01T00:00:00Z", "image": "x"}, {"EventID": 2}]), encoding="utf-8")
     (tmp_path / "b.ndjson").write_text('{"EventID": 3, "TimeCreated": "2025-01-02", "L": [1, true], "Img": 1}\n\n', encoding="utf-8")
@@ -161,6 +167,23 @@ def test_watch_over_a_file_stream(spark, office, tmp_path):
     assert said and len((tmp_path / "alerts.jsonl").read_text().splitlines()) == len(said)
 
 
+def test_a_stream_forgets_behind_its_watermark(spark, tmp_path):
+    """An alert said once within the watermark; what comes later than it isn't said; state behind it goes."""
+    folder, out = tmp_path / "in", tmp_path / "out"
+    rule = rule_of({"id": "q", "title": "q", "level": "high", "detection": {"s": {"EventID": 1}, "condition": "s"}})
+    schema = "_rid long, TimeCreated timestamp, EventID int, Computer string"
+    rows = [[(1, 0), (2, 0)], [(3, 0), (4, 300)], [(5, 300), (6, 0)], [(7, 900)], [(8, 901)]]  # (id, minutes): repeated, repeated and later, too late, much later
+    said = []
+    for batch in rows:
+        spark.createDataFrame([(i, T0 + dt.timedelta(minutes=m), 1, "h") for i, m in batch], schema).coalesce(1).write.mode("append").parquet(str(folder))
+        alerts = live.stream_alerts(spark.readStream.schema(schema).parquet(str(folder)), [rule], "1 hour")
+        query = alerts.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        said.append(spark.read.schema(alerts.schema).parquet(str(out)).count())
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert said == [1, 2, 2, 3, 4] and held[-1] == 2
+
+
 def test_tumbling_counts(spark, office, tmp_path):
     office.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(office.schema).parquet(str(tmp_path / "in"))
