@@ -273,3 +273,27 @@ def test_groups_are_whole_whatever_the_batches():
 
         out = pa.Table.from_batches(list(batches._run(["k", "j"], function)(iter(table.to_batches(max_chunksize=size)))))
         assert seen == rows and sorted(zip(*(c.to_pylist() for c in out.columns))) == sorted(set(rows))
+
+
+@pytest.mark.parametrize("joins", [
+    [(0, "actor", 1, "actor"), (1, "actor", 2, "actor")], [(0, "actor", 1, "actor"), (0, "host", 2, "host")], [(0, "actor", 1, "actor"), (0, "host", 1, "host"), (1, "host", 2, "actor")],
+    [(0, "F", 1, "F"), (1, "F", 2, "F")], [(0, "F", 1, "host"), (2, "actor", 0, "actor"), (1, "F", 2, "F")], [(0, "actor", 2, "actor")], [],
+])
+def test_sequences_of_any_joins_equal_first_match_search(spark, joins):
+    """Hot keys, equal times, steps without a join, several joins a step, fields with several values."""
+    rng = random.Random(len(joins) * 7 + sum(map(ord, str(joins))))
+    t0 = dt.datetime(2025, 1, 1)
+    dets = [(i, f"r{rng.randint(0, 2)}", t0 + dt.timedelta(minutes=rng.randint(0, 240)), rng.choice("aah"), rng.choice("hha"), rng.choice([None, [], ["a"], ["a", "b"], ["h", "c"]])) for i in range(110)]
+    df = spark.createDataFrame(dets, "det_id long, rule_id string, start_ts timestamp, actor string, host string, values_F array<string>").withColumn("source", F.lit(""))
+    steps = [df.where(F.col("rule_id") == f"r{i}") for i in range(3)]
+    hour = dt.timedelta(hours=1)
+    got = {(r.s0.det_id, r.s1.det_id, r.s2.det_id) for r in sequences.match(steps, joins, 3_600_000_000).collect()}
+    by = [sorted((d for d in dets if d[1] == f"r{i}"), key=lambda d: (d[2], d[0])) for i in range(3)]
+    value = lambda d, f: {d[3]} if f == "actor" else {d[4]} if f == "host" else set(d[5] or ())
+    fits = lambda bound: all(value(bound[a], fa) & value(bound[b], fb) for a, fa, b, fb in joins if max(a, b) < len(bound))
+    want = set()
+    for a in by[0]:
+        after = lambda x: [d for d in by[x] if a[2] <= d[2] <= a[2] + hour]  # noqa: E731, B023
+        found = next(((a[0], b[0], c[0]) for b in after(1) if fits([a, b]) for c in after(2) if c[2] >= b[2] and fits([a, b, c])), None)
+        want |= {found} if found else set()
+    assert got == want and want
