@@ -26,39 +26,40 @@ WIDTH, SIZE = 1 << 16, 1 << 15
 
 
 def _codes(keys: list[str]) -> list[str]:
-    return [f"_{what}_{i}" for i in range(len(keys)) for what in ("null", "key")]
+    return [f"_kc_{what}_{i}" for i in range(len(keys)) for what in ("null", "key")]
 
 
 def placed(df: DataFrame, keys: list[str], order: str, width: int = WIDTH) -> DataFrame:
-    """df with _part, the input partition, and the coded keys."""
+    """df with _kc_part, the input partition, and the coded keys."""
     cuts = bounds(df.select(order), order, width)
-    coded = {f"_null_{i}": F.col(k).isNull() for i, k in enumerate(keys)} | {f"_key_{i}": F.coalesce(F.col(k).cast("string"), F.lit("")) for i, k in enumerate(keys)}
-    return numbered(df, order, cuts).withColumns(coded)
+    coded = {f"_kc_null_{i}": F.col(k).isNull() for i, k in enumerate(keys)} | {f"_kc_key_{i}": F.coalesce(F.col(k).cast("string"), F.lit("")) for i, k in enumerate(keys)}
+    return numbered(df, order, cuts, "_kc_part").withColumns(coded)
 
 
 def key_offsets(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """coded keys, _part, _n, _before: the rows of a key in and before each input partition. rows: as of placed()."""
+    """coded keys, _kc_part, _n, _kc_before: the rows of a key in and before each input partition. rows: as of placed()."""
     codes = _codes(keys)
-    counts = rows.groupBy(*codes, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*codes).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    counts = rows.groupBy(*codes, "_kc_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*codes).orderBy("_kc_part").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_kc_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
 
 
 def _numbered_rows(rows: DataFrame, keys: list[str], order: str, size: int) -> DataFrame:
     """Placed rows with _number and _chunk_of_key."""
     codes = _codes(keys)
-    inside = Window.partitionBy(*codes, "_part").orderBy(order)
-    ranked = rows.withColumn("_rank", F.row_number().over(inside))
-    joined = ranked.join(key_offsets(rows, keys).drop("_n"), [*codes, "_part"]).withColumn("_number", F.col("_before") + F.col("_rank") - 1)
+    inside = Window.partitionBy(*codes, "_kc_part").orderBy(order)
+    ranked = rows.withColumn("_kc_rank", F.row_number().over(inside))
+    joined = ranked.join(key_offsets(rows, keys).drop("_n"), [*codes, "_kc_part"]).withColumn("_number", F.col("_kc_before") + F.col("_kc_rank") - 1)
     return joined.withColumn("_chunk_of_key", F.floor(F.col("_number") / size))
 
 
 def number_rows(df: DataFrame, keys: list[str], order: str, width: int = WIDTH, size: int = SIZE) -> DataFrame:
     """df with _number (from 0 in its key, by `order`) and _chunk_of_key.
 
-    Null keys form a key of their own. `order` must be a unique integer and
-    not null; negative and sparse values are fine. An empty table gives an
-    empty one.
+    Null keys form a key of their own. `order` is an integer, negative and
+    sparse values are fine; rows of one place are numbered in any order among
+    themselves, rows without a place come first. An empty table gives an empty
+    one.
     """
     return _numbered_rows(placed(df, keys, order, width), keys, order, size).select(*df.columns, "_number", "_chunk_of_key")
 
@@ -67,8 +68,7 @@ def key_counts(df: DataFrame, keys: list[str], order: str, width: int = WIDTH, s
     """keys, n_rows, n_chunks: rows are numbered, each chunk gives its first and last number, and a key's chunks are merged in order.
 
     A chunk follows on the one before it exactly if it begins behind its last
-    number; a key whose chunks don't follow on one another would be no count
-    and raises an error.
+    number; numbers with a gap would be no count and raise an error.
     """
     codes = _codes(keys)
     rows = _numbered_rows(placed(df, keys, order, width), keys, order, size)
@@ -77,7 +77,7 @@ def key_counts(df: DataFrame, keys: list[str], order: str, width: int = WIDTH, s
     follows = F.col("_first") == F.coalesce(F.lag("_last").over(along), F.lit(-1)) + 1
     whole = follows & (F.col("_n") == F.col("_last") - F.col("_first") + 1)
     merged = states.withColumn("_whole", whole).groupBy(*codes).agg(*[F.first(k).alias(k) for k in keys], (F.max("_last") + 1).alias("n_rows"), F.count(F.lit(1)).alias("n_chunks"), F.min("_whole").alias("_whole"))
-    checked = F.when(F.col("_whole"), F.col("n_rows")).otherwise(F.raise_error(F.lit(f"`{order}` isn't unique")).cast("long"))
+    checked = F.when(F.col("_whole"), F.col("n_rows")).otherwise(F.raise_error(F.lit("numbers of a key have a gap")).cast("long"))
     return merged.select(*keys, checked.alias("n_rows"), "n_chunks")
 
 

@@ -28,8 +28,8 @@ def bounds(df: DataFrame, order: str, width: int, most: int = MOST, rows: int |
 
 
 def numbered(df: DataFrame, order: str, cuts: list[float], to: str = "_part") -> DataFrame:
-    """df with the number of the range that `order`, which is not null, lies in. Values that differ beyond a double's digits may share a range, never swap theirs."""
+    """df with the number of the range that `order` lies in, null in the first. Values that differ beyond a double's digits may share a range, never swap theirs."""
     if not cuts:
         return df.withColumn(to, F.lit(0).cast("long"))
     cutter = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_as_double", outputCol="_range", handleInvalid="keep")
-    return cutter.transform(df.withColumn("_as_double", F.col(order).cast("double"))).withColumn(to, F.col("_range").cast("long")).drop("_as_double", "_range")
+    return cutter.transform(df.withColumn("_as_double", F.coalesce(F.col(order).cast("double"), F.lit(-math.inf)))).withColumn(to, F.col("_range").cast("long")).drop("_as_double", "_range")

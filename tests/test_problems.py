@@ -82,3 +82,11 @@ def test_ranges_of_sparse_values_are_even(spark):
     got = keychunks.key_counts(df.withColumn("k", F.lit("hot")), ["k"], "id", 500, 300).first()
     assert (got.n_rows, got.n_chunks) == (20_000, 67)
     assert ranges.bounds(df.limit(0), "id", 10) == []
+
+
+def test_repeated_and_missing_places_in_the_order(spark):
+    """Rows of one id, rows without one, and columns called like the operator's own."""
+    rows = [(1, i // 3 if i % 10 else None, "h" if i < 80 else "x", "clash") for i in range(100)]
+    df = spark.createDataFrame(rows, "c long, id long, b string, _part string")
+    for width in (8, 1 << 16):
+        assert {(r.key_value, r.n_rows) for r in keychunks.heavy_keys(df, "c", ["b"], "id", 20, width, 7).collect()} == {("h", 80), ("x", 20)}

@@ -142,3 +142,12 @@ def test_chained_blocks_cost_what_the_cheapest_path_costs():
         paths = [[p for p in range(count[i]) if us[i, p] == solved[i]] for i in range(n)]
         costs = [sum(cost[i][p] for i, p in enumerate(path)) + sum(timeline.SWITCH * int(form[i - 1][path[i - 1]] != form[i][path[i]]) + timeline.BACK * int(us[i - 1][path[i - 1]] > us[i][path[i]]) for i in range(1, n)) for path in itertools.product(*paths)]
         assert min(costs) == brute(us, form, cost, count)
+
+
+def test_null_and_repeated_rows(spark):
+    rows = [("s", None, "t", None, "2025-01-01 00:00:00"), ("s", 1, "t", None, "2025-01-01 00:00:00"), ("s", 1, "t", None, "2025-01-01 00:00:00"), (None, 2, None, "x", "05/03/2025 00:00:00"), ("s", 3, "t", "", ""), ("s", 4, "t", None, None)]
+    long = spark.createDataFrame(rows, "src string, row_id long, field string, source string, text string")
+    none = spark.createDataFrame([("x", None, None), (None, "UTC", "dmy")], "source string, tz string, date_order string")
+    for block in (1, 1 << 16):
+        got = sorted(((r.row_id or 0), r.utc_us) for r in timeline.resolve(long, none, block).collect())
+        assert [g[0] for g in got] == [0, 1, 1, 2]
