@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def codes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -57,5 +57,10 @@ def _run(keys: list[str], function: Callable[[pa.Table, np.ndarray], pa.Table]):
 
 
 def by_groups(df: DataFrame, keys: list[str], order: list[str], function: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """function(table, group of each row) over whole groups of `keys`, many at a time, rows in `order` inside a group. A group must fit into a task."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(_run(keys, function), schema)
+    """function(table, group of each row) over whole groups of `keys`, many at a time, rows in `order` inside a group. A group must fit into a task.
+
+    Rows are laid out by a hash of the keys: by the keys alone, Spark leaves
+    the exchange out behind a join on them, whose own one adaptive execution
+    then splits or reads map by map, and groups with it.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(_run(keys, function), schema)
